@@ -11,17 +11,16 @@ from aeroseries.functions.lineage import cut_lineage
 
 
 def middle(ordered: Column) -> Column:
-    """Median of a sorted array without nulls; null when it is empty."""
+    """Median of a sorted array without nulls; null when it is empty.
+
+    Pass a column, not a sorting expression: the array is looked at several times.
+    """
     n = F.size(ordered)
     low = F.try_element_at(ordered, F.floor((n + 1) / 2).cast("int"))
     high = F.try_element_at(ordered, (F.floor(n / 2) + 1).cast("int"))
     return F.when(n > 0, (low + high) / 2)
 
 
-def array_median(values: Column) -> Column:
-    return middle(F.sort_array(values))
-
-
 def _magnitude(value: Column) -> Column:
     """Signed decimal exponent, increasing with the value."""
     exponent = F.least(F.greatest(F.floor(F.log10(F.abs(value))), F.lit(-290)), F.lit(308))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from aeroseries.config import GASES, MAD_TO_SIGMA, QC_VERSION, QcConfig, ScaleLimits
 from aeroseries.functions.clock import floor_hour
 from aeroseries.functions.lineage import cut_lineage
-from aeroseries.functions.medians import array_median, exact_median, middle
+from aeroseries.functions.medians import exact_median, middle
 from aeroseries.functions.numbers import nan_to_null
 from aeroseries.schema import QC_COLUMNS
 
@@ -106,20 +106,21 @@ def _gathered_statistics(df: DataFrame, config: QcConfig, by: Sequence[str]) ->
     hours = _per_gas(arrays, [*keys, "hour_rows"], {gas: {"values": F.sort_array(gas)} for gas in GASES})
     hours = hours.where(F.size("values") > 0)
     hours = hours.withColumns({"hour_count": F.size("values"), "hour_median": middle(F.col("values"))})
-    distance = F.transform("values", lambda v: F.abs(v - F.col("hour_median")))
-    hours = hours.withColumn("hour_mad", nan_to_null(array_median(distance)))
+    distances = F.transform("values", lambda v: F.abs(v - F.col("hour_median")))
+    hours = hours.withColumn("distances", F.sort_array(distances))
+    hours = hours.withColumn("hour_mad", nan_to_null(middle(F.col("distances"))))
     scale = _positive(MAD_TO_SIGMA * F.col("hour_mad"))
     kept = F.filter(
         "values", lambda v: ~_spike(v, config, F.col("hour_count"), F.col("hour_median"), scale)
     )
-    return hours.select(
+    return hours.withColumn("kept", kept).select(
         *keys,
         "gas",
         F.col("hour_rows").cast("long"),
         F.col("hour_count").cast("long").alias("hour_count"),
         "hour_median",
         "hour_mad",
-        middle(kept).alias("hour_reference"),
+        middle(F.col("kept")).alias("hour_reference"),
     )
 
 
@@ -213,23 +214,25 @@ def point_scales(hours: DataFrame, df: DataFrame, by: Sequence[str] = (), small:
 # Stage 3: hours against their surroundings
 
 
-def _rolling_median(value: str, config: QcConfig, by: Sequence[str]) -> Column:
+def _with_rolling_median(
+    hours: DataFrame, value: Column, name: str, config: QcConfig, by: Sequence[str]
+) -> DataFrame:
     """Centred median over present hours; null below the minimum number of values."""
     window = config.hourly_reference_window_hours
     frame = (
         Window.partitionBy(*by, "gas").orderBy(HOUR).rowsBetween(-(window // 2), (window - 1) // 2)
     )
-    values = F.sort_array(F.collect_list(value).over(frame))
-    return F.when(F.size(values) >= config.hourly_reference_min_periods, middle(values))
+    hours = hours.withColumn("_near", F.sort_array(F.collect_list(value).over(frame)))
+    enough = F.size("_near") >= config.hourly_reference_min_periods
+    return hours.withColumn(name, F.when(enough, middle(F.col("_near")))).drop("_near")
 
 
 def rolling_reference(hours: DataFrame, config: QcConfig = QcConfig(), by: Sequence[str] = ()) -> DataFrame:
     """Add ``rolling_median``, ``residual`` and ``rolling_mad``."""
     hours = hours.where(F.col("hour_reference").isNotNull())
-    hours = hours.withColumn("rolling_median", _rolling_median("hour_reference", config, by))
+    hours = _with_rolling_median(hours, F.col("hour_reference"), "rolling_median", config, by)
     hours = hours.withColumn("residual", F.col("hour_reference") - F.col("rolling_median"))
-    hours = hours.withColumn("_distance", F.abs("residual"))
-    return hours.withColumn("rolling_mad", _rolling_median("_distance", config, by)).drop("_distance")
+    return _with_rolling_median(hours, F.abs("residual"), "rolling_mad", config, by)
 
 
 def hourly_scores(hours: DataFrame, config: QcConfig = QcConfig(), by: Sequence[str] = ()) -> DataFrame:
@@ -321,29 +324,22 @@ def combine_flags(df: DataFrame) -> DataFrame:
 
     A sustained shift is reported but its readings are kept.
     """
-    hourly = {}
+    added, excluded, shifted = {}, [], []
     for gas in GASES:
-        for name in ("flag_hourly_spike", "flag_sustained_shift"):
-            hourly[f"{gas}_{name}"] = F.coalesce(f"_{gas}_{name}", F.lit(False))
-        hourly[f"{gas}_hourly_robust_z"] = F.col(f"_{gas}_hourly_robust_z")
-    df = df.withColumns(hourly)
-    df = df.withColumns(
-        {
-            f"{gas}_qc_excluded": F.col(f"{gas}_flag_hard")
-            | F.col(f"{gas}_flag_point_spike")
-            | F.col(f"{gas}_flag_hourly_spike")
-            for gas in GASES
-        }
-    )
-    excluded = [F.col(f"{gas}_qc_excluded") for gas in GASES]
-    shifted = [F.col(f"{gas}_flag_sustained_shift") for gas in GASES]
-    return df.withColumns(
-        {
-            **{gas: F.when(~F.col(f"{gas}_qc_excluded"), F.col(f"{gas}_raw")) for gas in GASES},
-            "qc_any_excluded": excluded[0] | excluded[1] | excluded[2],
-            "qc_any_sustained_shift": shifted[0] | shifted[1] | shifted[2],
-        }
-    )
+        spike = F.coalesce(f"_{gas}_flag_hourly_spike", F.lit(False))
+        shift = F.coalesce(f"_{gas}_flag_sustained_shift", F.lit(False))
+        out = F.col(f"{gas}_flag_hard") | F.col(f"{gas}_flag_point_spike") | spike
+        added[f"{gas}_flag_hourly_spike"] = spike
+        added[f"{gas}_flag_sustained_shift"] = shift
+        added[f"{gas}_hourly_robust_z"] = F.col(f"_{gas}_hourly_robust_z")
+        added[f"{gas}_qc_excluded"] = out
+        added[gas] = F.when(~out, F.col(f"{gas}_raw"))
+        excluded.append(out)
+        shifted.append(shift)
+    added["qc_any_excluded"] = excluded[0] | excluded[1] | excluded[2]
+    added["qc_any_sustained_shift"] = shifted[0] | shifted[1] | shifted[2]
+    added["qc_version"] = F.lit(QC_VERSION)
+    return df.withColumns(added)
 
 
 def apply_quality_control(
@@ -364,6 +360,6 @@ def apply_quality_control(
     hours = score_hours(point_scales(hours, df, by, small), config, by)
     lookup = _broadcast_if(small, _lookup_table(hours, by))
     flagged = hard_bounds(df, config).join(lookup, _same_hour(by), "left")
-    flagged = combine_flags(point_flags(flagged, config)).withColumn("qc_version", F.lit(QC_VERSION))
+    flagged = combine_flags(point_flags(flagged, config))
     extras = [c for c in df.columns if c not in QC_COLUMNS]
     return flagged.select(*QC_COLUMNS, *extras)
