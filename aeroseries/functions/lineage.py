@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from aeroseries.functions.files import delete
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; a new temporary one only where none is set."""
@@ -25,3 +30,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def _write_staged(df: DataFrame) -> str:
+    path = f"{checkpoint_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
+def stage_table(df: DataFrame) -> DataFrame:
+    """Like :func:`cut_lineage` for wide frames: a Parquet table, so that later scans read only what they need."""
+    return df.sparkSession.read.parquet(_write_staged(df))
+
+
+@contextmanager
+def staged(df: DataFrame) -> Iterator[DataFrame]:
+    """A staged table that is removed when the block ends."""
+    path = _write_staged(df)
+    try:
+        yield df.sparkSession.read.parquet(path)
+    finally:
+        delete(df.sparkSession, path)

@@ -295,15 +295,28 @@ _LOOKUP = (
 )
 
 
-def _lookup_table(hours: DataFrame, by: Sequence[str]) -> DataFrame:
-    """The hourly table with the three gases side by side."""
-    return hours.groupBy(*_same_hour(by)).agg(
+def _look_up(df: DataFrame, hours: DataFrame, by: Sequence[str], small: bool) -> DataFrame:
+    """Join the hourly table, its three gases side by side, to the readings of each hour."""
+    lookup = hours.groupBy(*_same_hour(by)).agg(
         *(
             F.max(F.when(F.col("gas") == gas, F.col(name))).alias(f"_{gas}_{name}")
             for gas in GASES
             for name in _LOOKUP
+            if name in hours.columns
         )
     )
+    return df.join(_broadcast_if(small, lookup), _same_hour(by), "left")
+
+
+def flag_points(
+    df: DataFrame,
+    hours: DataFrame,
+    config: QcConfig = QcConfig(),
+    by: Sequence[str] = (),
+    small: bool = False,
+) -> DataFrame:
+    """Stages 1 and 2 on the readings; ``hours`` needs ``point_scale``."""
+    return point_flags(_look_up(hard_bounds(df, config), hours, by, small), config)
 
 
 def point_flags(df: DataFrame, config: QcConfig = QcConfig()) -> DataFrame:
@@ -358,8 +371,6 @@ def apply_quality_control(
     small = profile.hours <= limits.broadcast_hours
     hours = cut_lineage(hour_statistics(df, config, by, limits, profile))
     hours = score_hours(point_scales(hours, df, by, small), config, by)
-    lookup = _broadcast_if(small, _lookup_table(hours, by))
-    flagged = hard_bounds(df, config).join(lookup, _same_hour(by), "left")
-    flagged = combine_flags(point_flags(flagged, config))
+    flagged = combine_flags(flag_points(df, hours, config, by, small))
     extras = [c for c in df.columns if c not in QC_COLUMNS]
     return flagged.select(*QC_COLUMNS, *extras)

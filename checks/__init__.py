@@ -1,0 +1 @@
+"""Registered queries and the SQL that checks them."""
