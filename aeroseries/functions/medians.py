@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 from aeroseries.functions.lineage import cut_lineage
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, with ``value`` computed once however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def middle(ordered: Column) -> Column:
     """Median of a sorted array without nulls; null when it is empty.
 
-    Pass a column, not a sorting expression: the array is looked at several times.
+    The array is looked at several times: pass a column or a variable bound by :func:`let`.
     """
     n = F.size(ordered)
     low = F.try_element_at(ordered, F.floor((n + 1) / 2).cast("int"))

@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from aeroseries.config import GASES, MAD_TO_SIGMA, QC_VERSION, QcConfig, ScaleLimits
 from aeroseries.functions.clock import floor_hour
 from aeroseries.functions.lineage import cut_lineage
-from aeroseries.functions.medians import exact_median, middle
+from aeroseries.functions.medians import exact_median, let, middle
 from aeroseries.functions.numbers import nan_to_null
 from aeroseries.schema import QC_COLUMNS
 
 HOUR = "hour_start_ist"
+HOUR_STATISTICS = ("hour_rows", "hour_count", "hour_median", "hour_mad", "hour_reference")
 
 
 @dataclass(frozen=True)
@@ -89,12 +90,16 @@ def _spike(value: Column, config: QcConfig, count: Column, median: Column, scale
     return F.coalesce((count >= config.hourly_group_min_samples) & (z > config.point_spike_z), F.lit(False))
 
 
-def _per_gas(df: DataFrame, keep: Sequence[str], columns: dict[str, dict[str, Column]]) -> DataFrame:
-    """Turn the three gases' columns into rows with a ``gas`` column."""
-    rows = F.array(
-        *(F.struct(F.lit(gas).alias("gas"), *(c.alias(n) for n, c in columns[gas].items())) for gas in GASES)
-    )
-    return df.select(*keep, F.inline(rows))
+def _per_gas(df: DataFrame, keep: Sequence[str], rows: dict[str, Column]) -> DataFrame:
+    """Turn the three gases' structs into rows with a ``gas`` column."""
+    named = (F.struct(F.lit(gas).alias("gas"), row.alias("row")) for gas, row in rows.items())
+    return df.select(*keep, F.inline(F.array(*named))).select(*keep, "gas", "row.*")
+
+
+def _value_rows(df: DataFrame, keep: Sequence[str], values: dict[str, Column]) -> DataFrame:
+    """One row per gas and present value."""
+    rows = _per_gas(df, keep, {gas: F.struct(value.alias("value")) for gas, value in values.items()})
+    return rows.where(F.col("value").isNotNull())
 
 
 def _gathered_statistics(df: DataFrame, config: QcConfig, by: Sequence[str]) -> DataFrame:
@@ -103,36 +108,38 @@ def _gathered_statistics(df: DataFrame, config: QcConfig, by: Sequence[str]) ->
     arrays = df.groupBy(*keys).agg(
         F.count("*").alias("hour_rows"), *(F.collect_list(_valid(gas, config)).alias(gas) for gas in GASES)
     )
-    hours = _per_gas(arrays, [*keys, "hour_rows"], {gas: {"values": F.sort_array(gas)} for gas in GASES})
-    hours = hours.where(F.size("values") > 0)
-    hours = hours.withColumns({"hour_count": F.size("values"), "hour_median": middle(F.col("values"))})
-    distances = F.transform("values", lambda v: F.abs(v - F.col("hour_median")))
-    hours = hours.withColumn("distances", F.sort_array(distances))
+    values = {gas: F.struct(F.sort_array(gas).alias("values")) for gas in GASES}
+    hours = _per_gas(arrays, [*keys, "hour_rows"], values).where(F.size("values") > 0)
+    hours = hours.withColumns(
+        {"hour_count": F.size("values").cast("long"), "hour_median": middle(F.col("values"))}
+    )
+    distances = let(
+        F.col("hour_median"), lambda m: F.sort_array(F.transform("values", lambda v: F.abs(v - m)))
+    )
+    hours = hours.withColumn("distances", distances)
     hours = hours.withColumn("hour_mad", nan_to_null(middle(F.col("distances"))))
-    scale = _positive(MAD_TO_SIGMA * F.col("hour_mad"))
-    kept = F.filter(
-        "values", lambda v: ~_spike(v, config, F.col("hour_count"), F.col("hour_median"), scale)
+    usual = F.struct(
+        F.col("hour_count").alias("n"),
+        F.col("hour_median").alias("median"),
+        _positive(MAD_TO_SIGMA * F.col("hour_mad")).alias("scale"),
     )
-    return hours.withColumn("kept", kept).select(
-        *keys,
-        "gas",
-        F.col("hour_rows").cast("long"),
-        F.col("hour_count").cast("long").alias("hour_count"),
-        "hour_median",
-        "hour_mad",
-        middle(F.col("kept")).alias("hour_reference"),
+    kept = let(
+        usual,
+        lambda u: F.filter("values", lambda v: ~_spike(v, config, u["n"], u["median"], u["scale"])),
     )
+    hours = hours.withColumn("kept", kept).withColumn("hour_reference", middle(F.col("kept")))
+    return hours.select(*keys, "gas", *HOUR_STATISTICS)
 
 
 def _spread_statistics(df: DataFrame, config: QcConfig, by: Sequence[str], small: bool) -> DataFrame:
     """The same table when an hour is too large to gather: counted medians, no hour meets in one task."""
     keys = _same_hour(by)
-    values = _per_gas(df, keys, {gas: {"value": _valid(gas, config)} for gas in GASES})
-    values = values.where(F.col("value").isNotNull())
+    values = _value_rows(df, keys, {gas: _valid(gas, config) for gas in GASES})
     counted = df.groupBy(*keys).agg(
         F.count("*").alias("hour_rows"), *(F.count(_valid(gas, config)).alias(gas) for gas in GASES)
     )
-    hours = _per_gas(counted, [*keys, "hour_rows"], {gas: {"hour_count": F.col(gas)} for gas in GASES})
+    counts = {gas: F.struct(F.col(gas).alias("hour_count")) for gas in GASES}
+    hours = _per_gas(counted, [*keys, "hour_rows"], counts)
     keys = [*keys, "gas"]
     medians = exact_median(values, keys, "value", "hour_median", small)
     hours = hours.where(F.col("hour_count") > 0).join(_broadcast_if(small, medians), keys)
@@ -146,9 +153,7 @@ def _spread_statistics(df: DataFrame, config: QcConfig, by: Sequence[str], small
         ~_spike(F.col("value"), config, F.col("hour_count"), F.col("hour_median"), scale)
     )
     references = exact_median(kept, keys, "value", "hour_reference", small)
-    return hours.join(_broadcast_if(small, references), keys, "left").select(
-        *keys, "hour_rows", "hour_count", "hour_median", "hour_mad", "hour_reference"
-    )
+    return hours.join(_broadcast_if(small, references), keys, "left").select(*keys, *HOUR_STATISTICS)
 
 
 def hour_statistics(
@@ -179,7 +184,7 @@ def _positive(scale: Column) -> Column:
 def _raw_scale(df: DataFrame, flat: DataFrame, by: Sequence[str], small: bool) -> DataFrame:
     """MAD of all raw values, valid or not, of the gases listed in ``flat``."""
     keys = [*by, "gas"]
-    values = _per_gas(df, by, {gas: {"value": F.col(f"{gas}_raw")} for gas in GASES})
+    values = _value_rows(df, by, {gas: F.col(f"{gas}_raw") for gas in GASES})
     values = values.join(_broadcast_if(small, flat), keys)
     medians = exact_median(values, keys, "value", "centre", small)
     distances = values.join(_broadcast_if(small, medians), keys).withColumn(
@@ -228,8 +233,10 @@ def _with_rolling_median(
 
 
 def rolling_reference(hours: DataFrame, config: QcConfig = QcConfig(), by: Sequence[str] = ()) -> DataFrame:
-    """Add ``rolling_median``, ``residual`` and ``rolling_mad``."""
-    hours = hours.where(F.col("hour_reference").isNotNull())
+    """Add ``rolling_median``, ``residual`` and ``rolling_mad``.
+
+    Every hour of the table has a reference value: a hour's median is never a spike.
+    """
     hours = _with_rolling_median(hours, F.col("hour_reference"), "rolling_median", config, by)
     hours = hours.withColumn("residual", F.col("hour_reference") - F.col("rolling_median"))
     return _with_rolling_median(hours, F.abs("residual"), "rolling_mad", config, by)
