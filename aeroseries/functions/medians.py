@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,20 +10,12 @@ from pyspark.sql import functions as F
 from aeroseries.functions.lineage import cut_lineage
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, with ``value`` computed once however often ``body`` uses it."""
-    return F.transform(F.array(value), body)[0]
+def middle(ordered: str) -> str:
+    """SQL for the median of a sorted array without nulls; null when it is empty.
 
-
-def middle(ordered: Column) -> Column:
-    """Median of a sorted array without nulls; null when it is empty.
-
-    The array is looked at several times: pass a column or a variable bound by :func:`let`.
+    The array is looked at several times, so it should be named, not computed in place.
     """
-    n = F.size(ordered)
-    low = F.try_element_at(ordered, F.floor((n + 1) / 2).cast("int"))
-    high = F.try_element_at(ordered, (F.floor(n / 2) + 1).cast("int"))
-    return F.when(n > 0, (low + high) / 2)
+    return f"(get({ordered}, int((size({ordered}) - 1) div 2)) + get({ordered}, int(size({ordered}) div 2))) / 2"
 
 
 def _magnitude(value: Column) -> Column:

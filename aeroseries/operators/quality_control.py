@@ -10,14 +10,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aeroseries.config import GASES, MAD_TO_SIGMA, QC_VERSION, QcConfig, ScaleLimits
 from aeroseries.functions.clock import floor_hour
 from aeroseries.functions.lineage import cut_lineage
-from aeroseries.functions.medians import exact_median, let, middle
-from aeroseries.functions.numbers import nan_to_null
+from aeroseries.functions.medians import exact_median, middle
 from aeroseries.schema import QC_COLUMNS
 
 HOUR = "hour_start_ist"
@@ -43,115 +42,109 @@ def _broadcast_if(small: bool, df: DataFrame) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
-def _same_hour(by: Sequence[str]) -> list[str]:
-    return [*by, HOUR]
-
-
 def prepare(df: DataFrame) -> DataFrame:
-    """Fill in the hour and the raw copies where the caller left them out."""
-    added = {}
+    """Fill in the hour and the raw copies where the caller left them out; NaN becomes null."""
+    raw = {f"{gas}_raw": f"{gas}_raw" if f"{gas}_raw" in df.columns else gas for gas in GASES}
+    added = {name: F.expr(f"nanvl({source}, NULL)") for name, source in raw.items()}
     if HOUR not in df.columns:
         added[HOUR] = floor_hour(F.col("datetime_ist"))
-    for gas in GASES:
-        if f"{gas}_raw" not in df.columns:
-            added[f"{gas}_raw"] = F.col(gas)
-    return df.withColumns(added) if added else df
+    return df.withColumns(added)
 
 
 # Stage 1: hard bounds
 
 
-def is_hard(raw: Column, gas: str, config: QcConfig) -> Column:
-    """Missing, or outside the gas's bounds."""
-    bounds = config.bounds(gas)
-    flag = raw.isNull()
+def is_hard(gas: str, config: QcConfig) -> str:
+    """SQL: the raw value is missing, or outside the gas's bounds."""
+    bounds, raw = config.bounds(gas), f"{gas}_raw"
+    tests = [f"{raw} IS NULL"]
     if bounds.min is not None:
-        flag = flag | (raw < bounds.min)
+        tests.append(f"{raw} < {float(bounds.min)}D")
     if bounds.max is not None:
-        flag = flag | (raw > bounds.max)
-    return F.coalesce(flag, F.lit(True))
+        tests.append(f"{raw} > {float(bounds.max)}D")
+    return f"({' OR '.join(tests)})"
 
 
 def hard_bounds(df: DataFrame, config: QcConfig = QcConfig()) -> DataFrame:
     """Add ``<gas>_flag_hard``."""
-    return df.withColumns({f"{gas}_flag_hard": is_hard(F.col(f"{gas}_raw"), gas, config) for gas in GASES})
+    return df.selectExpr("*", *(f"{is_hard(gas, config)} AS {gas}_flag_hard" for gas in GASES))
 
 
-def _valid(gas: str, config: QcConfig) -> Column:
-    raw = F.col(f"{gas}_raw")
-    return F.when(~is_hard(raw, gas, config), raw)
+def _valid(gas: str, config: QcConfig) -> str:
+    return f"CASE WHEN NOT {is_hard(gas, config)} THEN {gas}_raw END"
 
 
 # Stage 2: statistics of each hour
 
 
-def _spike(value: Column, config: QcConfig, count: Column, median: Column, scale: Column) -> Column:
-    z = F.abs(value - median) / scale
-    return F.coalesce((count >= config.hourly_group_min_samples) & (z > config.point_spike_z), F.lit(False))
+def _scale(mad: str) -> str:
+    """SQL: standard deviation from a MAD; null unless positive."""
+    return f"CASE WHEN {mad} > 0 THEN {MAD_TO_SIGMA}D * {mad} END"
 
 
-def _per_gas(df: DataFrame, keep: Sequence[str], rows: dict[str, Column]) -> DataFrame:
-    """Turn the three gases' structs into rows with a ``gas`` column."""
-    named = (F.struct(F.lit(gas).alias("gas"), row.alias("row")) for gas, row in rows.items())
-    return df.select(*keep, F.inline(F.array(*named))).select(*keep, "gas", "row.*")
+def _is_spike(value: str, count: str, median: str, scale: str, config: QcConfig) -> str:
+    """SQL, true or false also where there is no scale."""
+    return (
+        f"COALESCE({count} >= {config.hourly_group_min_samples}"
+        f" AND abs({value} - {median}) / {scale} > {float(config.point_spike_z)}D, FALSE)"
+    )
 
 
-def _value_rows(df: DataFrame, keep: Sequence[str], values: dict[str, Column]) -> DataFrame:
-    """One row per gas and present value."""
-    rows = _per_gas(df, keep, {gas: F.struct(value.alias("value")) for gas, value in values.items()})
-    return rows.where(F.col("value").isNotNull())
+def _per_gas(df: DataFrame, keep: Sequence[str], name: str, values: dict[str, str]) -> DataFrame:
+    """One row per gas instead of one column each."""
+    rows = ", ".join(f"named_struct('gas', '{gas}', '{name}', {value})" for gas, value in values.items())
+    return df.selectExpr(*keep, f"inline(array({rows}))")
 
 
 def _gathered_statistics(df: DataFrame, config: QcConfig, by: Sequence[str]) -> DataFrame:
-    """Hours small enough to gather: one shuffle brings an hour's valid values together as arrays."""
-    keys = _same_hour(by)
+    """Hours small enough to gather: one shuffle brings an hour's valid values together as arrays.
+
+    ``transform(array(x), name -> ...)[0]`` names a value inside an expression, so that it is computed once and not
+    for every element.
+    """
+    keys = [*by, HOUR]
     arrays = df.groupBy(*keys).agg(
-        F.count("*").alias("hour_rows"), *(F.collect_list(_valid(gas, config)).alias(gas) for gas in GASES)
-    )
-    values = {gas: F.struct(F.sort_array(gas).alias("values")) for gas in GASES}
-    hours = _per_gas(arrays, [*keys, "hour_rows"], values).where(F.size("values") > 0)
-    hours = hours.withColumns(
-        {"hour_count": F.size("values").cast("long"), "hour_median": middle(F.col("values"))}
+        F.expr("count(*) AS hour_rows"),
+        *(F.expr(f"collect_list({_valid(gas, config)}) AS {gas}") for gas in GASES),
     )
-    distances = let(
-        F.col("hour_median"), lambda m: F.sort_array(F.transform("values", lambda v: F.abs(v - m)))
+    hours = _per_gas(arrays, [*keys, "hour_rows"], "ordered", {gas: f"sort_array({gas})" for gas in GASES})
+    hours = hours.where("size(ordered) > 0").selectExpr(
+        "*", "CAST(size(ordered) AS BIGINT) AS hour_count", f"{middle('ordered')} AS hour_median"
     )
-    hours = hours.withColumn("distances", distances)
-    hours = hours.withColumn("hour_mad", nan_to_null(middle(F.col("distances"))))
-    usual = F.struct(
-        F.col("hour_count").alias("n"),
-        F.col("hour_median").alias("median"),
-        _positive(MAD_TO_SIGMA * F.col("hour_mad")).alias("scale"),
+    hours = hours.selectExpr(
+        "*",
+        "transform(array(hour_median), m -> sort_array(transform(ordered, v -> abs(v - m))))[0] AS distances",
     )
-    kept = let(
-        usual,
-        lambda u: F.filter("values", lambda v: ~_spike(v, config, u["n"], u["median"], u["scale"])),
+    hours = hours.selectExpr("*", f"nanvl({middle('distances')}, NULL) AS hour_mad")
+    usual = f"named_struct('n', hour_count, 'median', hour_median, 'scale', {_scale('hour_mad')})"
+    spike = _is_spike("v", "u.n", "u.median", "u.scale", config)
+    hours = hours.selectExpr(
+        "*", f"transform(array({usual}), u -> filter(ordered, v -> NOT {spike}))[0] AS kept"
     )
-    hours = hours.withColumn("kept", kept).withColumn("hour_reference", middle(F.col("kept")))
+    hours = hours.selectExpr("*", f"{middle('kept')} AS hour_reference")
     return hours.select(*keys, "gas", *HOUR_STATISTICS)
 
 
 def _spread_statistics(df: DataFrame, config: QcConfig, by: Sequence[str], small: bool) -> DataFrame:
     """The same table when an hour is too large to gather: counted medians, no hour meets in one task."""
-    keys = _same_hour(by)
-    values = _value_rows(df, keys, {gas: _valid(gas, config) for gas in GASES})
+    keys = [*by, HOUR]
+    valid = {gas: _valid(gas, config) for gas in GASES}
+    values = _per_gas(df, keys, "value", valid).where("value IS NOT NULL")
     counted = df.groupBy(*keys).agg(
-        F.count("*").alias("hour_rows"), *(F.count(_valid(gas, config)).alias(gas) for gas in GASES)
+        F.expr("count(*) AS hour_rows"), *(F.expr(f"count({valid[gas]}) AS {gas}") for gas in GASES)
     )
-    counts = {gas: F.struct(F.col(gas).alias("hour_count")) for gas in GASES}
-    hours = _per_gas(counted, [*keys, "hour_rows"], counts)
+    hours = _per_gas(counted, [*keys, "hour_rows"], "hour_count", {gas: gas for gas in GASES})
     keys = [*keys, "gas"]
     medians = exact_median(values, keys, "value", "hour_median", small)
-    hours = hours.where(F.col("hour_count") > 0).join(_broadcast_if(small, medians), keys)
-    distances = values.join(_broadcast_if(small, medians), keys).withColumn(
-        "value", nan_to_null(F.abs(F.col("value") - F.col("hour_median")))
+    hours = hours.where("hour_count > 0").join(_broadcast_if(small, medians), keys)
+    distances = values.join(_broadcast_if(small, medians), keys).selectExpr(
+        *keys, "nanvl(abs(value - hour_median), NULL) AS value"
     )
     mads = exact_median(distances, keys, "value", "hour_mad", small)
-    hours = hours.join(_broadcast_if(small, mads), keys, "left")
-    scale = _positive(MAD_TO_SIGMA * F.col("hour_mad"))
-    kept = values.join(_broadcast_if(small, hours), keys).where(
-        ~_spike(F.col("value"), config, F.col("hour_count"), F.col("hour_median"), scale)
-    )
+    hours = cut_lineage(hours.join(_broadcast_if(small, mads), keys, "left"))
+    usual = hours.selectExpr(*keys, "hour_count", "hour_median", f"{_scale('hour_mad')} AS scale")
+    spike = _is_spike("value", "hour_count", "hour_median", "scale", config)
+    kept = values.join(_broadcast_if(small, usual), keys).where(f"NOT {spike}")
     references = exact_median(kept, keys, "value", "hour_reference", small)
     return hours.join(_broadcast_if(small, references), keys, "left").select(*keys, *HOUR_STATISTICS)
 
@@ -174,24 +167,17 @@ def hour_statistics(
     return _spread_statistics(df, config, by, profile.hours <= limits.broadcast_hours)
 
 
-# Scales
-
-
-def _positive(scale: Column) -> Column:
-    return F.when(scale > 0, scale)
-
-
 def _raw_scale(df: DataFrame, flat: DataFrame, by: Sequence[str], small: bool) -> DataFrame:
-    """MAD of all raw values, valid or not, of the gases listed in ``flat``."""
+    """Scale from the MAD of all raw values, valid or not, of the gases listed in ``flat``."""
     keys = [*by, "gas"]
-    values = _value_rows(df, by, {gas: F.col(f"{gas}_raw") for gas in GASES})
+    values = _per_gas(df, by, "value", {gas: f"{gas}_raw" for gas in GASES}).where("value IS NOT NULL")
     values = values.join(_broadcast_if(small, flat), keys)
     medians = exact_median(values, keys, "value", "centre", small)
-    distances = values.join(_broadcast_if(small, medians), keys).withColumn(
-        "value", nan_to_null(F.abs(F.col("value") - F.col("centre")))
+    distances = values.join(_broadcast_if(small, medians), keys).selectExpr(
+        *keys, "nanvl(abs(value - centre), NULL) AS value"
     )
     mads = exact_median(distances, keys, "value", "raw_mad", small)
-    return mads.select(*keys, (MAD_TO_SIGMA * F.col("raw_mad")).alias("raw_scale"))
+    return mads.selectExpr(*keys, f"{_scale('raw_mad')} AS raw_scale")
 
 
 def point_scales(hours: DataFrame, df: DataFrame, by: Sequence[str] = (), small: bool = False) -> DataFrame:
@@ -201,18 +187,18 @@ def point_scales(hours: DataFrame, df: DataFrame, by: Sequence[str] = (), small:
     the readings, so it is planned only where such a gas exists; ``hours`` should be a computed table.
     """
     keys = [*by, "gas"]
-    own = _positive(MAD_TO_SIGMA * F.col("hour_mad"))
-    typical = F.percentile(own, 0.5, F.col("hour_rows")).over(Window.partitionBy(*keys))
-    scaled = F.coalesce(own, F.col("_typical"))
-    flat = hours.groupBy(*keys).agg(F.max(own).alias("_own")).where(F.col("_own").isNull()).select(*keys)
-    hours = hours.withColumn("_typical", typical)
+    own = _scale("hour_mad")
+    flat = hours.groupBy(*keys).agg(F.expr(f"max({own}) AS own")).where("own IS NULL").select(*keys)
+    series = f"PARTITION BY {', '.join(keys)}"
+    typical = f"COALESCE({own}, percentile({own}, 0.5D, hour_rows) OVER ({series}))"
+    hours = hours.selectExpr("*", f"{typical} AS point_scale")
     if flat.isEmpty():
-        return hours.withColumn("point_scale", scaled).drop("_typical")
-    raw = _raw_scale(df, flat, by, small)
+        return hours
+    raw = _broadcast_if(small, _raw_scale(df, flat, by, small))
     return (
-        hours.join(_broadcast_if(small, raw), keys, "left")
-        .withColumn("point_scale", F.coalesce(scaled, _positive(F.col("raw_scale"))))
-        .drop("_typical", "raw_scale")
+        hours.join(raw, keys, "left")
+        .withColumn("point_scale", F.coalesce("point_scale", "raw_scale"))
+        .drop("raw_scale")
     )
 
 
@@ -220,67 +206,59 @@ def point_scales(hours: DataFrame, df: DataFrame, by: Sequence[str] = (), small:
 
 
 def _with_rolling_median(
-    hours: DataFrame, value: Column, name: str, config: QcConfig, by: Sequence[str]
+    hours: DataFrame, value: str, name: str, config: QcConfig, by: Sequence[str]
 ) -> DataFrame:
     """Centred median over present hours; null below the minimum number of values."""
     window = config.hourly_reference_window_hours
-    frame = (
-        Window.partitionBy(*by, "gas").orderBy(HOUR).rowsBetween(-(window // 2), (window - 1) // 2)
-    )
-    hours = hours.withColumn("_near", F.sort_array(F.collect_list(value).over(frame)))
-    enough = F.size("_near") >= config.hourly_reference_min_periods
-    return hours.withColumn(name, F.when(enough, middle(F.col("_near")))).drop("_near")
+    frame = Window.partitionBy(*by, "gas").orderBy(HOUR).rowsBetween(-(window // 2), (window - 1) // 2)
+    hours = hours.withColumn("near", F.sort_array(F.collect_list(F.expr(value)).over(frame)))
+    rolled = f"CASE WHEN size(near) >= {config.hourly_reference_min_periods} THEN {middle('near')} END"
+    return hours.withColumn(name, F.expr(rolled)).drop("near")
 
 
 def rolling_reference(hours: DataFrame, config: QcConfig = QcConfig(), by: Sequence[str] = ()) -> DataFrame:
     """Add ``rolling_median``, ``residual`` and ``rolling_mad``.
 
-    Every hour of the table has a reference value: a hour's median is never a spike.
+    Every hour of the table has a reference value: an hour's median is never a spike.
     """
-    hours = _with_rolling_median(hours, F.col("hour_reference"), "rolling_median", config, by)
-    hours = hours.withColumn("residual", F.col("hour_reference") - F.col("rolling_median"))
-    return _with_rolling_median(hours, F.abs("residual"), "rolling_mad", config, by)
+    hours = _with_rolling_median(hours, "hour_reference", "rolling_median", config, by)
+    hours = hours.withColumn("residual", F.expr("hour_reference - rolling_median"))
+    return _with_rolling_median(hours, "abs(residual)", "rolling_mad", config, by)
 
 
 def hourly_scores(hours: DataFrame, config: QcConfig = QcConfig(), by: Sequence[str] = ()) -> DataFrame:
     """Add ``hour_scale``, ``hourly_robust_z`` and ``candidate``."""
-    series = Window.partitionBy(*by, "gas")
-    own = _positive(MAD_TO_SIGMA * F.col("rolling_mad"))
-    hours = hours.withColumns(
-        {
-            "_typical": F.percentile(own, 0.5).over(series),
-            "_centre": F.percentile("residual", 0.5).over(series),
-        }
+    series = f"OVER (PARTITION BY {', '.join([*by, 'gas'])})"
+    own = _scale("rolling_mad")
+    hours = hours.selectExpr(
+        "*",
+        f"percentile({own}, 0.5D) {series} AS typical",
+        f"percentile(residual, 0.5D) {series} AS centre",
     )
-    spread = F.percentile(F.abs(F.col("residual") - F.col("_centre")), 0.5).over(series)
-    hours = hours.withColumn("_spread", spread)
-    fallback = F.coalesce("_typical", _positive(MAD_TO_SIGMA * F.col("_spread")))
-    hours = hours.withColumn("hour_scale", F.coalesce(own, fallback))
-    hours = hours.withColumn("hourly_robust_z", F.abs("residual") / F.col("hour_scale"))
-    candidate = F.coalesce(F.col("hourly_robust_z") > config.hourly_spike_z, F.lit(False))
-    return hours.withColumn("candidate", candidate).drop("_typical", "_centre", "_spread")
+    hours = hours.withColumn("spread", F.expr(f"percentile(abs(residual - centre), 0.5D) {series}"))
+    hours = hours.withColumn("hour_scale", F.expr(f"COALESCE({own}, typical, {_scale('spread')})"))
+    hours = hours.withColumn("hourly_robust_z", F.expr("abs(residual) / hour_scale"))
+    candidate = f"COALESCE(hourly_robust_z > {float(config.hourly_spike_z)}D, FALSE)"
+    return hours.withColumn("candidate", F.expr(candidate)).drop("typical", "centre", "spread")
 
 
 def run_lengths(hours: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Add ``run_length``: how many candidates stand side by side, 0 for other hours."""
-    ordered = Window.partitionBy(*by, "gas").orderBy(HOUR)
-    changed = F.col("candidate") != F.lag("candidate", 1, False).over(ordered)
-    hours = hours.withColumn("_changed", changed.cast("int"))
-    hours = hours.withColumn("_run", F.sum("_changed").over(ordered))
-    length = F.count("*").over(Window.partitionBy(*by, "gas", "_run"))
-    return hours.withColumn(
-        "run_length", F.when(F.col("candidate"), length).otherwise(F.lit(0).cast("long"))
-    ).drop("_changed", "_run")
+    series = ", ".join([*by, "gas"])
+    ordered = f"OVER (PARTITION BY {series} ORDER BY {HOUR})"
+    hours = hours.selectExpr("*", f"int(candidate != lag(candidate, 1, FALSE) {ordered}) AS changed")
+    hours = hours.selectExpr("*", f"sum(changed) {ordered} AS run")
+    length = f"CASE WHEN candidate THEN count(*) OVER (PARTITION BY {series}, run) ELSE 0L END AS run_length"
+    return hours.selectExpr("*", length).drop("changed", "run")
 
 
 def hourly_flags(hours: DataFrame, config: QcConfig = QcConfig()) -> DataFrame:
     """Add ``flag_hourly_spike`` for short runs and ``flag_sustained_shift`` for long ones."""
-    long_run = F.col("run_length") > config.sustained_shift_min_hours
-    return hours.withColumns(
-        {
-            "flag_hourly_spike": F.col("candidate") & ~long_run,
-            "flag_sustained_shift": F.col("candidate") & long_run,
-        }
+    longest = config.sustained_shift_min_hours
+    return hours.selectExpr(
+        "*",
+        f"candidate AND run_length <= {longest} AS flag_hourly_spike",
+        f"candidate AND run_length > {longest} AS flag_sustained_shift",
     )
 
 
@@ -304,15 +282,11 @@ _LOOKUP = (
 
 def _look_up(df: DataFrame, hours: DataFrame, by: Sequence[str], small: bool) -> DataFrame:
     """Join the hourly table, its three gases side by side, to the readings of each hour."""
-    lookup = hours.groupBy(*_same_hour(by)).agg(
-        *(
-            F.max(F.when(F.col("gas") == gas, F.col(name))).alias(f"_{gas}_{name}")
-            for gas in GASES
-            for name in _LOOKUP
-            if name in hours.columns
-        )
+    columns = [name for name in _LOOKUP if name in hours.columns]
+    beside = hours.groupBy(*by, HOUR).agg(
+        *(F.expr(f"max({name}) FILTER (WHERE gas = '{gas}') AS _{gas}_{name}") for gas in GASES for name in columns)
     )
-    return df.join(_broadcast_if(small, lookup), _same_hour(by), "left")
+    return df.join(_broadcast_if(small, beside), [*by, HOUR], "left")
 
 
 def flag_points(
@@ -322,44 +296,39 @@ def flag_points(
     by: Sequence[str] = (),
     small: bool = False,
 ) -> DataFrame:
-    """Stages 1 and 2 on the readings; ``hours`` needs ``point_scale``."""
-    return point_flags(_look_up(hard_bounds(df, config), hours, by, small), config)
-
-
-def point_flags(df: DataFrame, config: QcConfig = QcConfig()) -> DataFrame:
-    """Add each gas's point z and spike flag from the looked-up hour columns."""
-    added = {}
+    """Stages 1 and 2 on the readings: hard flags, point z, point spikes. ``hours`` needs ``point_scale``."""
+    looked_up = _look_up(hard_bounds(df, config), hours, by, small)
+    added = []
     for gas in GASES:
-        raw, median = F.col(f"{gas}_raw"), F.col(f"_{gas}_hour_median")
-        z = F.abs(raw - median) / F.col(f"_{gas}_point_scale")
-        enough = F.col(f"_{gas}_hour_count") >= config.hourly_group_min_samples
-        flag = ~F.col(f"{gas}_flag_hard") & enough & (z > config.point_spike_z)
-        added[f"{gas}_point_robust_z"] = z
-        added[f"{gas}_flag_point_spike"] = F.coalesce(flag, F.lit(False))
-    return df.withColumns(added)
+        raw, count, median, scale = f"{gas}_raw", f"_{gas}_hour_count", f"_{gas}_hour_median", f"_{gas}_point_scale"
+        spike = _is_spike(raw, count, median, scale, config)
+        added.append(f"abs({raw} - {median}) / {scale} AS {gas}_point_robust_z")
+        added.append(f"NOT {gas}_flag_hard AND {spike} AS {gas}_flag_point_spike")
+    return looked_up.selectExpr("*", *added)
 
 
-def combine_flags(df: DataFrame) -> DataFrame:
-    """Add hourly flags, exclusions, cleaned values and the any-flags.
+def combine_flags(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """The final columns: flags, exclusions, cleaned values and any-flags; ``keep`` follows.
 
     A sustained shift is reported but its readings are kept.
     """
-    added, excluded, shifted = {}, [], []
+    columns, excluded, shifted = {"qc_version": f"'{QC_VERSION}'"}, [], []
     for gas in GASES:
-        spike = F.coalesce(f"_{gas}_flag_hourly_spike", F.lit(False))
-        shift = F.coalesce(f"_{gas}_flag_sustained_shift", F.lit(False))
-        out = F.col(f"{gas}_flag_hard") | F.col(f"{gas}_flag_point_spike") | spike
-        added[f"{gas}_flag_hourly_spike"] = spike
-        added[f"{gas}_flag_sustained_shift"] = shift
-        added[f"{gas}_hourly_robust_z"] = F.col(f"_{gas}_hourly_robust_z")
-        added[f"{gas}_qc_excluded"] = out
-        added[gas] = F.when(~out, F.col(f"{gas}_raw"))
+        spike, shift = f"COALESCE(_{gas}_flag_hourly_spike, FALSE)", f"COALESCE(_{gas}_flag_sustained_shift, FALSE)"
+        out = f"({gas}_flag_hard OR {gas}_flag_point_spike OR {spike})"
         excluded.append(out)
         shifted.append(shift)
-    added["qc_any_excluded"] = excluded[0] | excluded[1] | excluded[2]
-    added["qc_any_sustained_shift"] = shifted[0] | shifted[1] | shifted[2]
-    added["qc_version"] = F.lit(QC_VERSION)
-    return df.withColumns(added)
+        columns |= {
+            gas: f"CASE WHEN NOT {out} THEN {gas}_raw END",
+            f"{gas}_flag_hourly_spike": spike,
+            f"{gas}_flag_sustained_shift": shift,
+            f"{gas}_qc_excluded": out,
+            f"{gas}_hourly_robust_z": f"_{gas}_hourly_robust_z",
+        }
+    columns["qc_any_excluded"] = " OR ".join(excluded)
+    columns["qc_any_sustained_shift"] = " OR ".join(shifted)
+    extras = (f"`{name}`" for name in keep)
+    return df.selectExpr(*(f"{columns.get(name, name)} AS {name}" for name in QC_COLUMNS), *extras)
 
 
 def apply_quality_control(
@@ -378,6 +347,6 @@ def apply_quality_control(
     small = profile.hours <= limits.broadcast_hours
     hours = cut_lineage(hour_statistics(df, config, by, limits, profile))
     hours = score_hours(point_scales(hours, df, by, small), config, by)
-    flagged = combine_flags(flag_points(df, hours, config, by, small))
-    extras = [c for c in df.columns if c not in QC_COLUMNS]
-    return flagged.select(*QC_COLUMNS, *extras)
+    return combine_flags(
+        flag_points(df, hours, config, by, small), [c for c in df.columns if c not in QC_COLUMNS]
+    )
