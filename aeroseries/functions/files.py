@@ -16,6 +16,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return system.exists(location)
 
 
+def any_path(spark: SparkSession, pattern: str) -> bool:
+    """Whether a glob pattern matches anything."""
+    system, location = _located(spark, pattern)
+    return len(system.globStatus(location) or ()) > 0
+
+
 def absolute_uri(spark: SparkSession, path: str) -> str:
     """The path as Spark reports it for files, with scheme and without relative parts."""
     system, location = _located(spark, path)

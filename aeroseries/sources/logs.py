@@ -34,7 +34,10 @@ FOUND_SCHEMA = T.StructType(
 
 
 def _listing(spark: SparkSession, folders: Sequence[str], pattern: str) -> DataFrame:
-    """Path, time and size of matching files at any depth; file contents are not read."""
+    """Path, time and size of matching files at any depth; file contents are not read.
+
+    Spark leaves files of zero bytes out of a listing, so they are neither read nor rejected nor recorded.
+    """
     folders = [f for f in folders if path_exists(spark, f)]
     if not folders:
         return spark.createDataFrame([], FOUND_SCHEMA)
@@ -91,6 +94,12 @@ def _positions(header: Column) -> Column:
     return F.when(complete, F.array(*at))
 
 
+def _file_path() -> Column:
+    """The path of a row's file as a listing gives it; the metadata column holds it URL-encoded."""
+    encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+    return F.url_decode(encoded).alias("path")
+
+
 def _read_or_reject(positions: Column, path: Column, strict: bool) -> Column:
     if not strict:
         return positions
@@ -163,10 +172,10 @@ def read_log_lines(
     parts = []
     if small:
         text = spark.read.text(small, wholetext=True)
-        parts.append(whole_file_rows(text.select(F.col("_metadata.file_path").alias("path"), "value"), strict))
+        parts.append(whole_file_rows(text.select(_file_path(), "value"), strict))
     if large:
         lines = spark.read.text(large).select(
-            F.col("_metadata.file_path").alias("path"),
+            _file_path(),
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("id"),
             F.col("value").alias("line"),

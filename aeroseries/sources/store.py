@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from aeroseries.config import GASES, ScaleLimits
 from aeroseries.functions.clock import as_date, in_months
-from aeroseries.functions.files import delete, path_exists
+from aeroseries.functions.files import any_path, delete
 from aeroseries.operators.hourly import hourly_preaggregate
 from aeroseries.operators.ranges import filter_by_date_range, normalize_frame
 from aeroseries.operators.report import available_months, partition_stats, summarize
@@ -60,10 +60,10 @@ class GasStore:
     # Reading
 
     def raw_exists(self) -> bool:
-        return path_exists(self.spark, f"{self.raw_path}/_SUCCESS")
+        return any_path(self.spark, f"{self.raw_path}/year=*")
 
     def hourly_exists(self) -> bool:
-        return path_exists(self.spark, f"{self.hourly_path}/_SUCCESS")
+        return any_path(self.spark, f"{self.hourly_path}/year=*")
 
     def raw(self) -> DataFrame:
         return self.spark.read.parquet(self.raw_path)
