@@ -78,3 +78,16 @@ def test_copies_are_dropped_before_the_shuffle(spark):
 def test_missing_column_is_an_error(spark):
     with pytest.raises(ValueError, match="CH4_sync"):
         standardize(raw(spark, [("2025-11-01", "00:00:00", "1", "2", "3")]).drop("CH4_sync"))
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kathmandu"])
+def test_session_zone_moves_nothing(spark, zone):
+    # 02:30 on this day does not exist in New York
+    rows = [("2024-03-10", "02:30:00", "1", "2", "3"), ("2024-03-09", "21:00:00", "1", "2", "3")]
+    expected = sorted(tuple(r) for r in standardize(raw(spark, rows)).collect())
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        assert sorted(tuple(r) for r in standardize(raw(spark, rows)).collect()) == expected
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert expected[0][2] == datetime(2024, 3, 10, 2) and expected[1][2] == datetime(2024, 3, 10, 8)
