@@ -266,11 +266,17 @@ BETWEEN = f"date_ist BETWEEN DATE '{RANGE[0]}' AND DATE '{RANGE[1]}'"
 
 
 def pair(x: str, y: str, source: str, by: str = "", where: str = "TRUE") -> str:
+    """Statistics of a pair; by definition null below two complete rows, where DuckDB would give NaN."""
     key = f"{by}, " if by else ""
     group = f"GROUP BY {by}" if by else ""
-    return f"""SELECT {key}'{x}' AS x, '{y}' AS y, CAST(regr_count({y}, {x}) AS BIGINT) AS n,
-      {r(f"corr({y}, {x})", "pearson_r")}, {r(f"regr_slope({y}, {x})", "slope")},
-      {r(f"regr_intercept({y}, {x})", "intercept")}, {r(f"regr_r2({y}, {x})", "r2")}
+    n = f"regr_count({y}, {x})"
+
+    def defined(function: str, name: str) -> str:
+        return r(f"CASE WHEN {n} >= 2 THEN {function}({y}, {x}) END", name)
+
+    return f"""SELECT {key}'{x}' AS x, '{y}' AS y, CAST({n} AS BIGINT) AS n,
+      {defined("corr", "pearson_r")}, {defined("regr_slope", "slope")},
+      {defined("regr_intercept", "intercept")}, {defined("regr_r2", "r2")}
       FROM {source} WHERE {where} {group}"""
 
 
@@ -460,7 +466,7 @@ ORACLES = {
 }
 
 for suffix, settings in (("", DEFAULT), ("_tight", TIGHT)):
-    z = ("hour_scale", "hourly_robust_z")
+    z = ("hourly_robust_z",)
     ORACLES |= {
         f"qc_hourly_series{suffix}": qc_hours(settings, "hourly", ("hour_reference",), ("hour_reference",)),
         f"qc_hourly_z{suffix}": qc_hours(settings, "candidates", (*z, "candidate"), z),

@@ -134,7 +134,7 @@ def qc_rolling(config: QcConfig, *columns: str) -> Query:
 def qc_hourly_z(config: QcConfig) -> Query:
     return on_events(
         lambda df: qc.hourly_scores(qc.rolling_reference(_hours(df, config)[0], config), config).select(
-            "gas", "hour_start_ist", "hour_scale", "hourly_robust_z", "candidate"
+            "gas", "hour_start_ist", "hourly_robust_z", "candidate"
         )
     )
 
