@@ -80,8 +80,12 @@ def _is_header(line: Column) -> Column:
     return upper.contains("DATE") & upper.contains("TIME")
 
 
+def _stripped(line: Column) -> Column:
+    return F.trim(line, F.lit(" \t\r"))
+
+
 def _tokens(line: Column) -> Column:
-    return F.split(F.trim(F.regexp_replace(line, "\r$", "")), DELIMITER)
+    return F.split(_stripped(line), DELIMITER)
 
 
 def _positions(header: Column) -> Column:
@@ -148,12 +152,16 @@ def split_file_rows(lines: DataFrame, broadcast_headers: bool, strict: bool = Fa
 
 
 def _rows(lines: DataFrame, line_no: Column, is_header: Column) -> DataFrame:
-    split = lines.where(F.trim("line") != "").withColumn("tokens", _tokens(F.col("line")))
+    split = lines.where(_stripped(F.col("line")) != "").withColumn("tokens", _tokens(F.col("line")))
     columns = [
         F.try_element_at("tokens", F.col("positions")[i]).alias(name) for i, name in enumerate(REQUIRED_COLUMNS)
     ]
+    # a generator, so that later filters on these columns do not split the line again
     return split.select(
-        *columns, F.col("path").alias("source_file"), line_no.alias("line_no"), is_header.alias("is_header")
+        F.inline(F.array(F.struct(*columns))),
+        F.col("path").alias("source_file"),
+        line_no.alias("line_no"),
+        is_header.alias("is_header"),
     )
 
 
