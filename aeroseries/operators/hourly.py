@@ -18,13 +18,20 @@ def _any_present(gases: Sequence[str]) -> Column:
 
 
 def hourly_preaggregate(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Mean of each gas per IST hour, from rows with at least one gas."""
+    """Mean of each gas per IST hour, from rows with at least one gas.
+
+    Date and hour of day follow from the hour, so they are neither read nor grouped by.
+    """
     gases = present_gases(df)
-    hour = floor_hour(F.col("datetime_ist")).alias("hour_start_ist")
-    return (
-        df.where(_any_present(gases))
-        .groupBy(*by, hour, "date_ist", F.col("hour_ist").cast("int").alias("hour_ist"))
-        .agg(*(F.avg(gas).alias(gas) for gas in gases))
+    stored = "hour_start_ist" in df.columns
+    hour = F.col("hour_start_ist") if stored else floor_hour(F.col("datetime_ist")).alias("hour_start_ist")
+    means = df.where(_any_present(gases)).groupBy(*by, hour).agg(*(F.avg(gas).alias(gas) for gas in gases))
+    return means.select(
+        *by,
+        "hour_start_ist",
+        F.to_date("hour_start_ist").alias("date_ist"),
+        F.hour("hour_start_ist").alias("hour_ist"),
+        *gases,
     )
 
 
