@@ -129,7 +129,8 @@ def test_discovery_by_month(spark, tmp_path):
     assert names(discover_month_files(spark, root)) == ["a", "b"]
     assert names(discover_month_files(spark, root, ["13"])) == []
     assert names(discover_files(spark, [f"{root}/11", f"{root}/missing"])) == ["a", "o"]
-    counts = {r.folder.rsplit("/", 1)[1]: r.files for r in count_files(spark, [f"{root}/11", f"{root}/extra", f"{root}/no"]).collect()}
+    counted = count_files(spark, [f"{root}/11", f"{root}/extra", f"{root}/no"]).collect()
+    counts = {row.folder.rsplit("/", 1)[1]: row.files for row in counted}
     assert counts == {"11": 2, "extra": 1, "no": 0}
 
 

@@ -93,7 +93,8 @@ def test_short_runs_are_spikes_and_long_runs_are_kept_shifts(spark):
     rows = hourly_rows(hours)
     out = apply_quality_control(make_readings(spark, rows), config)
     assert actual_qc(out) == expected_qc(rows, config)
-    spikes = {(r.hour_start_ist.day - 1) * 24 + r.hour_start_ist.hour for r in out.where("co_sync_flag_hourly_spike").collect()}
+    hours = [row.hour_start_ist for row in out.where("co_sync_flag_hourly_spike").collect()]
+    spikes = {(hour.day - 1) * 24 + hour.hour for hour in hours}
     shifts = out.where("co_sync_flag_sustained_shift")
     assert spikes == {10}
     assert shifts.count() == 20 and shifts.where("co_sync IS NULL").count() == 0
