@@ -96,10 +96,23 @@ FROM named
 """
 
 
+WARC = """
+WITH named AS (
+  SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS digest,
+    octet_length(encode(coalesce(html, ''))) AS bytes FROM pages),
+first AS (SELECT digest, min(page_id) AS page FROM named WHERE bytes >= 100 GROUP BY digest HAVING count(*) > 1)
+SELECT page_id, CAST(bytes AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page IS NULL OR page_id = page THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> page THEN page END AS refers_to
+FROM named LEFT JOIN first USING (digest)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_sharding": SHARDING,
         "op4_substring_dedup": SUBSTRING_DEDUP,
         "op6_quality_rules": QUALITY_RULES,
+        "op8_warc": WARC,
         "op10_url_filters": URL_FILTERS,
     }

@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aeroseries.llm import decontamination, packing, quality_rules, sharding, simhash, substring_dedup, url_filters
+from aeroseries.llm import decontamination, html_extraction, language_id, packing, quality_rules, sharding, simhash, substring_dedup, url_filters, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
@@ -41,10 +41,18 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", F.col("slot").cast("bigint").alias("slot"), F.col("shard").cast("bigint").alias("shard"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.measure(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(table(spark, sf_dir, "documents"))
 
@@ -54,6 +62,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.archive_folder(spark)
+    captures = warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.read_all(warc.build_index(captures), folder)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -66,7 +80,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     named = [
-        op1_packing, op2_sharding, op4_substring_dedup, op6_quality_rules, op7_simhash,
-        op9_decontamination, op10_url_filters,
+        op1_packing, op2_sharding, op3_language_id, op4_substring_dedup, op5_html_extraction, op6_quality_rules, op7_simhash,
+        op8_warc, op9_decontamination, op10_url_filters,
     ]
     return {query.__name__: query for query in named}
