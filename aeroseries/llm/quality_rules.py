@@ -14,7 +14,7 @@ gives no rows; other columns are kept by ``keep_good`` and not read by ``measure
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -57,62 +57,74 @@ def lines_of(text: Column) -> Column:
     return F.filter(lines, lambda line: F.trim(line, F.lit(_BLANKS)) != "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it and wherever the filter is moved to."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def n_dup_lines(lines: Column) -> Column:
     return (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint")
 
 
-def window_hashes(words: Column) -> Column:
-    """A hash of each five-word window; null if a text has fewer than two windows."""
-    parts = [lambda i, k=k: F.get(words, i + F.lit(k)) for k in range(_WINDOW)]
-    at = F.sequence(F.lit(0), F.size(words) - _WINDOW)
-    return F.when(F.size(words) > _WINDOW, F.transform(at, lambda i: F.xxhash64(*(part(i) for part in parts))))
-
-
-def _with_repeats(df: DataFrame, words: str) -> DataFrame:
-    """Adds ``__n_repeats``; each step is a column of its own, and null where no window occurs twice."""
-    hashed = df.withColumn("__hashes", window_hashes(F.col(words)))
-    several = F.size(F.array_distinct("__hashes")) < F.size("__hashes")
-    placed = F.sort_array(F.transform("__hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    sorted_ = hashed.withColumn("__placed", F.when(several, placed))
-    entry = lambda k: F.get(F.col("__placed"), k)
-    same = lambda k, other: F.coalesce(entry(k)["h"] == entry(other)["h"], F.lit(False))
-    at = F.sequence(F.lit(0), F.size("__placed") - 1)
-    again = F.filter(at, lambda k: same(k, k + 1) | ((k > 0) & same(k, F.greatest(k - 1, F.lit(0)))))
-    starts = F.sort_array(F.transform(again, lambda k: entry(k)["i"]))
-    found = sorted_.withColumn("__starts", F.when(F.col("__placed").isNotNull(), starts))
-    gap = lambda start, k: F.least(
-        F.lit(_WINDOW), F.coalesce(F.get(F.col("__starts"), k + 1) - start, F.lit(_WINDOW))
-    )
-    total = F.aggregate(F.transform("__starts", gap), F.lit(0), lambda a, b: a + b)
-    return found.withColumn("__n_repeats", F.coalesce(total, F.lit(0)).cast("bigint")).drop(
-        "__hashes", "__placed", "__starts"
-    )
+def n_repeat_words(words: Column) -> Column:
+    """Words inside five-word windows that occur twice or more, the first occurrence included."""
 
+    def hashed(own: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(own) - _WINDOW)
+        return F.transform(at, lambda i: F.xxhash64(*(F.get(own, i + F.lit(k)) for k in range(_WINDOW))))
 
-@dataclass(frozen=True)
-class Rule:
-    """A named condition that rejects a document, over the columns ``text`` and ``words``."""
+    def counted(hashes: Column) -> Column:
+        placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), let(placed, covered)).otherwise(F.lit(0))
 
-    name: str
-    rejects: Column
+    def covered(placed: Column) -> Column:
+        same = lambda k, other: F.coalesce(F.get(placed, k)["h"] == F.get(placed, other)["h"], F.lit(False))
+        at = F.sequence(F.lit(0), F.size(placed) - 1)
+        again = F.filter(at, lambda k: same(k, k + 1) | ((k > 0) & same(k, F.greatest(k - 1, F.lit(0)))))
+        return let(F.sort_array(F.transform(again, lambda k: F.get(placed, k)["i"])), spread)
 
+    def spread(starts: Column) -> Column:
+        # A window covers its five words, less those that the next one covers again.
+        fresh = lambda start, k: F.least(F.lit(_WINDOW), F.coalesce(F.get(starts, k + 1) - start, F.lit(_WINDOW)))
+        return F.aggregate(F.transform(starts, fresh), F.lit(0), lambda a, b: a + b)
 
-def rules(text: str = "text", words: str = "words") -> list[Rule]:
-    """The rules beside the base ones; thresholds as shares in whole numbers, so that they are exact."""
-    body, n_words = F.col(text), F.size(words)
-    lines = lines_of(body)
-    lettered = F.filter(words, lambda word: F.rlike(word, F.lit("\\p{L}")))
-    return [
-        Rule("symbols", n_symbols(body) * 10 > n_words),
-        Rule("repeated_lines", n_dup_lines(lines) * 100 > F.size(lines) * 30),
-        Rule("capitals", n_capitals(body) * 2 > word_chars(body)),
-        Rule("long_words", word_chars(body) > n_words * 25),
-        Rule("few_letters", F.size(lettered) * 2 < n_words),
-    ]
+    several = let(words, lambda own: F.when(F.size(own) > _WINDOW, let(hashed(own), counted)).otherwise(F.lit(0)))
+    return several.cast("bigint")
 
 
-def measured_order(sample: DataFrame, known: Sequence[Rule]) -> list[Rule]:
-    """The rules by share rejected per second on the sample, the best first."""
+@dataclass(frozen=True)
+class Rule:
+    """A named condition on a text and its words that rejects a document."""
+
+    name: str
+    rejects: Callable[[Column, Column], Column]
+
+
+#: The base rules, and those beside them; thresholds are shares in whole numbers, so that they are exact.
+BASE = [
+    Rule("few_words", lambda text, words: F.size(words) < 10),
+    Rule("repeated_windows", lambda text, words: n_repeat_words(words) * 100 > F.size(words) * 20),
+]
+RULES = [
+    Rule("symbols", lambda text, words: n_symbols(text) * 10 > F.size(words)),
+    Rule(
+        "repeated_lines",
+        lambda text, words: let(lines_of(text), lambda lines: n_dup_lines(lines) * 100 > F.size(lines) * 30),
+    ),
+    Rule("capitals", lambda text, words: n_capitals(text) * 2 > word_chars(text)),
+    Rule("long_words", lambda text, words: word_chars(text) > F.size(words) * 25),
+    Rule(
+        "few_letters",
+        lambda text, words: F.size(F.filter(words, lambda word: F.rlike(word, F.lit("\\p{L}")))) * 2 < F.size(words),
+    ),
+]
+
+
+def measured_order(docs: DataFrame, text: str, known: Sequence[Rule]) -> list[Rule]:
+    """The rules by share rejected per second on a sample of the documents, the best first."""
+    body = F.col(text).cast("string")
+    some = docs.select(body.alias("text")).sample(0.1, seed=7).limit(SAMPLE_ROWS)
+    sample = cut_lineage(some.select("text", words_of(F.col("text")).alias("words")))
 
     def seconds(condition: Column) -> tuple[float, int]:
         began = time.perf_counter()
@@ -123,51 +135,40 @@ def measured_order(sample: DataFrame, known: Sequence[Rule]) -> list[Rule]:
     idle, _ = seconds(F.lit(False))
     worth = {}
     for rule in known:
-        took, rejected = min(seconds(rule.rejects) for _ in range(2))
+        took, rejected = min(seconds(rule.rejects(F.col("text"), F.col("words"))) for _ in range(2))
         worth[rule.name] = rejected / max(took - idle, 1e-3)
     return sorted(known, key=lambda rule: (-worth[rule.name], rule.name))
 
 
-def rejected_by(ordered: Sequence[Rule]) -> Column:
+def rejected_by(ordered: Sequence[Rule], text: Column, words: Column) -> Column:
     """The name of the first rule in this order that rejects, or null; later rules are not evaluated."""
     verdict = F.lit(None).cast("string")
     for rule in reversed(ordered):
-        verdict = F.when(rule.rejects, F.lit(rule.name)).otherwise(verdict)
+        verdict = F.when(rule.rejects(text, words), F.lit(rule.name)).otherwise(verdict)
     return verdict
 
 
-def _ordered(df: DataFrame) -> list[Rule]:
-    """The rules in the order measured on a sample of a frame with ``text`` and ``words``."""
-    sample = cut_lineage(df.select("text", "words").sample(0.1, seed=7).limit(SAMPLE_ROWS))
-    return measured_order(sample, rules())
-
-
 def measure(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The base figures and the verdict for every document."""
+    ordered = measured_order(docs, text, RULES)
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     split = own.withColumn("words", words_of(F.col("text")))
-    counted = _with_repeats(split, "words")
-    body = F.col("text")
-    n_words = F.size("words").cast("bigint")
-    base = counted.select(
+    body, words, n_words = F.col("text"), F.col("words"), F.size("words").cast("bigint")
+    counted = split.select(
         "doc_id", "text", "words", n_words.alias("n_words"), word_chars(body).alias("word_chars"),
-        n_symbols(body).alias("n_symbols"), n_dup_lines(lines_of(body)).alias("n_dup_lines"),
-        F.col("__n_repeats").alias("n_repeat_words"),
-        ((n_words < 10) | (F.col("__n_repeats") * 100 > n_words * 20)).alias("base_failed"),
+        n_symbols(body).alias("n_symbols"), let(lines_of(body), n_dup_lines).alias("n_dup_lines"),
+        n_repeat_words(words).alias("n_repeat_words"),
     )
-    verdict = F.when(F.col("base_failed"), F.lit(False)).otherwise(rejected_by(_ordered(split)).isNull())
+    failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
+    base = counted.withColumn("base_failed", failed)
+    verdict = F.when(F.col("base_failed"), F.lit(False)).otherwise(rejected_by(ordered, body, words).isNull())
     return base.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", verdict.alias("kept")
     )
 
 
 def keep_good(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """The documents that no rule rejects; the costly base rule is tried on what the others leave."""
-    named = docs.withColumn("__text", F.col(text).cast("string")).withColumn("__words", words_of(F.col("__text")))
-    ordered = _ordered(named.select(F.col("__text").alias("text"), F.col("__words").alias("words")))
-    own = {rule.name: rule for rule in rules("__text", "__words")}
-    left = named.filter((F.size("__words") >= 10) & rejected_by([own[rule.name] for rule in ordered]).isNull())
-    counted = _with_repeats(left, "__words")
-    return counted.filter(F.col("__n_repeats") * 100 <= F.size("__words") * 20).select(
-        *(F.col(f"`{name}`") for name in docs.columns)
-    )
+    """The documents that no rule rejects."""
+    ordered = measured_order(docs, text, [*BASE, *RULES])
+    body = F.col(text).cast("string")
+    return docs.filter(let(words_of(body), lambda words: rejected_by(ordered, body, words).isNull()))
