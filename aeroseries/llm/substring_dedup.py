@@ -39,10 +39,16 @@ GRAM = 6
 BUCKET_BYTES = 24 << 20
 #: Suffixes in a group, some 20 MB with their origins.
 GROUP_SUFFIXES = 250_000
+#: What is known of the documents' words goes to the texts as a broadcast up to this size, checked after it is written;
+#: beyond it the texts are shuffled to it.
+BROADCAST_BYTES = 48 << 20
 #: Anchors or suffixes that a task gathers before it hands them on.
 _HELD = 400_000
 _LAST = 2**63 - 1
 
+#: A text's hash in the origin of a suffix: only texts of rows with the same id have to be told apart.
+_SHORT = 2**31 - 1
+
 _ANCHORS = "bucket int, grams binary, docs binary, spots binary"
 _SUFFIXES = "first int, n int, keys binary, ords binary, docs binary, spots binary"
 _COVERED = "h bigint, ord bigint, spots binary"
@@ -86,7 +92,7 @@ def _window_ends(first: np.ndarray, n: int, total: int) -> tuple[np.ndarray, np.
 
 
 def _repeated_anchors(docs: DataFrame, min_words: int) -> DataFrame:
-    """Rows (h, spots): for each text, by its hash, the anchors that occur in another text too."""
+    """Rows (h, spots): for each text, by its hash, packed, the anchors that occur in another text too."""
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = 1 + n_bytes // BUCKET_BYTES
 
@@ -131,7 +137,35 @@ def _repeated_anchors(docs: DataFrame, min_words: int) -> DataFrame:
 
     packed = docs.select("h", "text").mapInArrow(emit, _ANCHORS)
     found = packed.groupBy("bucket").applyInArrow(lambda key, rows: repeated(rows), "h bigint, spots binary")
-    return found.groupBy("h").agg(F.collect_list("spots").alias("spots"))
+    gathered = found.groupBy("h").agg(F.collect_list("spots").alias("spots"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spots = [_pack(np.unique(np.frombuffer(b"".join(parts), dtype=np.int32))) for parts in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spots, pa.binary())], names=["h", "spots"])
+
+    return gathered.mapInArrow(merge, "h bigint, spots binary")
+
+
+def _fitting(small: DataFrame) -> DataFrame:
+    """A written table of (.., spots), marked for broadcast if it is small enough."""
+    n, size = small.agg(F.count("*"), F.sum(F.octet_length("spots"))).first()
+    return F.broadcast(small) if (size or 0) + 64 * n <= BROADCAST_BYTES else small
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Values of one column, compressed; sorted neighbours share much."""
+    return len(values).to_bytes(4, "little") + pa.compress(np.ascontiguousarray(values), codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes, kind: str | type) -> np.ndarray:
+    size = int.from_bytes(packed[:4], "little") * np.dtype(kind).itemsize
+    return np.frombuffer(pa.decompress(packed[4:], size, codec="zstd", asbytes=True) if size else b"", dtype=kind)
+
+
+def _joined(rows: pa.Table, name: str, kind: str | type) -> np.ndarray:
+    parts = [_unpack(part, kind) for part in rows.column(name).to_pylist()]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
 
 
 def _by_text(ids: np.ndarray, spots: np.ndarray) -> pa.Table:
@@ -159,19 +193,20 @@ def _suffixes(texts: DataFrame, min_words: int) -> DataFrame:
         size = 0
         for batch in batches:
             bodies = utf8(batch.column(2))
-            ords, hs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ords, hs = batch.column(0).to_numpy(), (batch.column(1).to_numpy() & _SHORT).astype(np.int32)
             marks = batch.column(3).to_pylist()
             for start, end in chunks(bodies):
                 words = find_words(bodies[start:end])
                 total = len(words.hashes)
                 _, whole = _window_ends(words.first, min_words, total)
-                # A window is a candidate if a repeated anchor starts at one of its first ``width`` words.
-                near = np.zeros(total + 1, dtype=np.int64)
+                # A window is a candidate if the smallest of its own grams is a repeated anchor.
+                grams, _ = words.windows(GRAM)
+                marked = np.full(total, np.uint64(2**64 - 1))
                 for i in range(start, end):
-                    at = np.frombuffer(b"".join(marks[i]), dtype=np.int32) + words.first[i - start]
-                    np.add.at(near, np.maximum(at - width + 1, words.first[i - start]), 1)
-                    np.add.at(near, at + 1, -1)
-                at = np.flatnonzero((np.cumsum(near)[:total] > 0) & whole)
+                    spots = _unpack(marks[i], np.int32) + words.first[i - start]
+                    marked[spots] = grams[spots]
+                least = _sliding(grams, width, np.minimum)
+                at = np.flatnonzero((_sliding(marked, width, np.minimum) == least) & whole)
                 if not len(at):
                     continue
                 codes = (words.hashes >> np.uint64(32)).astype(">u4")
@@ -194,16 +229,16 @@ def _suffixes(texts: DataFrame, min_words: int) -> DataFrame:
         # Of suffixes that are equal here only those of the smallest document go on; the others are covered already.
         least = np.repeat(ords[starts], np.diff(np.append(starts, len(keys))))
         behind = ords > least
-        rows = [(-1, int(behind.sum()), b"", ords[behind], hs[behind], spots[behind])] if behind.any() else []
+        rows = [(-1, int(behind.sum()), keys[:0], ords[behind], hs[behind], spots[behind])] if behind.any() else []
         ahead = np.flatnonzero(~behind)
         first = keys[ahead].view(np.uint8).reshape(len(ahead), -1)[:, 0].astype(np.int64)
         cuts = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
         for s, e in zip(cuts, np.append(cuts[1:], len(ahead))):
             own = ahead[s:e]
-            rows.append((int(first[s]), len(own), keys[own].tobytes(), ords[own], hs[own], spots[own]))
+            rows.append((int(first[s]), len(own), keys[own], ords[own], hs[own], spots[own]))
         columns = list(zip(*rows))
-        arrays = [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())]
-        arrays += [pa.array([part.tobytes() for part in column], pa.binary()) for column in columns[3:]]
+        arrays = [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32())]
+        arrays += [pa.array([_pack(part) for part in column], pa.binary()) for column in columns[2:]]
         return pa.RecordBatch.from_arrays(arrays, names=["first", "n", "keys", "ords", "docs", "spots"])
 
     return texts.mapInArrow(emit, _SUFFIXES)
@@ -225,7 +260,7 @@ def _prefixes(suffixes: DataFrame, min_words: int) -> list[bytes]:
         def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for keys in batch.column(0).to_pylist():
-                    cells = np.frombuffer(keys, dtype=np.uint8).reshape(-1, key_bytes)[:, :length]
+                    cells = _unpack(keys, f"S{key_bytes}").view(np.uint8).reshape(-1, key_bytes)[:, :length]
                     cells, n = np.unique(cells, axis=0, return_counts=True)
                     found = [(cell.tobytes(), int(k)) for cell, k in zip(cells, n) if cell[:-1].tobytes() in wanted]
                     columns = list(zip(*found)) or [(), ()]
@@ -256,20 +291,20 @@ def _covered(suffixes: DataFrame, min_words: int) -> DataFrame:
         for batch in batches:
             rows = []
             for _, _, keys, ords, ids, spots in zip(*(column.to_pylist() for column in batch.columns)):
-                keys = np.frombuffer(keys, dtype=kind)
-                ords, ids, spots = np.frombuffer(ords, np.int64), np.frombuffer(ids, np.int64), np.frombuffer(spots, np.int32)
+                keys = _unpack(keys, kind)
+                ords, ids, spots = _unpack(ords, np.int64), _unpack(ids, np.int32), _unpack(spots, np.int32)
                 group = np.searchsorted(prefixes, keys, side="right") - 1
                 cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
                 for s, e in zip(cuts, np.append(cuts[1:], len(keys))):
-                    rows.append((int(group[s]), e - s, *(part[s:e].tobytes() for part in (keys, ords, ids, spots))))
+                    rows.append((int(group[s]), e - s, *(_pack(part[s:e]) for part in (keys, ords, ids, spots))))
             columns = list(zip(*rows)) or [()] * 6
             kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=batch.schema.names)
 
     def subtree(rows: pa.Table) -> pa.Table:
         keys, ords, ids, spots = (
-            np.frombuffer(b"".join(rows.column(name).to_pylist()), dtype=what)
-            for name, what in (("keys", kind), ("ords", np.int64), ("docs", np.int64), ("spots", np.int32))
+            _joined(rows, name, what)
+            for name, what in (("keys", kind), ("ords", np.int64), ("docs", np.int32), ("spots", np.int32))
         )
         order = np.argsort(keys, kind="stable")
         keys, ords, ids, spots = keys[order], ords[order], ids[order], spots[order]
@@ -281,13 +316,28 @@ def _covered(suffixes: DataFrame, min_words: int) -> DataFrame:
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ords, ids, spots in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                parts = np.frombuffer(ords, np.int64), np.frombuffer(ids, np.int64), np.frombuffer(spots, np.int32)
+                parts = _unpack(ords, np.int64), _unpack(ids, np.int32), _unpack(spots, np.int32)
                 yield from _covered_rows(*parts).to_batches()
 
     routed = suffixes.filter("first >= 0").mapInArrow(route, _SUFFIXES)
     nodes = routed.groupBy("first").applyInArrow(lambda key, rows: subtree(rows), _COVERED)
     early = suffixes.filter("first < 0").select("ords", "docs", "spots").mapInArrow(known, _COVERED)
-    return nodes.union(early).groupBy("h", "ord").agg(F.collect_list("spots").alias("spots"))
+    gathered = nodes.union(early).groupBy("h", "ord").agg(F.collect_list("spots").alias("spots"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = [_pack(_runs(np.frombuffer(b"".join(parts), dtype=np.int32), min_words)) for parts in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(runs, pa.binary())], names=["h", "ord", "spots"])
+
+    return gathered.mapInArrow(merge, _COVERED)
+
+
+def _runs(spots: np.ndarray, min_words: int) -> np.ndarray:
+    """Where covered stretches of words start and end, one after the other."""
+    spots = np.sort(spots)
+    apart = np.flatnonzero(spots[1:] > spots[:-1] + min_words)
+    starts, ends = np.append(spots[:1], spots[apart + 1]), np.append(spots[apart], spots[-1:]) + min_words
+    return np.stack([starts, ends], axis=1).ravel().astype(np.int32)
 
 
 def _covered_rows(ords: np.ndarray, ids: np.ndarray, spots: np.ndarray) -> pa.Table:
@@ -305,43 +355,46 @@ def _covered_rows(ords: np.ndarray, ids: np.ndarray, spots: np.ndarray) -> pa.Ta
 
 
 def decisions(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Rows (h, ord, copy, spots) for documents that lose words: a copy of a smaller one, or where covered windows start."""
+    """Rows (h, ord, copy, spots) for documents that lose words: copies of a smaller one, or the stretches that go.
+
+    ``h`` is the lower part of the text's hash.
+    """
     named = docs.select(_order(doc_id).alias("ord"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     named = named.select("ord", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(7), "text").alias("g"), "text")
     keys = cut_lineage(named.select("ord", "h", "g"))
     first = keys.groupBy("h", "g").agg(F.min("ord").alias("least"))
-    copies = keys.join(first, ["h", "g"]).filter("ord > least").select("h", "ord").distinct()
-    anchored = _repeated_anchors(named, min_words).join(first.select("h", F.col("least").alias("ord")), "h")
-    texts = named.select("ord", "h", "text").join(anchored, ["h", "ord"]).select("ord", "h", "text", "spots")
+    copies = keys.join(first, ["h", "g"]).filter("ord > least").select(F.col("h").bitwiseAND(F.lit(_SHORT)).alias("h"), "ord")
+    anchored = stage_table(_repeated_anchors(named, min_words).join(first.select("h", F.col("least").alias("ord")), "h"))
+    texts = named.select("ord", "h", "text").join(_fitting(anchored), ["h", "ord"]).select("ord", "h", "text", "spots")
     suffixes = stage_table(_suffixes(texts, min_words))
     covered = _covered(suffixes, min_words)
     return covered.select("h", "ord", F.lit(False).alias("copy"), "spots").union(
-        copies.select("h", "ord", F.lit(True), F.array().cast("array<binary>"))
+        copies.distinct().select("h", "ord", F.lit(True), F.lit(None).cast("binary"))
     )
 
 
-def kept_words(text: bytes, copy: bool | None, spots: list[bytes] | None, min_words: int) -> tuple[list[bytes], int]:
+def kept_words(text: bytes, copy: bool | None, runs: bytes | None, min_words: int) -> tuple[list[bytes], int]:
     """The words of a text that stay, and how many it has."""
     words = text.split()
     if copy:
         return ([] if len(words) >= min_words else words), len(words)
-    if not spots:
+    if runs is None:
         return words, len(words)
-    at = np.frombuffer(b"".join(spots), dtype=np.int32)
+    bounds = _unpack(runs, np.int32)
     change = np.zeros(len(words) + 1, dtype=np.int64)
-    np.add.at(change, at, 1)
-    np.add.at(change, at + min_words, -1)
+    np.add.at(change, bounds[0::2], 1)
+    np.add.at(change, bounds[1::2], -1)
     stays = np.cumsum(change)[: len(words)] == 0
     return [word for word, stay in zip(words, stays.tolist()) if stay], len(words)
 
 
 def _with_decisions(docs: DataFrame, doc_id: str, text: str, min_words: int) -> DataFrame:
-    found = decisions(docs, doc_id=doc_id, text=text, min_words=min_words).select(
+    found = _fitting(stage_table(decisions(docs, doc_id=doc_id, text=text, min_words=min_words))).select(
         F.col("h").alias("__h"), F.col("ord").alias("__ord"), F.col("copy").alias("__copy"), F.col("spots").alias("__spots")
     )
     return docs.join(
         found,
-        (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("__h")) & (_order(doc_id) == F.col("__ord")),
+        (F.xxhash64(F.coalesce(docs[text], F.lit(""))).bitwiseAND(F.lit(_SHORT)) == F.col("__h")) & (_order(doc_id) == F.col("__ord")),
         "left",
     )
 
