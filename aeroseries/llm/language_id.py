@@ -195,8 +195,12 @@ def training_excerpts(docs: DataFrame, doc_id: str, text: str, lang: str) -> lis
     start = F.pmod(F.xxhash64(rank), F.greatest(F.length(body) - EXCERPT, F.lit(1))) + 1
     usable = docs.filter(~held_out(doc_id) & F.col(lang).isNotNull() & F.rlike(body, F.lit("\\p{L}")))
     short = usable.select(F.col(lang).alias("lang"), rank.alias("rank"), F.substr(body, start.cast("int"), F.lit(EXCERPT)).alias("part"))
-    order = Window.partitionBy("lang").orderBy("rank", "part")
-    chosen = short.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= DOCS_PER_LANGUAGE)
+    # First within parts of a language, so that no task sees more than a bounded share of a frequent one.
+    parted = short.withColumn("salt", F.pmod("rank", F.lit(64)))
+    chosen = parted
+    for keys in (("lang", "salt"), ("lang",)):
+        order = Window.partitionBy(*keys).orderBy("rank", "part")
+        chosen = chosen.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= DOCS_PER_LANGUAGE)
     rows = sorted((row["lang"], row["rank"], row["part"]) for row in chosen.collect())
     return [(part.encode(), own) for own, _, part in rows]
 
