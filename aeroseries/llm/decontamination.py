@@ -1,8 +1,9 @@
 """Finding benchmark items in training documents by rare n-gram seeds and Smith-Waterman alignment.
 
 Words are letters and digits in lower case, so that punctuation and case do not hide a copy. Every ``SEED`` words of an item
-are a gram; the grams of all items are counted over the whole corpus. Of each stretch of grams of an item the rarest is its
-seed, so every part of an item has one, however common the item itself is. Documents that hold a seed are aligned with its
+are a gram; the grams of all items are counted over the whole corpus. Grams far more frequent than others near them in the
+same item are left out; the rest are seeds, so every part of an item that occurs at all has some, however common the item
+itself is. Documents that hold a seed are aligned with its
 item around the place where it was found. The score is the best local alignment's share of a perfect one; it finds copies
 with words changed, left out or put in.
 
@@ -27,8 +28,8 @@ from aeroseries.llm.words import FOLDED, Words, chunks, find_words, utf8
 
 #: Words in a gram.
 SEED = 4
-#: Neighbouring grams of an item of which the rarest is a seed.
-STRETCH = 6
+#: A gram is a seed if it occurs at most so many times as often as the rarest within so many grams of its item.
+RARE_TIMES, STRETCH = 8, 6
 #: Least share of a perfect alignment for a document to count as holding the item.
 LEAST_SCORE = 0.5
 #: Grams of the items taken together: 16 bytes each in what is broadcast.
@@ -125,13 +126,19 @@ def _corpus_counts(docs: DataFrame, grams: np.ndarray, sizes: list[int]) -> np.n
     return totals
 
 
-def _seeds(grams: np.ndarray, item: np.ndarray, rarity: np.ndarray) -> np.ndarray:
-    """Which grams are the rarest of some stretch of their item; the first of equals."""
-    chosen = np.zeros(len(grams), dtype=bool)
+def _seeds(item: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Grams that occur, and not far more often than the rarest one that occurs near them in their item.
+
+    Counts are compared within the item alone, so an item that is everywhere keeps its seeds, and a gram that only edited
+    copies hold stays beside those of exact ones.
+    """
+    chosen = np.zeros(len(counts), dtype=bool)
     cuts = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1], [True]]))
     for s, e in zip(cuts, cuts[1:]):
-        for at in range(s, max(s + 1, e - STRETCH + 1)):
-            chosen[at + int(np.argmin(rarity[at : min(e, at + STRETCH)]))] = True
+        own = np.where(counts[s:e] > 0, counts[s:e], np.iinfo(np.int64).max // RARE_TIMES)
+        for i in range(e - s):
+            least = own[max(0, i - STRETCH) : i + STRETCH + 1].min()
+            chosen[s + i] = counts[s + i] > 0 and own[i] <= RARE_TIMES * least
     return chosen
 
 
@@ -141,11 +148,13 @@ def _find_block(docs: DataFrame, items: list[tuple[int | None, str]], least_scor
     sizes = sorted(set(_gram_sizes(words).tolist()) - {0})
     distinct = np.unique(grams)
     rarity = _corpus_counts(docs, distinct, sizes)
-    seeded = _seeds(grams, item, rarity[np.searchsorted(distinct, grams)])
+    seeded = _seeds(item, rarity[np.searchsorted(distinct, grams)])
     order = np.argsort(grams[seeded], kind="stable")
     seeds = tuple(part[seeded][order] for part in (grams, item, spot))
     bodies = [words.hashes[words.first[i] : words.first[i + 1]] for i in range(len(items))]
     ids = [key for key, _ in items]
+    if not seeded.any():
+        return docs.sparkSession.createDataFrame([], _FOUND)
     shared = docs.sparkSession.sparkContext.broadcast((seeds, bodies, ids))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
