@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import SparkSession
 
 
@@ -16,6 +18,18 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return system.exists(location)
 
 
+def escape_glob(path: str) -> str:
+    """The path with the characters escaped that Spark's readers would take as a pattern."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
+def rename(spark: SparkSession, source: str, target: str) -> None:
+    """Move a folder to a name that is free."""
+    system, location = _located(spark, source)
+    if not system.rename(location, spark._jvm.org.apache.hadoop.fs.Path(target)):
+        raise OSError(f"cannot move {source} to {target}")
+
+
 def any_path(spark: SparkSession, pattern: str) -> bool:
     """Whether a glob pattern matches anything."""
     system, location = _located(spark, pattern)

@@ -13,12 +13,15 @@ from aeroseries.functions.files import delete
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a new temporary one only where none is set."""
+    """The folder named in ``spark.checkpoint.dir``; where none is set, a temporary one on a local master only."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="aeroseries-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = folder or tempfile.mkdtemp(prefix="aeroseries-checkpoint-")
     context.setCheckpointDir(folder)
     return folder
 

@@ -23,8 +23,10 @@ def diurnal_matrix(df: DataFrame, gas: str) -> DataFrame:
     return placed.groupBy("date_ist", "hour_ist").agg(F.avg(gas).alias(gas))
 
 
-def diurnal_pivot(df: DataFrame, gas: str, dates: Sequence[date]) -> DataFrame:
-    """The matrix with one column per listed date, for display."""
+def diurnal_pivot(df: DataFrame, gas: str, dates: Sequence[date] | None = None) -> DataFrame:
+    """The matrix with one column per date, for display: the listed dates, else all that occur."""
+    if dates is None:
+        dates = sorted(row[0] for row in df.select("date_ist").where("date_ist IS NOT NULL").distinct().collect())
     cells = diurnal_matrix(df, gas).withColumn("_date", F.col("date_ist").cast("string"))
     return cells.groupBy("hour_ist").pivot("_date", [str(d) for d in dates]).agg(F.first(gas, True))
 

@@ -86,7 +86,7 @@ def _is_spike(value: str, count: str, median: str, scale: str, config: QcConfig)
     """SQL, true or false also where there is no scale."""
     return (
         f"COALESCE({count} >= {config.hourly_group_min_samples}"
-        f" AND abs({value} - {median}) / {scale} > {float(config.point_spike_z)}D, FALSE)"
+        f" AND nanvl(abs({value} - {median}) / {scale}, NULL) > {float(config.point_spike_z)}D, FALSE)"
     )
 
 
@@ -103,7 +103,7 @@ def _gathered_statistics(df: DataFrame, config: QcConfig, by: Sequence[str]) ->
     for every element.
     """
     keys = [*by, HOUR]
-    arrays = df.groupBy(*keys).agg(
+    arrays = df.where(f"{HOUR} IS NOT NULL").groupBy(*keys).agg(
         F.expr("count(*) AS hour_rows"),
         *(F.expr(f"collect_list({_valid(gas, config)}) AS {gas}") for gas in GASES),
     )
@@ -113,9 +113,10 @@ def _gathered_statistics(df: DataFrame, config: QcConfig, by: Sequence[str]) ->
     )
     hours = hours.selectExpr(
         "*",
-        "transform(array(hour_median), m -> sort_array(transform(ordered, v -> abs(v - m))))[0] AS distances",
+        "transform(array(hour_median), m -> sort_array(filter("
+        "transform(ordered, v -> nanvl(abs(v - m), NULL)), d -> d IS NOT NULL)))[0] AS distances",
     )
-    hours = hours.selectExpr("*", f"nanvl({middle('distances')}, NULL) AS hour_mad")
+    hours = hours.selectExpr("*", f"{middle('distances')} AS hour_mad")
     usual = f"named_struct('n', hour_count, 'median', hour_median, 'scale', {_scale('hour_mad')})"
     spike = _is_spike("v", "u.n", "u.median", "u.scale", config)
     hours = hours.selectExpr(
@@ -128,6 +129,7 @@ def _gathered_statistics(df: DataFrame, config: QcConfig, by: Sequence[str]) ->
 def _spread_statistics(df: DataFrame, config: QcConfig, by: Sequence[str], small: bool) -> DataFrame:
     """The same table when an hour is too large to gather: counted medians, no hour meets in one task."""
     keys = [*by, HOUR]
+    df = df.where(f"{HOUR} IS NOT NULL")
     valid = {gas: _valid(gas, config) for gas in GASES}
     values = _per_gas(df, keys, "value", valid).where("value IS NOT NULL")
     counted = df.groupBy(*keys).agg(
@@ -219,8 +221,9 @@ def _with_rolling_median(
 def rolling_reference(hours: DataFrame, config: QcConfig = QcConfig(), by: Sequence[str] = ()) -> DataFrame:
     """Add ``rolling_median``, ``residual`` and ``rolling_mad``.
 
-    Every hour of the table has a reference value: an hour's median is never a spike.
+    Hours whose values are all spikes have no reference and take no place in the window.
     """
+    hours = hours.where("hour_reference IS NOT NULL")
     hours = _with_rolling_median(hours, "hour_reference", "rolling_median", config, by)
     hours = hours.withColumn("residual", F.expr("hour_reference - rolling_median"))
     return _with_rolling_median(hours, "abs(residual)", "rolling_mad", config, by)
@@ -237,7 +240,7 @@ def hourly_scores(hours: DataFrame, config: QcConfig = QcConfig(), by: Sequence[
     )
     hours = hours.withColumn("spread", F.expr(f"percentile(abs(residual - centre), 0.5D) {series}"))
     hours = hours.withColumn("hour_scale", F.expr(f"COALESCE({own}, typical, {_scale('spread')})"))
-    hours = hours.withColumn("hourly_robust_z", F.expr("abs(residual) / hour_scale"))
+    hours = hours.withColumn("hourly_robust_z", F.expr("nanvl(abs(residual) / hour_scale, NULL)"))
     candidate = f"COALESCE(hourly_robust_z > {float(config.hourly_spike_z)}D, FALSE)"
     return hours.withColumn("candidate", F.expr(candidate)).drop("typical", "centre", "spread")
 
@@ -302,7 +305,7 @@ def flag_points(
     for gas in GASES:
         raw, count, median, scale = f"{gas}_raw", f"_{gas}_hour_count", f"_{gas}_hour_median", f"_{gas}_point_scale"
         spike = _is_spike(raw, count, median, scale, config)
-        added.append(f"abs({raw} - {median}) / {scale} AS {gas}_point_robust_z")
+        added.append(f"nanvl(abs({raw} - {median}) / {scale}, NULL) AS {gas}_point_robust_z")
         added.append(f"NOT {gas}_flag_hard AND {spike} AS {gas}_flag_point_spike")
     return looked_up.selectExpr("*", *added)
 

@@ -38,8 +38,9 @@ def hourly_summary(hourly: DataFrame, gas: str) -> DataFrame:
 
 
 def heatmap_summary(matrix: DataFrame, gas: str) -> DataFrame:
-    """Over the matrix's filled cells: count, least, mean, greatest."""
-    return matrix.agg(
+    """Over the matrix's finite cells: count, least, mean, greatest."""
+    finite = F.when(F.abs(gas) < F.lit(float("inf")), F.col(gas)).alias(gas)
+    return matrix.select(finite).agg(
         F.count(gas).alias("cells"),
         F.min(gas).alias("min"),
         F.avg(gas).alias("mean"),

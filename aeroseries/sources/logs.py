@@ -1,6 +1,6 @@
 """Instrument log files: finding and reading them.
 
-A log is whitespace-delimited text. Its header is the first of the leading lines that names DATE and TIME; letter case
+A log is whitespace-delimited text. Its header is the first line that names DATE and TIME; letter case
 and column order are free, and other columns may be present.
 """
 
@@ -13,15 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aeroseries.config import REQUIRED_COLUMNS, ScaleLimits
-from aeroseries.functions.files import absolute_uri, path_exists
+from aeroseries.functions.files import absolute_uri, escape_glob, path_exists
 from aeroseries.schema import RAW_SCHEMA
 from aeroseries.sources.catalog import new_files
 
-# File name patterns, how far down a header may stand, and what separates fields.
+# File name patterns, and what separates fields.
 SYNC_PATTERN = "*DataLog_User_Sync.dat"
 ANY_PATTERN = "*.dat"
-HEADER_LINES = 102
 DELIMITER = r"[\s,;]+"
+#: As Spark's line reader ends lines, so that a file reads the same whole and in splits.
+LINE_END = "\r\n|\n|\r"
 
 
 FOUND_SCHEMA = T.StructType(
@@ -42,7 +43,7 @@ def _listing(spark: SparkSession, folders: Sequence[str], pattern: str) -> DataF
     if not folders:
         return spark.createDataFrame([], FOUND_SCHEMA)
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
-    return reader.option("recursiveFileLookup", "true").load(folders).select(*FOUND_SCHEMA.names)
+    return reader.option("recursiveFileLookup", "true").load([escape_glob(f) for f in folders]).select(*FOUND_SCHEMA.names)
 
 
 def discover_month_files(
@@ -115,8 +116,8 @@ def whole_file_rows(files: DataFrame, strict: bool = False) -> DataFrame:
 
     Header and lines come from the same row, so nothing is joined or shuffled.
     """
-    lines = files.withColumn("lines", F.split("value", "\n", -1))
-    leading = F.transform(F.slice("lines", 1, HEADER_LINES), _is_header)
+    lines = files.withColumn("lines", F.split("value", LINE_END, -1))
+    leading = F.transform("lines", _is_header)
     headed = lines.withColumn("header_at", F.array_position(leading, True).cast("int"))
     header = F.try_element_at("lines", F.nullif("header_at", F.lit(0)))
     headed = headed.withColumn("positions", _read_or_reject(_positions(header), F.col("path"), strict))
@@ -132,23 +133,24 @@ def split_file_rows(lines: DataFrame, broadcast_headers: bool, strict: bool = Fa
     ``id`` grows along a split and ``block`` is the split's offset, so both together give the line order. The
     header table has one small row per file.
     """
-    header_id = F.when(_is_header(F.col("line")), F.col("id"))
-    start = lines.where(F.col("block") == 0).groupBy("path").agg(
-        F.min("id").alias("first_id"),
-        F.min(header_id).alias("header_id"),
-        F.min_by("line", header_id).alias("header"),
+    place = F.when(_is_header(F.col("line")), F.struct("block", "id"))
+    start = lines.groupBy("path").agg(
+        F.min(place)["block"].alias("header_block"),
+        F.min(place)["id"].alias("header_id"),
+        F.min_by("line", place).alias("header"),
     )
-    near_top = F.col("header_id") - F.col("first_id") < HEADER_LINES
-    positions = F.when(near_top, _positions(F.col("header")))
+    positions = _positions(F.col("header"))
     headers = start.select(
-        "path", "header_id", _read_or_reject(positions, F.col("path"), strict).alias("positions")
+        "path", "header_block", "header_id", _read_or_reject(positions, F.col("path"), strict).alias("positions")
     ).where(F.col("positions").isNotNull())
     headers = F.broadcast(headers) if broadcast_headers else headers
-    below = (F.col("block") > 0) | (F.col("id") >= F.col("header_id"))
+    below = (F.col("block") > F.col("header_block")) | (
+        (F.col("block") == F.col("header_block")) & (F.col("id") >= F.col("header_id"))
+    )
     rows = lines.join(headers, "path").where(below)
     # splits start at least 64 KiB apart, and ids count rows in their low 33 bits
     line_no = F.shiftleft(F.shiftright("block", 16), 33) + F.col("id").bitwiseAND((1 << 33) - 1)
-    return _rows(rows, line_no, F.col("id") == F.col("header_id"))
+    return _rows(rows, line_no, (F.col("block") == F.col("header_block")) & (F.col("id") == F.col("header_id")))
 
 
 def _rows(lines: DataFrame, line_no: Column, is_header: Column) -> DataFrame:
@@ -175,8 +177,8 @@ def read_log_lines(
     splits, so that one of them cannot fill a task.
     """
     listed = files.select("path", "length").collect()
-    small = [row.path for row in listed if row.length <= limits.whole_file_bytes]
-    large = [row.path for row in listed if row.length > limits.whole_file_bytes]
+    small = [escape_glob(row.path) for row in listed if row.length <= limits.whole_file_bytes]
+    large = [escape_glob(row.path) for row in listed if row.length > limits.whole_file_bytes]
     parts = []
     if small:
         text = spark.read.text(small, wholetext=True)

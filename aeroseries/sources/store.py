@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Mapping, Sequence
 from datetime import date
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from aeroseries.config import GASES, ScaleLimits
 from aeroseries.functions.clock import as_date, in_months
-from aeroseries.functions.files import any_path, delete
+from aeroseries.functions.files import any_path, delete, path_exists, rename
 from aeroseries.operators.hourly import hourly_preaggregate
 from aeroseries.operators.ranges import filter_by_date_range, normalize_frame
 from aeroseries.operators.report import available_months, partition_stats, summarize
@@ -158,18 +159,25 @@ class GasStore:
     def rebuild_hourly(self, years: Sequence[int] | None = None) -> None:
         """Recompute the hourly means, of some years or of all.
 
-        Spark writes to a staging folder and swaps on commit.
+        A whole table is written beside the old one and takes its place when it is complete; years are replaced on commit.
         """
         whole = years is None or not self.hourly_exists()
         readings = self.raw() if whole else self.raw().where(F.col("year").isin(list(years)))
         hourly = hourly_preaggregate(readings).withColumn("year", F.year("date_ist"))
         spread = hourly.hint("rebalance", "year").sortWithinPartitions("year", "hour_start_ist")
-        overwrite = "static" if whole else "dynamic"
         # dynamic mode leaves a year alone that has no rows left
         for year in [] if whole else self._years_without_rows(years):
             delete(self.spark, f"{self.hourly_path}/year={year}")
-        writer = spread.write.mode("overwrite").option("partitionOverwriteMode", overwrite)
-        writer.partitionBy("year").parquet(self.hourly_path)
+        if not whole:
+            writer = spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            writer.partitionBy("year").parquet(self.hourly_path)
+            return
+        fresh, old = (f"{self.hourly_path}-{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
+        spread.write.partitionBy("year").parquet(fresh)
+        if path_exists(self.spark, self.hourly_path):
+            rename(self.spark, self.hourly_path, old)
+        rename(self.spark, fresh, self.hourly_path)
+        delete(self.spark, old)
 
     def _years_without_rows(self, years: Sequence[int]) -> list[int]:
         stored = {row.year for row in self.raw().select("year").where(F.col("year").isin(list(years))).distinct().collect()}

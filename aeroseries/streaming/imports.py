@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aeroseries.config import QcConfig, ScaleLimits
+from aeroseries.functions.files import escape_glob
 from aeroseries.functions.lineage import staged
 from aeroseries.operators.quality_control import apply_quality_control
 from aeroseries.operators.standardize import keep_first_reading, parse_readings
@@ -117,13 +118,14 @@ def stream_folders(
     batch_size: int = 50,
     force_reimport: bool = False,
 ) -> Iterator[tuple[DataFrame, DataFrame, int]]:
-    """Yield new files batch by batch as (log lines, files, number of files skipped)."""
+    """Yield new files batch by batch as (log lines, files that could be read, number of files skipped)."""
     found = discover_files(spark, folders)
     fresh = found if manifest is None or force_reimport else new_files(found, manifest)
     skipped = found.count() - fresh.count()
     for batch in _in_batches(fresh, batch_size):
         files = spark.createDataFrame(batch, FOUND_SCHEMA)
-        yield read_log_lines(spark, files), files, skipped
+        lines = read_log_lines(spark, files)
+        yield lines, readable_files(files, lines), skipped
 
 
 def import_folders(
@@ -169,7 +171,9 @@ def import_stream(
         .option("pathGlobFilter", "*.dat")
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", files_per_trigger)
-        .load(folder)
+        # A file is late by its own time, never by that of the newest: without this, files a week older are ignored.
+        .option("maxFileAge", "36500d")
+        .load(escape_glob(folder))
         .select(*IDENTITY)
     )
 

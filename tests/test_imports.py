@@ -104,10 +104,26 @@ def test_stream_gives_the_same_store(spark, site, tmp_path):
     assert streamed.raw().count() == 750 and entries.read().count() == 3
 
 
+def test_stream_takes_files_older_than_those_before(spark, tmp_path):
+    folder = tmp_path / "logs"
+    store, manifest = GasStore(spark, str(tmp_path / "out")), Manifest(spark, str(tmp_path / "manifest"))
+    write_log(folder / "new.dat", datetime(2025, 11, 20), 10, mtime=1_763_600_000)
+    import_stream(store, manifest, str(folder), str(tmp_path / "checkpoint"))
+    write_log(folder / "old.dat", datetime(2025, 11, 1), 10, mtime=1_763_600_000 - 30 * 86_400)
+    import_stream(store, manifest, str(folder), str(tmp_path / "checkpoint"))
+    assert store.raw().count() == 20
+
+
+def test_stream_folders_hands_on_readable_files_only(spark, site):
+    _, _, folder = site
+    handed = [row.path for _, files, _ in stream_folders(spark, [str(folder)]) for row in files.collect()]
+    assert len(handed) == 2 and not any(path.endswith("bad.dat") for path in handed)
+
+
 def test_batches_of_files(spark, site):
     _, manifest, folder = site
     batches = list(stream_folders(spark, [str(folder)], manifest.read(), batch_size=2))
-    assert [files.count() for _, files, _ in batches] == [2, 1]
+    assert [files.count() for _, files, _ in batches] == [2, 0]  # the last batch holds only a file that cannot be read
     assert all(skipped == 0 for _, _, skipped in batches)
 
 

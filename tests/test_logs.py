@@ -37,20 +37,22 @@ GOOD = {
     "bad number": body(HEADER, "2025-11-01 00:00:00 oops 400.0 1.8"),
     "short line": body(HEADER, "2025-11-01 00:00:00 1.0"),
     "last line open": HEADER + "\n" + LINE.format(0, 0),
-    "header at 102": body(*["-"] * 101, HEADER, LINE.format(0, 0)),
+    "header at 103": body(*["-"] * 102, HEADER, LINE.format(0, 0)),
+    "header at 500": body(*["-"] * 499, HEADER, LINE.format(0, 0)),
+    "cr only": body(HEADER, LINE.format(0, 0), end="\r"),
+    "a{1}[2]": body(HEADER, LINE.format(0, 0)),
 }
 BAD = {
     "empty": "",
     "no header": body(LINE.format(0, 0)),
     "missing column": body("DATE TIME CO_sync CO2_sync", "2025-11-01 00:00:00 1.0 400.0"),
-    "header at 103": body(*["-"] * 102, HEADER, LINE.format(0, 0)),
     "dates only": body("DATE and TIME of the run", HEADER, LINE.format(0, 0)),
 }
 
 
 @pytest.fixture(scope="module")
 def folder(tmp_path_factory):
-    root = tmp_path_factory.mktemp("logs") / "with space"
+    root = tmp_path_factory.mktemp("logs") / "with space g[1]"
     root.mkdir()
     for name, text in {**GOOD, **BAD, "header only": body(HEADER)}.items():
         (root / f"{name.replace(' ', '_')}.dat").write_bytes(text.encode())

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aeroseries.config import GASES, Bounds, QcConfig, ScaleLimits
-from aeroseries.operators.quality_control import apply_quality_control, hour_profile
+from aeroseries.operators.quality_control import apply_quality_control, hour_profile, hour_statistics
 from aeroseries.schema import QC_COLUMNS
 from tests.helpers import START, actual_qc, expected_qc, hourly_rows, make_readings
 
@@ -191,3 +191,24 @@ def test_plan_has_no_python_and_broadcasts_the_hourly_table(spark):
     assert "BroadcastHashJoin" in plan and "Python" not in plan and "CartesianProduct" not in plan
     shuffled = apply_quality_control(df, limits=SHUFFLED)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastNestedLoop" not in shuffled
+
+
+@pytest.mark.parametrize("limits", [ScaleLimits(), ScaleLimits(rows_per_hour=1)], ids=["gathered", "spread"])
+def test_infinite_readings_are_no_spikes_by_themselves(spark, limits):
+    values = [400.0 + i % 3 for i in range(20)]
+    mostly = hourly_rows([[*values[:8], *[float("inf")] * 12]])
+    clean = apply_quality_control(make_readings(spark, mostly), QcConfig(), limits=limits)
+    flags = [(row.ch4_sync_raw, row.ch4_sync_flag_point_spike, row.ch4_sync_point_robust_z) for row in clean.collect()]
+    # The hour's median is infinite: no distance from it is a number, so nothing is a spike.
+    assert not any(spike for _, spike, _ in flags) and all(z is None or z == z for *_, z in flags)
+
+
+@pytest.mark.parametrize("limits", [ScaleLimits(), ScaleLimits(rows_per_hour=1)], ids=["gathered", "spread"])
+def test_rows_without_a_time_form_no_hour(spark, limits):
+    rows = hourly_rows([[400.0 + i % 5 for i in range(20)] for _ in range(5)])
+    readings = make_readings(spark, rows)
+    timeless = readings.limit(4).withColumn("datetime_ist", F.lit(None).cast("timestamp_ntz")).withColumn(
+        "hour_start_ist", F.lit(None).cast("timestamp_ntz")
+    )
+    hours = hour_statistics(readings.unionByName(timeless), QcConfig(), limits=limits)
+    assert hours.where("hour_start_ist IS NULL").count() == 0 and hours.count() == 15
