@@ -133,15 +133,16 @@ def _repeated_anchors(docs: DataFrame, min_words: int) -> DataFrame:
         starts = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
         several = np.minimum.reduceat(ids, starts) != np.maximum.reduceat(ids, starts)
         keep = np.repeat(several, np.diff(np.append(starts, len(grams))))
-        return _by_text(ids[keep], spots[keep])
+        return pa.table({"h": pa.array(ids[keep]), "spot": pa.array(spots[keep])})
 
     packed = docs.select("h", "text").mapInArrow(emit, _ANCHORS)
-    found = packed.groupBy("bucket").applyInArrow(lambda key, rows: repeated(rows), "h bigint, spots binary")
-    gathered = found.groupBy("h").agg(F.collect_list("spots").alias("spots"))
+    found = packed.groupBy("bucket").applyInArrow(lambda key, rows: repeated(rows), "h bigint, spot int")
+    # One row per anchor and text, so that equal texts count once and the rows follow the input whatever the buckets.
+    gathered = found.distinct().groupBy("h").agg(F.collect_list("spot").alias("spots"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spots = [_pack(np.unique(np.frombuffer(b"".join(parts), dtype=np.int32))) for parts in batch.column(1).to_pylist()]
+            spots = [_pack(np.array(parts, dtype=np.int32)) for parts in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spots, pa.binary())], names=["h", "spots"])
 
     return gathered.mapInArrow(merge, "h bigint, spots binary")
@@ -168,22 +169,6 @@ def _joined(rows: pa.Table, name: str, kind: str | type) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
 
 
-def _by_text(ids: np.ndarray, spots: np.ndarray) -> pa.Table:
-    """One row per text with its spots, each once."""
-    order = np.lexsort((spots, ids))
-    ids, spots = ids[order], spots[order]
-    new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (spots[1:] != spots[:-1])])[: len(ids)]
-    ids, spots = ids[new], spots[new]
-    starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])[: len(ids)])
-    spans = zip(starts, np.append(starts[1:], len(ids)))
-    return pa.table(
-        {
-            "h": pa.array(ids[starts], pa.int64()),
-            "spots": pa.array([spots[s:e].astype(np.int32).tobytes() for s, e in spans], pa.binary()),
-        }
-    )
-
-
 def _suffixes(texts: DataFrame, min_words: int) -> DataFrame:
     """Packed suffixes that start at candidate windows; a row with ``first`` -1 holds windows known to be covered."""
     width = min_words - GRAM + 1
