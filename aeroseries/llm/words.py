@@ -37,8 +37,15 @@ def _folded_words() -> np.ndarray:
     return table
 
 
+def _lowered_words() -> np.ndarray:
+    table = _plain_words()
+    table[ord("A") : ord("Z") + 1] = table[ord("a") : ord("z") + 1]
+    return table
+
+
 #: Byte to byte as hashed; 0 separates words.
 PLAIN = _plain_words()
+LOWERED = _lowered_words()
 FOLDED = _folded_words()
 
 

@@ -305,6 +305,52 @@ def test_keep_one_of_each_group(make_docs):
     assert sorted(row.doc_id for row in kept.collect()) == [2, 2, 7]
 
 
+def test_wide_fingerprints(monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(n)).encode() for n in (0, 1, 4, 5, 6, 30, 90, 400)]
+    whole = simhash.wide_fingerprints_of(texts, 5)
+    monkeypatch.setattr(simhash, "_SPAN", 7)
+    assert (simhash.wide_fingerprints_of(texts, 5) == whole).all()
+    assert (simhash.wide_fingerprints_of([t.upper().replace(b" ", b"\n\t") for t in texts], 5) == whole).all()
+    alone = [simhash.wide_fingerprints_of([text], 5)[0].tolist() for text in texts]
+    assert alone == whole.tolist() and not whole[0].any() and whole[1:].any(axis=1).all()
+
+
+@pytest.mark.parametrize("size", [32_000, 20])
+@pytest.mark.parametrize("at_once", [4_000_000, 500])
+def test_near_links_verify_what_meets(spark, monkeypatch, size, at_once):
+    monkeypatch.setattr(simhash, "NEAR_GROUP", size)
+    monkeypatch.setattr(simhash, "_VARIANTS_AT_ONCE", at_once)
+    rng = np.random.default_rng(2)
+    bases = rng.integers(0, 2**64, (40, 4), dtype=np.uint64)
+    rows = []
+    for base in bases:
+        for n_flips in (0, 8, 16, 110):
+            bits = rng.choice(256, n_flips, replace=False)
+            flip = np.zeros(4, np.uint64)
+            for bit in bits.tolist():
+                flip[bit // 64] ^= np.uint64(1 << bit % 64)
+            rows.append(base ^ flip)
+    table = [(i, *row.view(np.int64).tolist()) for i, row in enumerate(np.array(rows))]
+    frame = spark.createDataFrame(table, "h bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
+    found = {row.node: row.component for row in connected_components(simhash.near_links(frame, 0.8)).collect()}
+    for i in range(0, len(rows), 4):
+        # Up to 24 bits apart some part of the first eight has at most two; 110 bits are far beyond the limit.
+        assert [found.get(k, k) for k in range(i, i + 4)] == [i, i, i, i + 3]
+
+
+def test_keep_one_takes_edited_copies(make_docs):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(5_000)}" for _ in range(300)]
+    edited = ["new" if i in (50, 200) else w for i, w in enumerate(words)]
+    other = [f"v{rng.randrange(5_000)}" for _ in range(300)]
+    rows = [(8, " ".join(words)), (3, " ".join(edited)), (4, " ".join(other)), (5, " ".join(other[:150] + words[:150])), *EDGES]
+    kept = rows_of(simhash.keep_one(make_docs(rows)).select("doc_id"))
+    # Texts without words are one group, and so are the equal rows.
+    assert kept == sorted([(i,) for i, _ in rows if i in (1, 3, 4, 5, None)], key=repr)
+    assert simhash.keep_one(make_docs([])).count() == 0
+
+
 # WARC
 
 
