@@ -35,26 +35,38 @@ def keep_first(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataF
 
 def keep_first_reading(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One reading per UTC timestamp: from the first file, and its first line where line numbers are known."""
-    rest = [c for c in (*(f"{gas}_raw" for gas in GASES), *GASES) if c in df.columns]
-    order = ["source_file", *(["line_no"] if "line_no" in df.columns else []), *rest]
-    return keep_first(df, [*by, "datetime_utc"], order)
+    if "line_no" in df.columns:
+        rest = ["line_no"]
+    else:
+        rest = [c for c in (*(f"{gas}_raw" for gas in GASES), *GASES) if c in df.columns]
+    return keep_first(df, [*by, "datetime_utc"], ["source_file", *rest])
 
 
-def parse_readings(raw: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Validated, typed and shifted to IST, before removal of duplicate timestamps."""
+def _typed(raw: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Validated rows with what cannot be derived: the timestamp, the values, and where they come from."""
     valid = validate_rows(raw).withColumnsRenamed(INSTRUMENT_COLUMNS)
     stamp = F.concat_ws(" ", "DATE", "TIME").try_cast("timestamp_ntz")
-    typed = valid.withColumns(
-        {"datetime_utc": stamp, **{f"{gas}_raw": to_number(F.col(gas)) for gas in GASES}}
-    ).where(F.col("datetime_utc").isNotNull())
+    line_no = ["line_no"] if "line_no" in raw.columns else []
+    values = (to_number(F.col(gas)).alias(f"{gas}_raw") for gas in GASES)
+    typed = valid.select(stamp.alias("datetime_utc"), *values, "source_file", *by, *line_no)
+    return typed.where(F.col("datetime_utc").isNotNull())
+
+
+def _derived(typed: DataFrame) -> DataFrame:
+    """Add Indian time, its calendar, and the columns that will hold the clean values."""
     typed = typed.withColumn("datetime_ist", utc_to_ist(F.col("datetime_utc")))
-    typed = typed.withColumns(
-        {**calendar(F.col("datetime_ist")), **{gas: F.col(f"{gas}_raw") for gas in GASES}}
-    )
+    return typed.withColumns({**calendar(F.col("datetime_ist")), **{gas: F.col(f"{gas}_raw") for gas in GASES}})
+
+
+def parse_readings(raw: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Validated, typed and shifted to IST, before removal of duplicate timestamps."""
     line_no = ["line_no"] if "line_no" in raw.columns else []
-    return typed.select(*STANDARD_COLUMNS, *by, *line_no)
+    return _derived(_typed(raw, by)).select(*STANDARD_COLUMNS, *by, *line_no)
 
 
 def standardize(raw: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Standard readings with one row per timestamp (and per ``by`` key, when instruments are mixed)."""
-    return keep_first_reading(parse_readings(raw, by), by).select(*STANDARD_COLUMNS, *by)
+    """Standard readings with one row per timestamp (and per ``by`` key, when instruments are mixed).
+
+    Duplicates go before the calendar is derived, so that only what was read passes through the shuffle.
+    """
+    return _derived(keep_first_reading(_typed(raw, by), by)).select(*STANDARD_COLUMNS, *by)
