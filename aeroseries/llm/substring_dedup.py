@@ -42,8 +42,12 @@ GROUP_SUFFIXES = 250_000
 #: What is known of the documents' words goes to the texts as a broadcast up to this size, checked after it is written;
 #: beyond it the texts are shuffled to it.
 BROADCAST_BYTES = 48 << 20
-#: Anchors or suffixes that a task gathers before it hands them on.
+#: Bytes of texts that pass to Python at once. Ten thousand texts, Spark's own limit, would be 34 MB several times over, on
+#: both sides of the pipe.
+BATCH_BYTES = 4 << 20
+#: Anchors, and suffixes with their origins, that a task gathers before it hands them on: some 8 MB of each.
 _HELD = 400_000
+_HELD_SUFFIXES = 120_000
 _LAST = 2**63 - 1
 
 #: A text's hash in the origin of a suffix: only texts of rows with the same id have to be told apart.
@@ -199,7 +203,7 @@ def _suffixes(texts: DataFrame, min_words: int) -> DataFrame:
                 text = words.text_of()[at]
                 held.append((keys, ords[start:end][text], hs[start:end][text], (at - words.first[text]).astype(np.int32)))
                 size += len(at)
-                if size > _HELD:
+                if size > _HELD_SUFFIXES:
                     yield dealt(held)
                     held, size = [], 0
         if size:
@@ -374,6 +378,8 @@ def kept_words(text: bytes, copy: bool | None, runs: bytes | None, min_words: in
 
 
 def _with_decisions(docs: DataFrame, doc_id: str, text: str, min_words: int) -> DataFrame:
+    # Read when a query is planned, so it stays set for the frame that is returned; it changes no rows.
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     found = _fitting(stage_table(decisions(docs, doc_id=doc_id, text=text, min_words=min_words))).select(
         F.col("h").alias("__h"), F.col("ord").alias("__ord"), F.col("copy").alias("__copy"), F.col("spots").alias("__spots")
     )
