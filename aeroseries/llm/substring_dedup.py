@@ -3,8 +3,9 @@
 1. *Candidates.* Of every window of ``min_words`` words the smallest of its short word grams is kept as an anchor, so two
    equal windows hold equal anchors. Anchors are shuffled as packed numbers, and those found in one text only are dropped.
    A window without a repeated anchor cannot repeat. Equal texts count as one.
-2. *Suffixes.* The suffixes that start at candidate windows, as ``min_words`` word codes each, are written to the
-   checkpoint folder, sorted, with one entry per task for suffixes that are equal there.
+2. *Suffixes.* The suffixes that start at candidate windows are written to the checkpoint folder, sorted, with one entry
+   per task for suffixes that are equal there. A suffix is its path in the tree, one byte a word, and where the path ends,
+   at ``min_words`` words, a 64-bit hash of them all: windows that differ may share the path, but not the hash.
 3. *Prefixes.* Suffixes are counted by their first byte; a prefix with more suffixes than a group may hold is extended byte
    by byte, until every prefix fits. Prefixes next to each other share a group while there is room.
 4. *Subtrees.* Each group sorts its suffixes. Runs that agree in ``min_words`` words are the leaves below an internal node
@@ -37,7 +38,7 @@ MIN_WORDS = 13
 GRAM = 6
 #: UTF-8 bytes of text whose anchors meet in one bucket.
 BUCKET_BYTES = 24 << 20
-#: Suffixes in a group, some 20 MB with their origins.
+#: Suffixes in a group, some 9 MB with their origins.
 GROUP_SUFFIXES = 250_000
 #: What is known of the documents' words goes to the texts as a broadcast up to this size, checked after it is written;
 #: beyond it the texts are shuffled to it.
@@ -45,7 +46,7 @@ BROADCAST_BYTES = 48 << 20
 #: Bytes of texts that pass to Python at once. Ten thousand texts, Spark's own limit, would be 34 MB several times over, on
 #: both sides of the pipe.
 BATCH_BYTES = 4 << 20
-#: Anchors, and suffixes with their origins, that a task gathers before it hands them on: some 8 MB of each.
+#: Anchors, and suffixes with their origins, that a task gathers before it hands them on.
 _HELD = 400_000
 _HELD_SUFFIXES = 120_000
 _LAST = 2**63 - 1
@@ -56,6 +57,8 @@ _SHORT = 2**31 - 1
 _ANCHORS = "bucket int, grams binary, docs binary, spots binary"
 _SUFFIXES = "first int, n int, keys binary, ords binary, docs binary, spots binary"
 _COVERED = "h bigint, ord bigint, spots binary"
+#: Covered windows: one by one where they come from a subtree, so that the rows follow the input whatever the groups.
+_WINDOWS = "h bigint, ord bigint, spot int"
 
 
 def _order(doc_id: str) -> Column:
@@ -90,6 +93,19 @@ def anchors(texts: list[bytes], min_words: int) -> tuple[np.ndarray, np.ndarray,
     return grams[at], text, at - words.first[text]
 
 
+def _key_bytes(min_words: int) -> int:
+    return min_words - 1 + 8
+
+
+def _keys(hashes: np.ndarray, windows: np.ndarray, at: np.ndarray, min_words: int) -> np.ndarray:
+    """The keys of the suffixes that start at the given words, a row of bytes each."""
+    keys = np.empty((len(at), _key_bytes(min_words)), dtype=np.uint8)
+    steps = (hashes >> np.uint64(56)).astype(np.uint8)
+    keys[:, : min_words - 1] = np.lib.stride_tricks.sliding_window_view(steps, min_words - 1)[at]
+    keys[:, min_words - 1 :] = windows[at].astype(">u8").view(np.uint8).reshape(-1, 8)
+    return keys
+
+
 def _window_ends(first: np.ndarray, n: int, total: int) -> tuple[np.ndarray, np.ndarray]:
     ends = np.repeat(first[1:], np.diff(first))
     return ends, np.arange(total) + n <= ends
@@ -198,8 +214,7 @@ def _suffixes(texts: DataFrame, min_words: int) -> DataFrame:
                 at = np.flatnonzero((_sliding(marked, width, np.minimum) == least) & whole)
                 if not len(at):
                     continue
-                codes = (words.hashes >> np.uint64(32)).astype(">u4")
-                keys = np.lib.stride_tricks.sliding_window_view(codes, min_words)[at]
+                keys = _keys(words.hashes, words.windows(min_words)[0], at, min_words)
                 text = words.text_of()[at]
                 held.append((keys, ords[start:end][text], hs[start:end][text], (at - words.first[text]).astype(np.int32)))
                 size += len(at)
@@ -211,7 +226,7 @@ def _suffixes(texts: DataFrame, min_words: int) -> DataFrame:
 
     def dealt(held: list[tuple]) -> pa.RecordBatch:
         keys, ords, hs, spots = (np.concatenate(column) for column in zip(*held))
-        keys = np.ascontiguousarray(keys).view(f"S{4 * min_words}").ravel()
+        keys = np.ascontiguousarray(keys).view(f"S{_key_bytes(min_words)}").ravel()
         order = np.lexsort((ords, keys))
         keys, ords, hs, spots = keys[order], ords[order], hs[order], spots[order]
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -235,7 +250,7 @@ def _suffixes(texts: DataFrame, min_words: int) -> DataFrame:
 
 def _prefixes(suffixes: DataFrame, min_words: int) -> list[bytes]:
     """The lower ends of the groups: variable-length prefixes, each with few enough suffixes."""
-    key_bytes = 4 * min_words
+    key_bytes = _key_bytes(min_words)
     kept = suffixes.filter("first >= 0")
     counts = {bytes([row["first"]]): row["n"] for row in kept.groupBy("first").agg(F.sum("n").alias("n")).collect()}
     done: dict[bytes, int] = {}
@@ -273,7 +288,7 @@ def _prefixes(suffixes: DataFrame, min_words: int) -> list[bytes]:
 
 def _covered(suffixes: DataFrame, min_words: int) -> DataFrame:
     """Rows (h, ord, spots): windows of a text that start in a smaller document too."""
-    kind = f"S{4 * min_words}"
+    kind = f"S{_key_bytes(min_words)}"
     prefixes = np.array(_prefixes(suffixes, min_words), dtype=kind)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +315,7 @@ def _covered(suffixes: DataFrame, min_words: int) -> DataFrame:
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         least = np.repeat(np.minimum.reduceat(ords, starts), np.diff(np.append(starts, len(keys))))
         behind = ords > least
-        return _covered_rows(ords[behind], ids[behind], spots[behind])
+        return pa.table({"h": pa.array(ids[behind], pa.int64()), "ord": ords[behind], "spot": spots[behind]})
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,13 +324,19 @@ def _covered(suffixes: DataFrame, min_words: int) -> DataFrame:
                 yield from _covered_rows(*parts).to_batches()
 
     routed = suffixes.filter("first >= 0").mapInArrow(route, _SUFFIXES)
-    nodes = routed.groupBy("first").applyInArrow(lambda key, rows: subtree(rows), _COVERED)
+    nodes = routed.groupBy("first").applyInArrow(lambda key, rows: subtree(rows), _WINDOWS)
     early = suffixes.filter("first < 0").select("ords", "docs", "spots").mapInArrow(known, _COVERED)
-    gathered = nodes.union(early).groupBy("h", "ord").agg(F.collect_list("spots").alias("spots"))
+    both = nodes.unionByName(early, allowMissingColumns=True)
+    gathered = both.groupBy("h", "ord").agg(F.collect_list("spot").alias("single"), F.collect_list("spots").alias("packed"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            runs = [_pack(_runs(np.frombuffer(b"".join(parts), dtype=np.int32), min_words)) for parts in batch.column(2).to_pylist()]
+            single, packed = batch.column(2), batch.column(3).to_pylist()
+            values, cuts = single.values.to_numpy(zero_copy_only=False), single.offsets.to_numpy()
+            runs = []
+            for start, end, parts in zip(cuts[:-1], cuts[1:], packed):
+                spots = np.concatenate([values[start:end].astype(np.int32), np.frombuffer(b"".join(parts), dtype=np.int32)])
+                runs.append(_pack(_runs(spots, min_words)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(runs, pa.binary())], names=["h", "ord", "spots"])
 
     return gathered.mapInArrow(merge, _COVERED)
