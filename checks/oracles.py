@@ -376,6 +376,10 @@ ORACLES = {
     "qc_hour_stats": qc_hours(
         DEFAULT, "hour_stats", ("hour_count", "hour_median", "hour_mad"), ("hour_median", "hour_mad")
     ),
+    "qc_hour_stats_spread": qc_hours(
+        DEFAULT, "hour_stats", ("hour_count", "hour_median", "hour_mad"), ("hour_median", "hour_mad")
+    ),
+    "quality_control_spread": with_(EVENTS, qc_chain(TIGHT), wide_qc()) + f"SELECT {QC_ALL} FROM clean",
     "qc_rolling_median": qc_hours(DEFAULT, "rolled", ("rolling_median",), ("rolling_median",)),
     "qc_rolling_median_sparse": qc_hours(
         QcConfig(hourly_reference_min_periods=100),
@@ -391,6 +395,10 @@ ORACLES = {
     + " UNION ALL ".join([*(report_row(g) for g in GASES), TIME_ROW]),
     "hourly_preaggregate": with_(EVENTS, STORED_HOURLY)
     + f"SELECT hour_start_ist, date_ist, hour_ist, {GAS_COLUMNS} FROM stored",
+    "hourly_by_source": with_(EVENTS)
+    + "SELECT source_file, hour_start_ist, date_ist, hour_ist, "
+    + ", ".join(r(f"avg({g})", g) for g in GASES)
+    + " FROM readings WHERE COALESCE(co_sync, co2_sync, ch4_sync) IS NOT NULL GROUP BY ALL",
     "hourly_mean_filled": with_(EVENTS, HOURLY) + f"SELECT hour_start_ist, {GAS_COLUMNS} FROM filled",
     "correlation_frame": with_(EVENTS, HOURLY)
     + f"SELECT datetime_ist, {GAS_COLUMNS}, {r('co_over_co_plus_co2', 'co_over_co_plus_co2')}, "
@@ -410,6 +418,10 @@ ORACLES = {
     + f"SELECT hour_ist, {', '.join(r(f'avg({g})', g) for g in GASES)} FROM readings GROUP BY hour_ist",
     "monthly_diurnal": with_(ORDERS)
     + f"SELECT month_ist, hour_ist, {r('avg(co2_sync)', 'co2_sync')} FROM readings GROUP BY 1, 2 ORDER BY 1, 2",
+    "monthly_diurnal_all": with_(ORDERS)
+    + "SELECT month_ist, hour_ist, "
+    + ", ".join(r(f"avg({g})", g) for g in GASES)
+    + " FROM readings GROUP BY 1, 2",
     "month_hour_day": with_(ORDERS)
     + f"SELECT month_ist, hour_ist, day_ist, {r('avg(co2_sync)', 'co2_sync')} FROM readings GROUP BY 1, 2, 3",
     "month_hour_day_matrix": with_(ORDERS)

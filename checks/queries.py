@@ -8,7 +8,7 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aeroseries.config import GASES, PAIRS, QcConfig
+from aeroseries.config import GASES, PAIRS, QcConfig, ScaleLimits
 from aeroseries.functions.lineage import cut_lineage
 from aeroseries.operators import correlation, diurnal, hourly, ranges, report, standardize
 from aeroseries.operators import quality_control as qc
@@ -30,6 +30,8 @@ from checks.fixtures import (
 Query = Callable[[SparkSession, str], DataFrame]
 
 DEFAULT = QcConfig()
+#: The forms for hours too busy to gather and too many to broadcast.
+SPREAD = ScaleLimits(rows_per_hour=1, broadcast_hours=0)
 TIGHT = QcConfig(point_spike_z=3.0, hourly_spike_z=1.5, sustained_shift_min_hours=1)
 JANUARY = [date(2024, 1, 1) + timedelta(days=i) for i in range(31)]
 PAIR = ("co2_sync", "ch4_sync")
@@ -121,6 +123,11 @@ def qc_hour_stats(config: QcConfig) -> Query:
     return on_events(lambda df: _hours(df, config)[0].select(*columns))
 
 
+def qc_hour_stats_spread(df: DataFrame) -> DataFrame:
+    hours = qc.hour_statistics(df, DEFAULT, limits=SPREAD)
+    return hours.select("gas", "hour_start_ist", "hour_count", "hour_median", "hour_mad")
+
+
 def qc_hourly_series(config: QcConfig) -> Query:
     return on_events(lambda df: _hours(df, config)[0].select("gas", "hour_start_ist", "hour_reference"))
 
@@ -180,6 +187,14 @@ def quality_control(config: QcConfig) -> Query:
     return on_events(lambda df: qc.apply_quality_control(df, config))
 
 
+def quality_control_spread(df: DataFrame) -> DataFrame:
+    return qc.apply_quality_control(df, TIGHT, limits=SPREAD)
+
+
+def hourly_by_source(df: DataFrame) -> DataFrame:
+    return hourly.hourly_preaggregate(df, ["source_file"])
+
+
 def quality_report(df: DataFrame) -> DataFrame:
     return report.quality_report(qc.apply_quality_control(df, TIGHT))
 
@@ -228,6 +243,7 @@ QUERIES: dict[str, Query] = {
     "summarize": on_events(report.summarize),
     "qc_hard_bounds": on_events(qc_hard_bounds),
     "qc_hour_stats": qc_hour_stats(DEFAULT),
+    "qc_hour_stats_spread": on_events(qc_hour_stats_spread),
     "qc_point_spike": qc_point_spike(DEFAULT),
     "qc_point_spike_tight": qc_point_spike(TIGHT),
     "qc_hourly_series": qc_hourly_series(DEFAULT),
@@ -247,9 +263,11 @@ QUERIES: dict[str, Query] = {
     "qc_any_flags_tight": qc_any_flags(TIGHT),
     "quality_control": quality_control(DEFAULT),
     "quality_control_tight": quality_control(TIGHT),
+    "quality_control_spread": on_events(quality_control_spread),
     "process_batch": process_batch,
     "quality_report": on_events(quality_report),
     "hourly_preaggregate": on_events(hourly.hourly_preaggregate),
+    "hourly_by_source": on_events(hourly_by_source),
     "hourly_mean_filled": on_events(hourly.hourly_mean_timeseries),
     "correlation_frame": on_events(hourly.correlation_frame),
     "diurnal_long": on_events(lambda df: diurnal.diurnal_matrix(df, GAS)),
@@ -259,6 +277,7 @@ QUERIES: dict[str, Query] = {
     "daily_mean_median": on_matrix(diurnal.daily_mean_median),
     "profile_24_all": on_events(diurnal.profile_24_point),
     "monthly_diurnal": on_orders(lambda df: views.monthly_diurnal_series(df, GAS)),
+    "monthly_diurnal_all": on_orders(diurnal.monthly_diurnal_all),
     "month_hour_day": on_orders(lambda df: diurnal.month_hour_day(df, GAS)),
     "month_hour_day_matrix": on_orders(lambda df: diurnal.month_hour_day_matrix(df, GAS)),
     "pair_stats": on_events(lambda df: correlation.pair_stats(hourly.correlation_frame(df), *PAIR)),
