@@ -1,14 +1,13 @@
-"""Finding benchmark items in training documents by rare n-gram seeds and Smith-Waterman alignment.
+"""Finding benchmark items in training documents by n-gram seeds and Smith-Waterman alignment.
 
 Words are letters and digits in lower case, so that punctuation and case do not hide a copy. Every ``SEED`` words of an item
-are a gram; the grams of all items are counted over the whole corpus. Grams far more frequent than others near them in the
-same item are left out; the rest are seeds, so every part of an item that occurs at all has some, however common the item
-itself is. Documents that hold a seed are aligned with its
-item around the place where it was found. The score is the best local alignment's share of a perfect one; it finds copies
-with words changed, left out or put in.
+are a seed, however often they occur: what other documents hold does not change what is found in one. Documents that hold a
+seed are aligned with its item around the place where it was found, unless the words they share there are too few for any
+alignment to score enough. The score is the best local alignment's share of a perfect one; it finds copies with words changed,
+left out or put in.
 
-Items are taken in blocks of at most ``BLOCK_GRAMS`` grams, whose tables are broadcast; each block is two passes over the
-documents. Nothing else is shuffled but the counts of the block's grams and the found pairs.
+Items are taken in blocks of at most ``BLOCK_GRAMS`` grams, whose tables are broadcast; each block is one pass over the
+documents. Nothing is shuffled.
 
 Defined cases: null texts and ids are read as empty texts and null ids; an item shorter than a seed is a gram as a whole; an
 item without words is found nowhere; repeated rows are reported each for itself; empty tables give no rows; other columns are
@@ -28,8 +27,6 @@ from aeroseries.llm.words import FOLDED, Words, chunks, find_words, utf8
 
 #: Words in a gram.
 SEED = 4
-#: A gram is a seed if it occurs at most so many times as often as the rarest within so many grams of its item.
-RARE_TIMES, STRETCH = 8, 6
 #: Least share of a perfect alignment for a document to count as holding the item.
 LEAST_SCORE = 0.5
 #: Grams of the items taken together: 16 bytes each in what is broadcast.
@@ -104,56 +101,23 @@ def _hits(words: Words, known: np.ndarray, sizes: list[int]) -> tuple[np.ndarray
     return np.concatenate(at), np.concatenate(places)
 
 
-def _corpus_counts(docs: DataFrame, grams: np.ndarray, sizes: list[int]) -> np.ndarray:
-    """How often each gram (sorted, distinct) occurs in all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(grams)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        totals = np.zeros(len(known), dtype=np.int64)
-        for batch in batches:
-            texts = utf8(batch.column(0))
-            for start, end in chunks(texts):
-                _, places = _hits(find_words(texts[start:end], FOLDED), known, sizes)
-                totals += np.bincount(places, minlength=len(known))
-        at = np.flatnonzero(totals)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(totals[at])], names=["gram", "n"])
-
-    found = docs.select("text").mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    totals = np.zeros(len(grams), dtype=np.int64)
-    for row in found.toLocalIterator():
-        totals[row["gram"]] = row["n"]
-    return totals
-
-
-def _seeds(item: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Grams that occur, and not far more often than the rarest one that occurs near them in their item.
-
-    Counts are compared within the item alone, so an item that is everywhere keeps its seeds, and a gram that only edited
-    copies hold stays beside those of exact ones.
-    """
-    chosen = np.zeros(len(counts), dtype=bool)
-    cuts = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1], [True]]))
-    for s, e in zip(cuts, cuts[1:]):
-        own = np.where(counts[s:e] > 0, counts[s:e], np.iinfo(np.int64).max // RARE_TIMES)
-        for i in range(e - s):
-            least = own[max(0, i - STRETCH) : i + STRETCH + 1].min()
-            chosen[s + i] = counts[s + i] > 0 and own[i] <= RARE_TIMES * least
-    return chosen
+def _room(item: np.ndarray, passage: np.ndarray) -> int:
+    """How many words an alignment of the two can match at most: those they share, each as often as both have it."""
+    kinds, wanted = np.unique(item, return_counts=True)
+    at = np.minimum(np.searchsorted(kinds, passage), len(kinds) - 1)
+    present = np.bincount(at[kinds[at] == passage], minlength=len(kinds))
+    return int(np.minimum(wanted, present).sum())
 
 
 def _find_block(docs: DataFrame, items: list[tuple[int | None, str]], least_score: float) -> DataFrame:
     words = find_words([(text or "").encode() for _, text in items], FOLDED)
     grams, item, spot = _item_grams(words)
     sizes = sorted(set(_gram_sizes(words).tolist()) - {0})
-    distinct = np.unique(grams)
-    rarity = _corpus_counts(docs, distinct, sizes)
-    seeded = _seeds(item, rarity[np.searchsorted(distinct, grams)])
-    order = np.argsort(grams[seeded], kind="stable")
-    seeds = tuple(part[seeded][order] for part in (grams, item, spot))
+    order = np.argsort(grams, kind="stable")
+    seeds = tuple(part[order] for part in (grams, item, spot))
     bodies = [words.hashes[words.first[i] : words.first[i + 1]] for i in range(len(items))]
     ids = [key for key, _ in items]
-    if not seeded.any():
+    if not len(grams):
         return docs.sparkSession.createDataFrame([], _FOUND)
     shared = docs.sparkSession.sparkContext.broadcast((seeds, bodies, ids))
 
@@ -178,24 +142,26 @@ def _find_block(docs: DataFrame, items: list[tuple[int | None, str]], least_scor
 def _aligned(words: Words, at: np.ndarray, place: np.ndarray, items: tuple, least_score: float) -> Iterator[tuple]:
     """The best alignment of each text with each item whose seed it holds, if it scores enough."""
     (known, items_of, spots_of), contents, _ = items
-    text_of = np.searchsorted(words.first, at, side="right") - 1
     # A gram that several items share stands once for each of them in the sorted seeds.
-    last = np.searchsorted(known, known[place], side="right")
-    pairs = set()
-    for position, text, low, high in zip(at.tolist(), text_of.tolist(), place.tolist(), last.tolist()):
-        for seed in range(low, high):
-            item = int(items_of[seed])
-            # Seeds of one copy lie on nearly the same diagonal and share the passage around it.
-            size = len(contents[item])
-            begin = position - words.first[text] - int(spots_of[seed])
-            pairs.add((text, item, (begin + size) // (size + 1)))
+    several = np.searchsorted(known, known[place], side="right") - place
+    nth = np.arange(several.sum()) - np.repeat(np.cumsum(several) - several, several)
+    at, seed = np.repeat(at, several), np.repeat(place, several) + nth
+    text, item = np.searchsorted(words.first, at, side="right") - 1, items_of[seed]
+    # Seeds of one copy lie on nearly the same diagonal and share the passage around it.
+    size = np.array([len(body) for body in contents])[item]
+    stripe = (at - words.first[text] - spots_of[seed] + size) // (size + 1)
+    pairs = np.unique(np.stack([text, item, stripe], axis=1), axis=0)
     best: dict[tuple[int, int], tuple] = {}
-    for text, item, stripe in sorted(pairs):
+    for text, item, stripe in pairs.tolist():
         body = contents[item]
         size = len(body)
         own = words.hashes[words.first[text] : words.first[text + 1]]
         begin = max(0, stripe * (size + 1) - 2 * size)
-        score, matched, first, end = align(body, own[begin : stripe * (size + 1) + 2 * size + 2])
+        passage = own[begin : stripe * (size + 1) + 2 * size + 2]
+        # Common seeds mostly stand alone: without enough words in common no alignment can score enough.
+        if _room(body, passage) < least_score * size:
+            continue
+        score, matched, first, end = align(body, passage)
         share = score / (MATCH * size)
         if share >= least_score and share > best.get((text, item), (0.0,))[0]:
             best[text, item] = (share, matched, begin + first, begin + end)

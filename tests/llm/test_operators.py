@@ -413,6 +413,16 @@ def test_leaks_are_found_and_clean_documents_left(make_docs, spark):
     assert decontamination.find(make_docs([]), tests).count() == 0 == decontamination.find(make_docs(rows), tests.limit(0)).count()
 
 
+def test_one_exact_and_many_equal_edited_copies(make_docs, spark):
+    item = [f"item{i}" for i in range(40)]
+    edited = " ".join("changed" if i % 7 == 3 else w for i, w in enumerate(item))
+    rows = [(0, " ".join(item)), *((i, f"before it {edited} after") for i in range(1, 1_001)), (2_000, "item4 item5 item6 item8")]
+    rows.append((2_001, "item4 item5 item6 item7 and no more"))
+    tests = spark.createDataFrame([(10, " ".join(item))], "item_id bigint, text string")
+    found = decontamination.find(make_docs(rows), tests).collect()
+    assert sorted(r.doc_id for r in found) == list(range(1_001))
+
+
 # URL filters
 
 
