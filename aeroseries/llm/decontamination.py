@@ -1,6 +1,7 @@
 """Finding benchmark items in training documents by n-gram seeds and Smith-Waterman alignment.
 
-Words are letters and digits in lower case, so that punctuation and case do not hide a copy. Every ``SEED`` words of an item
+Words are letters and digits in lower case, so that punctuation and case do not hide a copy, in any script; in scripts
+without blanks every character is a word. Every ``SEED`` words of an item
 are a seed, however often they occur: what other documents hold does not change what is found in one. Documents that hold a
 seed are aligned with its item around the place where it was found, unless the words they share there are too few for any
 alignment to score enough. The score is the best local alignment's share of a perfect one; it finds copies with words changed,
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aeroseries.llm.words import FOLDED, Words, chunks, find_words, utf8
+from aeroseries.llm.words import FOLDED, Words, chunks, find_words, folded, utf8
 
 #: Words in a gram.
 SEED = 4
@@ -110,7 +111,7 @@ def _room(item: np.ndarray, passage: np.ndarray) -> int:
 
 
 def _find_block(docs: DataFrame, items: list[tuple[int | None, str]], least_score: float) -> DataFrame:
-    words = find_words([(text or "").encode() for _, text in items], FOLDED)
+    words = find_words(folded([(text or "").encode() for _, text in items]), FOLDED)
     grams, item, spot = _item_grams(words)
     sizes = sorted(set(_gram_sizes(words).tolist()) - {0})
     order = np.argsort(grams, kind="stable")
@@ -127,7 +128,7 @@ def _find_block(docs: DataFrame, items: list[tuple[int | None, str]], least_scor
             texts = utf8(batch.column(1))
             rows = []
             for start, end in chunks(texts):
-                found = find_words(texts[start:end], FOLDED)
+                found = find_words(folded(texts[start:end]), FOLDED)
                 at, place = _hits(found, known, sizes)
                 for text, key, score, matched, first, last in _aligned(found, at, place, shared.value, least_score):
                     rows.append((batch.column(0)[start + text].as_py(), names[key], score, matched, len(contents[key]), first, last))

@@ -6,6 +6,8 @@ so the cost is a few array passes over the bytes and no Python step per word.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -49,6 +51,52 @@ LOWERED = _lowered_words()
 FOLDED = _folded_words()
 
 
+#: Scripts written without blanks: Thai to Myanmar, Khmer, kana, ideographs.
+_UNSPACED = re.compile(
+    "[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff"
+    "\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]"
+)
+_BEYOND_ASCII = re.compile("[^\x00-\x7f]+")
+
+
+class _Folds(dict):
+    """Each character as it is compared: small, blank if it is no letter, mark or digit, apart in scripts without blanks."""
+
+    def __missing__(self, code: int) -> str:
+        char = chr(code)
+        kind = unicodedata.category(char)
+        if kind == "Cf":  # soft hyphens and joiners are not seen
+            folded = ""
+        elif kind[0] not in "LMN":
+            folded = " "
+        elif _UNSPACED.match(char):
+            # Marks stay with the character before them.
+            folded = char if kind[0] == "M" else " " + char
+        else:
+            folded = char.casefold()
+        self[code] = folded
+        return folded
+
+
+_FOLDS = _Folds()
+
+
+def folded(texts: Sequence[bytes]) -> list[bytes]:
+    """Texts for ``FOLDED``, with case and punctuation beyond ASCII treated as within it; composed and split accents are one."""
+
+    def fold(found: re.Match) -> str:
+        # The last character of a script without blanks is parted from ASCII letters after it too.
+        return found[0].translate(_FOLDS) + (" " if _UNSPACED.match(found[0][-1]) else "")
+
+    out = []
+    for text in texts:
+        if not text.isascii():
+            known = unicodedata.normalize("NFC", text.decode("utf-8", "replace"))
+            text = _BEYOND_ASCII.sub(fold, known).encode()
+        out.append(text)
+    return out
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (the finalizer of splitmix64)."""
     values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -423,6 +423,17 @@ def test_one_exact_and_many_equal_edited_copies(make_docs, spark):
     assert sorted(r.doc_id for r in found) == list(range(1_001))
 
 
+def test_case_and_punctuation_of_any_script(make_docs, spark):
+    items = ["Žluťoučký kůň úpěl Ďábelské ódy", "привет мир как твои дела", "人人生而自由在尊严和权利上一律平等", "Ñandú Élan über Ärger Öl"]
+    rows = [
+        (0, "x “ŽLUŤOUČKÝ—KŮŇ…úpěl ďábelské ÓDY” y"), (1, "ПРИВЕТ, МИР — «как» ТВОИ ДЕЛА!"), (2, "他说人人生而自由，在尊严和权利上一律平等的"),
+        (3, "n\u0303andu\u0301\u00a0éLAN ÜBER äRGER’öl"), (4, "人 自 — ñ"),
+    ]
+    tests = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    found = decontamination.find(make_docs(rows), tests).collect()
+    assert sorted((r.doc_id, r.item_id, r.score) for r in found) == [(i, i, 1.0) for i in range(4)]
+
+
 # URL filters
 
 
