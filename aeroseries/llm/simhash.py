@@ -285,11 +285,53 @@ def farthest(similarity: float) -> int:
     return round(share * n_bits + math.sqrt(n_bits * share * (1 - share)))
 
 
+def _sweep(fps: np.ndarray, met: np.ndarray, rows: np.ndarray, far: int) -> Iterator[np.ndarray]:
+    """Links (row << 32 | row) that join all rows connected at a value; ``met`` has the value of each row, in order."""
+    starts = np.flatnonzero(np.append(True, met[1:] != met[:-1])) if len(met) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(met)))
+    spot = np.repeat(np.arange(len(starts)), sizes)
+    several = sizes[spot] > 1
+    # Rows not reached yet, and reached ones that have not had their turn, both by value.
+    left, left_at = rows[several], spot[several]
+    waiting, waiting_at = left[:0], left_at[:0]
+    while len(left):
+        # Values where nobody waits go on with their first row.
+        idle = np.append(True, left_at[1:] != left_at[:-1]) & ~np.isin(left_at, waiting_at)
+        waiting = np.concatenate([waiting, left[idle]])
+        waiting_at = np.concatenate([waiting_at, left_at[idle]])
+        left, left_at = left[~idle], left_at[~idle]
+        order = np.argsort(waiting_at, kind="stable")
+        waiting, waiting_at = waiting[order], waiting_at[order]
+        first = np.searchsorted(left_at, waiting_at)
+        n_left = np.searchsorted(left_at, waiting_at, side="right") - first
+        # Nothing is left to reach at their value.
+        waiting, waiting_at, first, n_left = (part[n_left > 0] for part in (waiting, waiting_at, first, n_left))
+        if not len(waiting):
+            # Every value has used up its rows, or has one row alone.
+            continue
+        # One row a value, and more where few are left; together no more pairs than are spread out at once.
+        nth = np.arange(len(waiting)) - np.searchsorted(waiting_at, waiting_at)
+        turn = nth < np.maximum(1, 1_024 // n_left)
+        turn &= (np.cumsum(n_left * turn) <= _VARIANTS_AT_ONCE) | (np.arange(len(turn)) == 0)
+        n_mine, begin = n_left[turn], first[turn]
+        at = np.repeat(begin, n_mine) + np.arange(n_mine.sum()) - np.repeat(np.cumsum(n_mine) - n_mine, n_mine)
+        heads = np.repeat(waiting[turn], n_mine)
+        near = np.bitwise_count(fps[heads] ^ fps[left[at]]).sum(axis=1) <= far
+        heads, at = heads[near], at[near]
+        yield np.unique(heads << 32 | left[at])
+        reached = np.zeros(len(left), dtype=bool)
+        reached[at] = True
+        waiting = np.concatenate([waiting[~turn], left[reached]])
+        waiting_at = np.concatenate([waiting_at[~turn], left_at[reached]])
+        left, left_at = left[~reached], left_at[~reached]
+
+
 def near_links_in_group(fps: np.ndarray, part: int, group: int, n_route: int, far: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (row, row of a smaller number) between fingerprints that share a variant of the part in this group.
 
-    Each row stands for its part's value and all values one bit away, so values two bits apart meet. Of the rows at one
-    value the first is compared with the others; those near enough are linked to it, and the rest goes on in the same way.
+    Each row stands for its part's value and all values one bit away, so values two bits apart meet. Rows at one value are
+    searched breadth first: rows are compared with those not reached yet, and those near enough are linked and have their own
+    turn in a later round. So whatever hangs together at a value is linked, and a crowd of near rows costs one round.
     """
     n = len(fps)
     values = np.ascontiguousarray(fps.view(np.uint8).reshape(n, -1)[:, PARTS[part]]).view("<u4").ravel()
@@ -307,17 +349,7 @@ def near_links_in_group(fps: np.ndarray, part: int, group: int, n_route: int, fa
             keys.append(met[mine].astype(np.uint64) << np.uint64(32) | rows[mine])
         keys = np.sort(np.concatenate(keys))
         met, rows = keys >> np.uint64(32), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        while len(met) > 1:
-            same = met[1:] == met[:-1]
-            several = np.append(same, False) | np.append(False, same)
-            met, rows = met[several], rows[several]
-            if not len(met):
-                break
-            starts = np.flatnonzero(np.append(True, met[1:] != met[:-1]))
-            first = np.repeat(rows[starts], np.diff(np.append(starts, len(met))))
-            near = np.bitwise_count(fps[rows] ^ fps[first]).sum(axis=1) <= far
-            pairs.append(np.unique((first[near] << 32 | rows[near])[first[near] != rows[near]]))
-            met, rows = met[~near], rows[~near]
+        pairs.extend(_sweep(fps, met, rows, far))
     parent = list(range(n))
 
     def root(i: int) -> int:

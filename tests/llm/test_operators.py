@@ -339,6 +339,30 @@ def test_near_links_verify_what_meets(spark, monkeypatch, size, at_once):
         assert [found.get(k, k) for k in range(i, i + 4)] == [i, i, i, i + 3]
 
 
+def flipped(base, bits):
+    flip = np.zeros(4, np.uint64)
+    for bit in bits:
+        flip[bit // 64] ^= np.uint64(1 << bit % 64)
+    return base ^ flip
+
+
+@pytest.mark.parametrize("at_once", [4_000_000, 500])
+def test_near_links_of_an_outlier_in_a_large_group(monkeypatch, at_once):
+    monkeypatch.setattr(simhash, "_VARIANTS_AT_ONCE", at_once)
+    rng = np.random.default_rng(5)
+    for _ in range(6):
+        b = rng.integers(0, 2**64, 4, dtype=np.uint64)
+        # c is one bit from b in the first part and too far from all siblings, which come first.
+        own = rng.permutation(np.arange(256))
+        outside = [bit for bit in own.tolist() if bit % 64 >= 32]
+        siblings = [flipped(b, [*outside[:12], *rng.choice(outside[12:64], 10, replace=False)]) for _ in range(60)]
+        c = flipped(b, outside[64:96])
+        fps = np.array([*siblings, b, c])
+        first = np.ascontiguousarray(fps.view(np.uint8).reshape(len(fps), -1)[:, simhash.PARTS[0]]).view("<u4").ravel()
+        linked, to = simhash.near_links_in_group(fps, 0, int(first[-1]), 0, 45)
+        assert len(linked) == len(fps) - 1 and set(to.tolist()) == {0}
+
+
 def test_keep_one_takes_edited_copies(make_docs):
     rng = random.Random(9)
     words = [f"w{rng.randrange(5_000)}" for _ in range(300)]
