@@ -3,7 +3,8 @@
 A page is a sequence of words and tags. Every token scores by the log-odds of its kind being content: words count by what
 encloses them, tags by their name. The odds are learned from labelled pages, those that mark their article with ``article``
 or ``main``; tags never score above a small negative value. A linear scan finds the run with the highest sum; its words,
-without those inside menus, adverts, forms and the like, are the text.
+without those inside menus, adverts, forms and the like, are the text. Such asides within the article do not break it: they
+score as a tag. A page that marks no article is taken as one.
 
 Weights come from a bounded sample (``LABELLED_PAGES``) and fit in a few dozen numbers. Each page is one pass of its own;
 nothing is shuffled but the counts.
@@ -48,6 +49,8 @@ ASIDE_NAMES = set(
     "toolbar widget".split()
 )
 MAIN_TAGS = {"article", "main"}
+#: First parts of names that tell what an element goes with, not what it is: has-sidebar.
+OTHERS = {"has", "no", "with", "without"}
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -61,6 +64,8 @@ _NAME = re.compile(r"[A-Za-z]+")
 
 # Kinds of token.
 WORD, PLAIN_WORD, ASIDE_WORD, ASIDE_TAG = "word", "word outside", "word aside", "tag aside"
+#: Of asides where the article may be. They are left out of the text, and so have no say in where it starts and ends.
+INNER_WORD, INNER_TAG = "word aside within", "tag aside within"
 #: Counts that stand for a few pages seen before: (in content, elsewhere).
 PRIOR = {WORD: (20, 4), PLAIN_WORD: (2, 6), ASIDE_WORD: (0, 20), ASIDE_TAG: (0, 10)}
 
@@ -71,13 +76,16 @@ def _aside(name: str, attributes: str) -> bool:
     if name in ("html", "body") or name in MAIN_TAGS or not attributes:
         return False
     marks = (next(filter(None, found.groups()), "") for found in _MARKED.finditer(attributes))
-    return any(part.lower() in ASIDE_NAMES for mark in marks for part in _NAME.findall(mark))
+    names = ([part.lower() for part in _NAME.findall(name)] for mark in marks for name in mark.split())
+    return any(not ASIDE_NAMES.isdisjoint(parts) for parts in names if parts and parts[0] not in OTHERS)
 
 
 def tokens(page: str) -> Iterator[tuple[str, str | None, bool]]:
     """(kind, text, breaks) in page order: runs of words with their text, and tags; ``breaks`` marks the edge of a block."""
     has_main = re.search(r"<(?:article|main)\b", page, re.I) is not None
-    stack: list[tuple[str, bool, bool]] = []  # name, inside an aside, inside the main element
+    # Name, inside an aside, inside the main element, inside an aside by its tag.
+    stack: list[tuple[str, bool, bool, bool]] = []
+    opened = False
     at = 0
     for found in _MARKUP.finditer(page):
         if found.start() > at:
@@ -93,27 +101,33 @@ def tokens(page: str) -> Iterator[tuple[str, str | None, bool]]:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == name:
                     if stack[depth][1]:
-                        kind = ASIDE_TAG
+                        kind = INNER_TAG if not has_main or stack[depth][2] else ASIDE_TAG
                     del stack[depth:]
                     break
         else:
             if breaks and any(entry[0] == "p" for entry in stack):
                 while stack.pop()[0] != "p":
                     pass
-            above = stack[-1] if stack else ("", False, False)
+            above = stack[-1] if stack else ("", False, False, False)
             aside = above[1] or _aside(name, found["rest"])
-            kind = ASIDE_TAG if aside else "tag " + name
+            if name == "main" or name == "article" and not opened and not above[2]:
+                # A class name of a wrapper says nothing of the main element; later articles may be comments.
+                aside = above[3]
+            opened = opened or name in MAIN_TAGS and not aside
+            kind = "tag " + name
+            if aside:
+                kind = INNER_TAG if not has_main or above[2] else ASIDE_TAG
             if name not in VOID_TAGS and not found["rest"].endswith("/"):
-                stack.append((name, aside, above[2] or name in MAIN_TAGS))
+                stack.append((name, aside, above[2] or name in MAIN_TAGS, above[3] or name in ASIDE_TAGS))
         yield kind, " " if name == "br" else None, breaks
     if at < len(page):
         yield _run(page[at:], stack, has_main)
 
 
-def _run(text: str, stack: list[tuple[str, bool, bool]], has_main: bool) -> tuple[str, str, bool]:
-    if stack and stack[-1][1]:
-        return ASIDE_WORD, text, False
+def _run(text: str, stack: list[tuple[str, bool, bool, bool]], has_main: bool) -> tuple[str, str, bool]:
     inside = not has_main or (stack and stack[-1][2])
+    if stack and stack[-1][1]:
+        return INNER_WORD if inside else ASIDE_WORD, text, False
     return (WORD if inside else PLAIN_WORD), text, False
 
 
@@ -129,7 +143,7 @@ def count_kinds(page: str) -> Counter:
         if kind.startswith("word"):
             counts[kind, kind == WORD] += len(text.split())
         else:
-            counts[kind, inside > 0 and kind != ASIDE_TAG] += 1
+            counts[kind, inside > 0 and kind not in (ASIDE_TAG, INNER_TAG)] += 1
     return counts
 
 
@@ -183,9 +197,12 @@ def main_text(page: str, weights: dict[str, float]) -> str:
     """The text of the best run: blocks with single blanks, joined by empty lines."""
     parts = list(tokens(page))
     other = min(TAG_CEILING, weights.get("tag other", TAG_CEILING))
-    scores = [
-        weights[kind] * len(text.split()) if kind.startswith("word") else weights.get(kind, other) for kind, text, _ in parts
-    ]
+    scores = []
+    for kind, text, _ in parts:
+        if kind in (INNER_WORD, INNER_TAG):
+            scores.append(TAG_CEILING)
+        else:
+            scores.append(weights[kind] * len(text.split()) if kind.startswith("word") else weights.get(kind, other))
     start, end = best_run(scores)
     blocks, block = [], []
     for kind, text, breaks in parts[start:end]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -197,6 +198,23 @@ def test_html_extraction(spark):
     assert html_extraction.extract(pages.limit(0)).count() == 0
 
 
+def test_asides_within_an_article_do_not_cut_it():
+    def page(wrapper, tag, lead, advert):
+        advert = "".join(f"<p>{advert}</p>" for _ in range(3))
+        body = f"<{tag}><h1>Head line</h1><p>{lead}</p><div class=advert>{advert}</div><p>{'body ' * 100}</p></{tag}>"
+        return f"<body><div class='{wrapper}'><nav>menu {'item ' * 30}</nav>{body}<footer>foot</footer></div></body>"
+
+    trained = sum((html_extraction.count_kinds(page("page", "article", "lead " * 40, "buy " * 5)) for _ in range(50)), Counter())
+    weights = html_extraction.weights_of(trained)
+    want = "Head line\n\nA short lead.\n\n" + ("body " * 100).strip()
+    for tag in ("article", "main", "div"):
+        for wrapper in ("page", "page has-sidebar"):
+            assert html_extraction.main_text(page(wrapper, tag, "A short lead.", "buy this now " * 20), weights) == want
+    assert html_extraction.main_text(page("page widget", "article", "A short lead.", "buy this now " * 20), weights) == want
+    comments = page("page", "article", "A short lead.", "buy") + "<div class=comments><article>a comment</article></div>"
+    assert html_extraction.main_text(comments, weights) == want
+
+
 def test_best_run():
     assert html_extraction.best_run([-1, 2, -1, 3, -5, 4]) == (1, 4)
     assert html_extraction.best_run([-1, -2]) == (0, 0) == html_extraction.best_run([])
