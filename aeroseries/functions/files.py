@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 
@@ -18,6 +19,15 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return system.exists(location)
 
 
+def list_files(spark: SparkSession, folder: str) -> Iterator[tuple[str, int, int]]:
+    """Path, time in milliseconds and size of all files at any depth, with those whose names start with _ or a dot."""
+    system, location = _located(spark, folder)
+    found = system.listFiles(location, True)
+    while found.hasNext():
+        status = found.next()
+        yield status.getPath().toString(), status.getModificationTime(), status.getLen()
+
+
 def escape_glob(path: str) -> str:
     """The path with the characters escaped that Spark's readers would take as a pattern."""
     return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)

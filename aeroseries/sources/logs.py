@@ -6,14 +6,16 @@ and column order are free, and other columns may be present.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from fnmatch import fnmatchcase
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aeroseries.config import REQUIRED_COLUMNS, ScaleLimits
-from aeroseries.functions.files import absolute_uri, escape_glob, path_exists
+from aeroseries.functions.files import absolute_uri, escape_glob, list_files, path_exists
 from aeroseries.schema import RAW_SCHEMA
 from aeroseries.sources.catalog import new_files
 
@@ -37,13 +39,17 @@ FOUND_SCHEMA = T.StructType(
 def _listing(spark: SparkSession, folders: Sequence[str], pattern: str) -> DataFrame:
     """Path, time and size of matching files at any depth; file contents are not read.
 
-    Spark leaves files of zero bytes out of a listing, so they are neither read nor rejected nor recorded.
+    Spark's own listing hides names that start with _ or a dot, so the file system is asked. Files of zero bytes are left
+    out: they are neither read nor rejected nor recorded.
     """
-    folders = [f for f in folders if path_exists(spark, f)]
-    if not folders:
-        return spark.createDataFrame([], FOUND_SCHEMA)
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
-    return reader.option("recursiveFileLookup", "true").load([escape_glob(f) for f in folders]).select(*FOUND_SCHEMA.names)
+    found = {}
+    for folder in folders:
+        if path_exists(spark, folder):
+            for path, time, length in list_files(spark, folder):
+                if length and fnmatchcase(path.rsplit("/", 1)[-1], pattern):
+                    found[path] = (path, time, length)
+    listed = spark.createDataFrame(list(found.values()), "path string, time long, length long")
+    return listed.select("path", F.timestamp_millis("time").alias("modificationTime"), "length")
 
 
 def discover_month_files(
@@ -167,6 +173,27 @@ def _rows(lines: DataFrame, line_no: Column, is_header: Column) -> DataFrame:
     )
 
 
+def _hidden_texts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Path and whole text of files that Spark's readers pass over for their names."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from urllib.parse import quote
+
+        from pyarrow import fs
+
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                if path.startswith("file:"):
+                    system, place = fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+                else:
+                    system, place = fs.FileSystem.from_uri(quote(path, safe=":/@?=&"))
+                with system.open_input_file(place) as source:
+                    text = source.read().decode("utf-8", "replace")
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([text])], names=["path", "value"])
+
+    return spark.createDataFrame([(path,) for path in paths], "path string").mapInArrow(read, "path string, value string")
+
+
 def read_log_lines(
     spark: SparkSession, files: DataFrame, limits: ScaleLimits = ScaleLimits(), strict: bool = False
 ) -> DataFrame:
@@ -174,12 +201,16 @@ def read_log_lines(
 
     Files without a complete header give no rows, or an error when ``strict``. Spark's own readers keep the list of
     paths on the driver, and so does this. Ordinary files are read whole, in one pass. Large files are read in
-    splits, so that one of them cannot fill a task.
+    splits, so that one of them cannot fill a task. Files whose names start with _ or a dot are read whole at any size.
     """
     listed = files.select("path", "length").collect()
-    small = [escape_glob(row.path) for row in listed if row.length <= limits.whole_file_bytes]
-    large = [escape_glob(row.path) for row in listed if row.length > limits.whole_file_bytes]
+    hidden = [row.path for row in listed if row.path.rsplit("/", 1)[-1].startswith(("_", "."))]
+    seen = [row for row in listed if row.path not in set(hidden)]
+    small = [escape_glob(row.path) for row in seen if row.length <= limits.whole_file_bytes]
+    large = [escape_glob(row.path) for row in seen if row.length > limits.whole_file_bytes]
     parts = []
+    if hidden:
+        parts.append(whole_file_rows(_hidden_texts(spark, hidden), strict))
     if small:
         text = spark.read.text(small, wholetext=True)
         parts.append(whole_file_rows(text.select(_file_path(), "value"), strict))

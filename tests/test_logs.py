@@ -148,3 +148,17 @@ def test_load_all(spark, tmp_path):
 def test_reading_whole_files_needs_no_shuffle(spark, folder):
     plan = read_logs(spark, discover_files(spark, [folder]))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+@pytest.mark.parametrize("limits", [WHOLE, SPLIT])
+def test_hidden_names_are_read(spark, tmp_path, limits):
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(__import__("pathlib").Path(__file__).parents[1]))
+    names = ["c.dat", "_a.dat", ".b.dat", "_sub/d.dat", "_sub/_e f%.dat"]
+    (tmp_path / "_sub").mkdir()
+    for name in names:
+        (tmp_path / name).write_bytes(GOOD["plain"].encode())
+    files = discover_files(spark, [str(tmp_path)])
+    assert sorted(row.path for row in files.collect()) == sorted(f"file:{tmp_path}/{name}" for name in names)
+    rows = read_logs(spark, files, limits)
+    assert rows.count() == 2 * len(names) and rows.select("source_file").distinct().count() == len(names)
+    assert rejected_files(files, read_log_lines(spark, files, limits)).count() == 0
