@@ -271,7 +271,7 @@ QUERIES: dict[str, Query] = {
     "hourly_mean_filled": on_events(hourly.hourly_mean_timeseries),
     "correlation_frame": on_events(hourly.correlation_frame),
     "diurnal_long": on_events(lambda df: diurnal.diurnal_matrix(df, GAS)),
-    "diurnal_pivot": on_events(lambda df: diurnal.diurnal_pivot(df, GAS, JANUARY)),
+    "diurnal_pivot": on_events(lambda df: diurnal.diurnal_pivot(df, GAS)),
     "range_24_point": on_matrix(diurnal.range_24_point),
     "diurnal_stats": on_matrix(diurnal.diurnal_stats),
     "daily_mean_median": on_matrix(diurnal.daily_mean_median),

@@ -27,3 +27,10 @@ def test_query_matches_sql(spark, name):
 def test_entry_gives_a_profile(spark):
     rows = entry(spark).collect()
     assert sorted(row.hour_ist for row in rows) == list(range(24))
+
+
+def test_diurnal_pivot_takes_all_dates(spark, tmp_path):
+    late = "SELECT event_id, ts + INTERVAL 60 DAYS AS ts, user_id, event_type, value, props FROM events"
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").createOrReplaceTempView("events")
+    spark.sql(late).write.parquet(f"{tmp_path}/events.parquet")
+    assert "2024-03-10" in queries()["diurnal_pivot"](spark, str(tmp_path)).columns
