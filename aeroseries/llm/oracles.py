@@ -108,6 +108,54 @@ FROM named LEFT JOIN first USING (digest)
 """
 
 
+#: CRC-32 of each number from 0 to 255, then of a blob's bytes: the usual table form of the polynomial.
+_CRC_TABLE = """crc_table AS (
+  SELECT list(value ORDER BY byte) AS crcs FROM (
+    SELECT byte, list_reduce([byte] || range(8), lambda c, i: xor(c >> 1, (c & 1) * 3988292384)) AS value FROM range(256) AS r(byte)))"""
+
+
+def crc32(text: str) -> str:
+    """SQL for the unsigned CRC-32 of a text's UTF-8 bytes; needs ``crcs`` of ``crc_table``."""
+    byte = f"('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT"
+    data = f"list_transform(range(octet_length(encode({text}))), lambda i: {byte})"
+    return f"xor(4294967295, list_reduce([4294967295::BIGINT] || {data}, lambda c, b: xor(c >> 8, crcs[1 + (xor(c, b) & 255)])))"
+
+
+_FEATURES = """SELECT {key}, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS words FROM {table}"""
+
+IMPORTANCE = f"""
+WITH {_CRC_TABLE},
+docs AS ({_FEATURES.format(key="row_number() OVER () AS row, doc_id", table="documents")}),
+items AS ({_FEATURES.format(key="item_id", table="benchmark")}),
+said AS (SELECT row, unnest(words) AS word FROM docs),
+asked AS (SELECT unnest(words) AS word FROM items),
+vocabulary AS (
+  SELECT word, {crc32("word")} % 10000 AS bucket FROM (SELECT word FROM said UNION SELECT word FROM asked), crc_table),
+s AS (SELECT bucket, count(*) AS n FROM said JOIN vocabulary USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM asked JOIN vocabulary USING (word) GROUP BY bucket),
+gains AS (
+  SELECT b.bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM said) + 10000)::DOUBLE
+    / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM asked) + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM range(10000) AS b(bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+weights AS (
+  SELECT row, count(*) AS n, CAST(sum(gain) AS BIGINT) AS total
+  FROM said JOIN vocabulary USING (word) JOIN gains USING (bucket) GROUP BY row),
+scored AS (
+  SELECT row, doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_features,
+    CAST(coalesce((total - ((total % n) + n) % n) // n, 0) AS BIGINT) AS weight,
+    CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE)
+      / 4294967296))) AS BIGINT) AS noise
+  FROM docs LEFT JOIN weights USING (row)),
+placed AS (
+  SELECT row, row_number() OVER (ORDER BY weight + noise DESC, doc_id NULLS FIRST) AS rank FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, weight + noise AS score,
+  CASE WHEN rank <= 10 * (SELECT count(*) FROM placed) // 100 THEN rank END AS rank
+FROM scored LEFT JOIN placed USING (row)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_sharding": SHARDING,
@@ -115,4 +163,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_quality_rules": QUALITY_RULES,
         "op8_warc": WARC,
         "op10_url_filters": URL_FILTERS,
+        "op12_importance_resampling": IMPORTANCE,
     }
