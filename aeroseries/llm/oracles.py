@@ -156,6 +156,57 @@ FROM scored LEFT JOIN placed USING (row)
 """
 
 
+def _leaf(n_chars: str) -> str:
+    values = ["doc_id::VARCHAR", "source", "lang", f"({n_chars})::VARCHAR", "text"]
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode({v}))::VARCHAR || ':' || {v}, '-')" for v in values) + ")"
+
+
+#: Both trees level by level; a language's tree has ``name`` 0 or 1 for null or not and the language, the top one has 2.
+MERKLE = f"""
+WITH RECURSIVE {_CRC_TABLE},
+docs AS (
+  SELECT row_number() OVER () AS row, doc_id, lang, {_leaf("n_chars")} AS leaf,
+    CASE WHEN {crc32("doc_id::VARCHAR")} % 7 = 0 THEN {_leaf("n_chars + 1")} END AS changed
+  FROM documents, crc_table),
+leaves AS (
+  SELECT *, (lang IS NOT NULL)::INT || coalesce(lang, '') AS tree,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM docs),
+nodes(tree, level, size, pos, node) AS (
+  SELECT tree, 0, count(*) OVER (PARTITION BY tree), pos, leaf FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, (size + 1) // 2, pos // 2, sha256(string_agg(node, '' ORDER BY pos))
+  FROM nodes WHERE size > 1 GROUP BY tree, level, size, pos // 2),
+subroots AS (
+  SELECT tree, node, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos FROM nodes WHERE size = 1),
+tops(level, size, pos, node) AS (
+  SELECT 0, count(*) OVER (), pos, node FROM subroots
+  UNION ALL
+  SELECT level + 1, (size + 1) // 2, pos // 2, sha256(string_agg(node, '' ORDER BY pos))
+  FROM tops WHERE size > 1 GROUP BY level, size, pos // 2),
+own AS (
+  SELECT l.row, n.level, (l.pos >> n.level) % 2 AS odd, s.node AS sibling
+  FROM leaves l JOIN (SELECT DISTINCT tree, level FROM nodes WHERE size > 1) n USING (tree)
+  LEFT JOIN nodes s ON s.tree = l.tree AND s.level = n.level AND s.pos = xor(l.pos >> n.level, 1)),
+upper AS (
+  SELECT r.tree, t.level, (r.pos >> t.level) % 2 AS odd, s.node AS sibling
+  FROM subroots r, (SELECT DISTINCT level FROM tops WHERE size > 1) t
+  LEFT JOIN tops s ON s.level = t.level AND s.pos = xor(r.pos >> t.level, 1)),
+ways AS (
+  SELECT row, level, odd, sibling FROM own UNION ALL
+  SELECT row, 1000 + level, odd, sibling FROM leaves JOIN upper USING (tree)),
+paths AS (
+  SELECT row, list(struct_pack(odd := odd, sibling := coalesce(sibling, '')) ORDER BY level) AS steps FROM ways GROUP BY row),
+folds(row, k, node, steps) AS (
+  SELECT row, 0, coalesce(changed, leaf), coalesce(steps, []) FROM leaves LEFT JOIN paths USING (row)
+  UNION ALL
+  SELECT row, k + 1, sha256(CASE WHEN steps[k + 1].odd = 1 THEN steps[k + 1].sibling || node ELSE node || steps[k + 1].sibling END), steps
+  FROM folds WHERE k < len(steps)),
+folded AS (SELECT row, node, sha256(array_to_string(list_transform(steps, lambda s: s.sibling), '')) AS proof FROM folds WHERE k = len(steps))
+SELECT doc_id, leaf, s.node AS subroot, t.node AS root, proof AS proof_sha256, f.node AS folded_root, f.node = t.node AS verified
+FROM leaves JOIN subroots s USING (tree) JOIN folded f USING (row), (SELECT node FROM tops WHERE size = 1) t
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_sharding": SHARDING,
@@ -163,5 +214,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_quality_rules": QUALITY_RULES,
         "op8_warc": WARC,
         "op10_url_filters": URL_FILTERS,
+        "op11_merkle_manifest": MERKLE,
         "op12_importance_resampling": IMPORTANCE,
     }
