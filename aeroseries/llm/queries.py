@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aeroseries.llm import (
-    decontamination, html_extraction, importance, language_id, merkle, packing, quality_rules, sharding, simhash,
-    substring_dedup, url_filters, warc,
+    decontamination, html_extraction, importance, language_id, language_model, merkle, packing, quality_rules,
+    sharding, simhash, substring_dedup, url_filters, warc,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,9 +89,14 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     named = [
         op1_packing, op2_sharding, op3_language_id, op4_substring_dedup, op5_html_extraction, op6_quality_rules, op7_simhash,
         op8_warc, op9_decontamination, op10_url_filters, op11_merkle_manifest, op12_importance_resampling,
+        op13_lm_scoring,
     ]
     return {query.__name__: query for query in named}

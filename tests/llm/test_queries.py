@@ -17,7 +17,7 @@ def test_query_matches_sql(spark, name):
 
 
 def test_all_are_registered():
-    assert sorted(int(name[2:].split("_")[0]) for name in queries.queries()) == list(range(1, 13))
+    assert sorted(int(name[2:].split("_")[0]) for name in queries.queries()) == list(range(1, 14))
 
 
 def test_pipeline_stages(spark, tmp_path):
