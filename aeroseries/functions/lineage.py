@@ -6,10 +6,14 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aeroseries.functions.files import delete
+from aeroseries.functions.files import delete, delete_on_exit
+
+#: Staged tables of the innermost block that removes its own.
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -19,9 +23,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = folder or tempfile.mkdtemp(prefix="aeroseries-checkpoint-")
+    if not folder:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="aeroseries-checkpoint-")
+        delete_on_exit(spark, folder)
     context.setCheckpointDir(folder)
     return folder
 
@@ -42,8 +48,31 @@ def _write_staged(df: DataFrame) -> str:
 
 
 def stage_table(df: DataFrame) -> DataFrame:
-    """Like :func:`cut_lineage` for wide frames: a Parquet table, so that later scans read only what they need."""
-    return df.sparkSession.read.parquet(_write_staged(df))
+    """Like :func:`cut_lineage` for wide frames: a Parquet table, so that later scans read only what they need.
+
+    What is planned on it may run at any time, so the table stays until the surrounding :func:`scratch` block or the
+    driver ends.
+    """
+    path = _write_staged(df)
+    kept = _scratch.get()
+    if kept is None:
+        delete_on_exit(df.sparkSession, path)
+    else:
+        kept.append(path)
+    return df.sparkSession.read.parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged in this block are removed at its end; results must be written or collected by then."""
+    paths: list[str] = []
+    token = _scratch.set(paths)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        for path in paths:
+            delete(spark, path)
 
 
 @contextmanager

@@ -273,7 +273,8 @@ def score_hours(hours: DataFrame, config: QcConfig = QcConfig(), by: Sequence[st
 
 # Back to the readings
 
-_LOOKUP = (
+#: What the readings take from the hourly table.
+LOOKUP = (
     "hour_count",
     "hour_median",
     "point_scale",
@@ -285,7 +286,7 @@ _LOOKUP = (
 
 def _look_up(df: DataFrame, hours: DataFrame, by: Sequence[str], small: bool) -> DataFrame:
     """Join the hourly table, its three gases side by side, to the readings of each hour."""
-    columns = [name for name in _LOOKUP if name in hours.columns]
+    columns = [name for name in LOOKUP if name in hours.columns]
     beside = hours.groupBy(*by, HOUR).agg(
         *(F.expr(f"max({name}) FILTER (WHERE gas = '{gas}') AS _{gas}_{name}") for gas in GASES for name in columns)
     )
@@ -334,6 +335,18 @@ def combine_flags(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return df.selectExpr(*(f"{columns.get(name, name)} AS {name}" for name in QC_COLUMNS), *extras)
 
 
+def flag_readings(
+    df: DataFrame,
+    scored: DataFrame,
+    config: QcConfig = QcConfig(),
+    by: Sequence[str] = (),
+    small: bool = False,
+) -> DataFrame:
+    """The QC columns of prepared readings from the scored hourly table; other columns after them."""
+    extras = [c for c in df.columns if c not in QC_COLUMNS]
+    return combine_flags(flag_points(df, scored, config, by, small), extras)
+
+
 def apply_quality_control(
     df: DataFrame,
     config: QcConfig = QcConfig(),
@@ -349,7 +362,5 @@ def apply_quality_control(
     profile = profile or hour_profile(df, by)
     small = profile.hours <= limits.broadcast_hours
     hours = cut_lineage(hour_statistics(df, config, by, limits, profile))
-    hours = score_hours(point_scales(hours, df, by, small), config, by)
-    return combine_flags(
-        flag_points(df, hours, config, by, small), [c for c in df.columns if c not in QC_COLUMNS]
-    )
+    scored = score_hours(point_scales(hours, df, by, small), config, by)
+    return flag_readings(df, scored, config, by, small)

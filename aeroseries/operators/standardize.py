@@ -52,7 +52,7 @@ def _typed(raw: DataFrame, by: Sequence[str]) -> DataFrame:
     return typed.where(F.col("datetime_utc").isNotNull())
 
 
-def _derived(typed: DataFrame) -> DataFrame:
+def derive_columns(typed: DataFrame) -> DataFrame:
     """Add Indian time, its calendar, and the columns that will hold the clean values."""
     typed = typed.withColumn("datetime_ist", utc_to_ist(F.col("datetime_utc")))
     return typed.withColumns({**calendar(F.col("datetime_ist")), **{gas: F.col(f"{gas}_raw") for gas in GASES}})
@@ -61,7 +61,7 @@ def _derived(typed: DataFrame) -> DataFrame:
 def parse_readings(raw: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Validated, typed and shifted to IST, before removal of duplicate timestamps."""
     line_no = ["line_no"] if "line_no" in raw.columns else []
-    return _derived(_typed(raw, by)).select(*STANDARD_COLUMNS, *by, *line_no)
+    return derive_columns(_typed(raw, by)).select(*STANDARD_COLUMNS, *by, *line_no)
 
 
 def standardize(raw: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -69,4 +69,4 @@ def standardize(raw: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
     Duplicates go before the calendar is derived, so that only what was read passes through the shuffle.
     """
-    return _derived(keep_first_reading(_typed(raw, by), by)).select(*STANDARD_COLUMNS, *by)
+    return derive_columns(keep_first_reading(_typed(raw, by), by)).select(*STANDARD_COLUMNS, *by)

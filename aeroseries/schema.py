@@ -20,9 +20,16 @@ MANIFEST_SCHEMA = T.StructType(
         T.StructField("modificationTime", T.TimestampType()),
         T.StructField("length", T.LongType()),
         T.StructField("processed_at", T.TimestampType()),
+        T.StructField("series_id", T.StringType()),
+        T.StructField("first_utc", T.TimestampNTZType()),
+        T.StructField("last_utc", T.TimestampNTZType()),
+        T.StructField("rows", T.LongType()),
     ]
 )
 
+#: The instrument of readings that name none.
+DEFAULT_SERIES = "default"
+
 CALENDAR_COLUMNS = (
     "datetime_utc",
     "datetime_ist",
@@ -64,6 +71,10 @@ QC_COLUMNS = (
 )
 
 
+#: What a file says of one timestamp, before it is known which file counts.
+CANDIDATE_COLUMNS = ("series_id", "datetime_utc", *(f"{gas}_raw" for gas in GASES), "source_file")
+
+
 def require_columns(df: DataFrame, names: Iterable[str]) -> None:
     missing = [name for name in names if name not in df.columns]
     if missing:

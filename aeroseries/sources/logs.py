@@ -6,8 +6,8 @@ and column order are free, and other columns may be present.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator, Sequence
-from fnmatch import fnmatchcase
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,16 +15,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aeroseries.config import REQUIRED_COLUMNS, ScaleLimits
-from aeroseries.functions.files import absolute_uri, escape_glob, list_files, path_exists
+from aeroseries.functions.files import (
+    absolute_uri,
+    list_files,
+    list_folder,
+    path_exists,
+    read_lines,
+    readable_on_executors,
+)
+from aeroseries.functions.lineage import stage_table
 from aeroseries.schema import RAW_SCHEMA
 from aeroseries.sources.catalog import new_files
 
 # File name patterns, and what separates fields.
-SYNC_PATTERN = "*DataLog_User_Sync.dat"
-ANY_PATTERN = "*.dat"
+SYNC_PATTERN = r"DataLog_User_Sync\.dat$"
+ANY_PATTERN = r"\.dat$"
 DELIMITER = r"[\s,;]+"
-#: As Spark's line reader ends lines, so that a file reads the same whole and in splits.
+#: What ends a line, in whole files and in ranges.
 LINE_END = "\r\n|\n|\r"
+#: Least bytes of a range; line numbers rest on it.
+MIN_RANGE = 1 << 16
 
 
 FOUND_SCHEMA = T.StructType(
@@ -36,20 +46,60 @@ FOUND_SCHEMA = T.StructType(
 )
 
 
-def _listing(spark: SparkSession, folders: Sequence[str], pattern: str) -> DataFrame:
+_ENTRY_SCHEMA = "root string, path string, is_folder boolean, time long, length long"
+
+
+def _entries(folders: DataFrame) -> DataFrame:
+    """What lies in each folder of (root, path), listed by the executors."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for root, folder in zip(*(column.to_pylist() for column in batch.columns)):
+                rows = [(root, *entry) for entry in list_folder(folder)]
+                columns = list(zip(*rows)) or [()] * 5
+                types = [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(column, kind) for column, kind in zip(columns, types)],
+                    names=["root", "path", "is_folder", "time", "length"],
+                )
+
+    return folders.mapInArrow(look, _ENTRY_SCHEMA)
+
+
+def list_tree(spark: SparkSession, folders: Iterable[str]) -> DataFrame:
+    """(root, path, time, length) of the files below each folder, level by level.
+
+    The folders of one level are a table; each level lists them in parallel and stores what it found, so neither files nor
+    folders are gathered on the driver. Where executors cannot reach a file system, the driver lists it.
+    """
+    roots = {folder: absolute_uri(spark, folder) for folder in folders}
+    near = {folder: uri for folder, uri in roots.items() if readable_on_executors(uri)}
+    listed = [
+        (folder, path, time, length)
+        for folder in roots.keys() - near.keys()
+        if path_exists(spark, folder)
+        for path, time, length in list_files(spark, folder)
+    ]
+    found = spark.createDataFrame(listed, "root string, path string, time long, length long")
+    # A local relation has few partitions; each level is dealt out anew.
+    width = max(spark.sparkContext.defaultParallelism, 8)
+    level = spark.createDataFrame(list(near.items()), "root string, path string")
+    while near and not level.isEmpty():
+        entries = stage_table(_entries(level.repartition(width)))
+        found = found.unionByName(entries.where("NOT is_folder").drop("is_folder"))
+        level = entries.where("is_folder").select("root", "path")
+    return found
+
+
+def _listing(spark: SparkSession, folders: Iterable[str], pattern: str) -> DataFrame:
     """Path, time and size of matching files at any depth; file contents are not read.
 
-    Spark's own listing hides names that start with _ or a dot, so the file system is asked. Files of zero bytes are left
-    out: they are neither read nor rejected nor recorded.
+    Files of zero bytes are left out: they are neither read nor rejected nor recorded. A file below two of the folders
+    counts once.
     """
-    found = {}
-    for folder in folders:
-        if path_exists(spark, folder):
-            for path, time, length in list_files(spark, folder):
-                if length and fnmatchcase(path.rsplit("/", 1)[-1], pattern):
-                    found[path] = (path, time, length)
-    listed = spark.createDataFrame(list(found.values()), "path string, time long, length long")
-    return listed.select("path", F.timestamp_millis("time").alias("modificationTime"), "length")
+    named = list_tree(spark, folders).where((F.col("length") > 0) & F.substring_index("path", "/", -1).rlike(pattern))
+    found = named.groupBy("path").agg(F.max("time").alias("time"), F.max("length").alias("length"))
+    return found.select("path", F.timestamp_millis("time").alias("modificationTime"), "length")
 
 
 def discover_month_files(
@@ -70,13 +120,12 @@ def discover_files(spark: SparkSession, folders: Iterable[str]) -> DataFrame:
 
 def count_files(spark: SparkSession, folders: Iterable[str]) -> DataFrame:
     """Number of ``.dat`` files below each listed folder."""
-    roots = {folder: absolute_uri(spark, folder).rstrip("/") + "/" for folder in folders}
-    found = discover_files(spark, list(roots))
-    counted = found.agg(
-        *(F.count_if(F.startswith("path", F.lit(root))).alias(f"_{i}") for i, root in enumerate(roots.values()))
-    )
-    rows = [F.struct(F.lit(f).alias("folder"), F.col(f"_{i}").alias("files")) for i, f in enumerate(roots)]
-    return counted.select(F.inline(F.array(*rows)))
+    folders = list(dict.fromkeys(folders))
+    is_log = (F.col("length") > 0) & F.substring_index("path", "/", -1).rlike(ANY_PATTERN)
+    counted = list_tree(spark, folders).groupBy("root").agg(F.count_if(is_log).alias("files"))
+    asked = spark.createDataFrame([(folder,) for folder in folders], "folder string")
+    counted = asked.join(counted, asked["folder"] == counted["root"], "left")
+    return counted.select("folder", F.coalesce("files", F.lit(0)).cast("long").alias("files"))
 
 
 # Lines to rows
@@ -105,12 +154,6 @@ def _positions(header: Column) -> Column:
     return F.when(complete, F.array(*at))
 
 
-def _file_path() -> Column:
-    """The path of a row's file as a listing gives it; the metadata column holds it URL-encoded."""
-    encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
-    return F.url_decode(encoded).alias("path")
-
-
 def _read_or_reject(positions: Column, path: Column, strict: bool) -> Column:
     if not strict:
         return positions
@@ -173,25 +216,29 @@ def _rows(lines: DataFrame, line_no: Column, is_header: Column) -> DataFrame:
     )
 
 
-def _hidden_texts(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Path and whole text of files that Spark's readers pass over for their names."""
+def _texts(parts: DataFrame) -> DataFrame:
+    """(path, start, value): the lines of each range of bytes of a file, read by the executors.
+
+    Paths come as rows, so that the files of a batch are chosen by joins; Spark's own readers take a list on the driver,
+    and pass over names that start with _ or a dot.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from urllib.parse import quote
+        for batch in batches:
+            for path, start, end in zip(*(column.to_pylist() for column in batch.columns)):
+                text = read_lines(path, start, end)
+                columns = [pa.array([path]), pa.array([start], pa.int64()), pa.array([text])]
+                yield pa.RecordBatch.from_arrays(columns, names=["path", "start", "value"])
 
-        from pyarrow import fs
+    return parts.mapInArrow(read, "path string, start long, value string")
 
-        for batch in batches:
-            for path in batch.column(0).to_pylist():
-                if path.startswith("file:"):
-                    system, place = fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-                else:
-                    system, place = fs.FileSystem.from_uri(quote(path, safe=":/@?=&"))
-                with system.open_input_file(place) as source:
-                    text = source.read().decode("utf-8", "replace")
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([text])], names=["path", "value"])
 
-    return spark.createDataFrame([(path,) for path in paths], "path string").mapInArrow(read, "path string, value string")
+def _spark_texts(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """The same by Spark's reader, for file systems that only Spark reaches: whole files, no hidden names."""
+    paths = [re.sub(r"([\\{}\[\]*?])", r"\\\1", path) for (path,) in files.select("path").toLocalIterator()]
+    encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+    texts = spark.read.text(paths, wholetext=True) if paths else spark.createDataFrame([], "value string, _metadata struct<file_path:string>")
+    return texts.select(F.url_decode(encoded).alias("path"), F.lit(0).cast("long").alias("start"), "value")
 
 
 def read_log_lines(
@@ -199,31 +246,30 @@ def read_log_lines(
 ) -> DataFrame:
     """Rows of the listed files with ``is_header`` set on each readable file's header row.
 
-    Files without a complete header give no rows, or an error when ``strict``. Spark's own readers keep the list of
-    paths on the driver, and so does this. Ordinary files are read whole, in one pass. Large files are read in
-    splits, so that one of them cannot fill a task. Files whose names start with _ or a dot are read whole at any size.
+    Files without a complete header give no rows, or an error when ``strict``. Ordinary files are read whole, in one
+    pass. Large files are read in ranges, so that one of them cannot fill a task. ``files`` should be a stored table: it is
+    looked at several times.
     """
-    listed = files.select("path", "length").collect()
-    hidden = [row.path for row in listed if row.path.rsplit("/", 1)[-1].startswith(("_", "."))]
-    seen = [row for row in listed if row.path not in set(hidden)]
-    small = [escape_glob(row.path) for row in seen if row.length <= limits.whole_file_bytes]
-    large = [escape_glob(row.path) for row in seen if row.length > limits.whole_file_bytes]
-    parts = []
-    if hidden:
-        parts.append(whole_file_rows(_hidden_texts(spark, hidden), strict))
-    if small:
-        text = spark.read.text(small, wholetext=True)
-        parts.append(whole_file_rows(text.select(_file_path(), "value"), strict))
-    if large:
-        lines = spark.read.text(large).select(
-            _file_path(),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("id"),
-            F.col("value").alias("line"),
-        )
-        parts.append(split_file_rows(lines, len(large) <= limits.broadcast_files, strict))
-    if not parts:
+    step = max(limits.whole_file_bytes, MIN_RANGE)
+    large = F.col("length") > limits.whole_file_bytes
+    sums = files.agg(
+        F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.count_if(large).alias("large"), F.count("*").alias("files")
+    ).first()
+    if not sums.files:
         return spark.createDataFrame([], RAW_SCHEMA).withColumn("is_header", F.lit(False))
+    if not readable_on_executors(files.first().path):
+        return whole_file_rows(_spark_texts(spark, files).drop("start"), strict)
+    # As many tasks as there are blocks of the advised size, and no fewer than there are cores.
+    tasks = max(spark.sparkContext.defaultParallelism, -(-sums.bytes // step))
+    whole = files.where(~large).select("path", F.lit(0).cast("long").alias("start"), F.col("length").alias("end"))
+    parts = [whole_file_rows(_texts(whole.repartition(tasks)).drop("start"), strict)]
+    if sums.large:
+        starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(step).cast("long"))).alias("start")
+        ranges = files.where(large).select("path", starts).withColumn("end", F.col("start") + step)
+        chunks = _texts(ranges.repartition(tasks))
+        lines = chunks.select("path", F.col("start").alias("block"), F.posexplode(F.split("value", LINE_END, -1)).alias("id", "line"))
+        lines = lines.withColumn("id", F.col("id").cast("long"))
+        parts.append(split_file_rows(lines, sums.large <= limits.broadcast_files, strict))
     return union_sources(parts)
 
 
@@ -262,7 +308,7 @@ def load_all(spark: SparkSession, data_root: str, month_dirs: Iterable[str] | No
     """Raw rows of all month files; an error when there are none, or when one turns out to be unreadable."""
     files = discover_month_files(spark, data_root, month_dirs)
     if files.isEmpty():
-        raise FileNotFoundError(f"no {SYNC_PATTERN} files under {data_root}")
+        raise FileNotFoundError(f"no DataLog_User_Sync.dat files under {data_root}")
     return read_logs(spark, files, strict=True)
 
 

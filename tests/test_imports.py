@@ -1,13 +1,18 @@
 from __future__ import annotations
 
 import os
+import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
-from aeroseries.sources.catalog import Manifest, new_files
+from aeroseries.config import QcConfig
+from aeroseries.operators.quality_control import apply_quality_control
+from aeroseries.schema import QC_COLUMNS, STANDARD_COLUMNS
+from aeroseries.sources.catalog import Manifest, file_spans, new_files, overlapping_files
 from aeroseries.sources.logs import discover_files
-from aeroseries.sources.store import GasStore
+from aeroseries.sources.store import Cell, GasStore
 from aeroseries.streaming.imports import import_folders, import_stream, stream_folders
 
 HEADER = "DATE TIME CO_sync CO2_sync CH4_sync"
@@ -35,6 +40,11 @@ def content(store):
     return sorted(tuple(row) for row in store.raw().drop("source_file").collect())
 
 
+def staged_folders(spark):
+    root = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    return sorted(name for name in os.listdir(root) if name.startswith("staged-") and not name.endswith(".crc"))
+
+
 def test_import_is_incremental(spark, site):
     store, manifest, folder = site
     first = import_folders(store, manifest, [str(folder)])
@@ -129,6 +139,173 @@ def test_batches_of_files(spark, site):
 
 def test_no_staged_tables_are_left(spark, site):
     store, manifest, folder = site
+    before = staged_folders(spark)
     import_folders(store, manifest, [str(folder)])
-    root = spark.sparkContext.getCheckpointDir().removeprefix("file:")
-    assert not [name for name in os.listdir(root) if name.startswith("staged-")]
+    assert staged_folders(spark) == before
+
+
+TIGHT = QcConfig(point_spike_z=3.0, hourly_spike_z=1.5, sustained_shift_min_hours=1)
+
+
+def write_noise(path, start, hours, seed, mtime=None):
+    """Thirteen readings an hour, some hours shifted, some readings far off."""
+    rng = random.Random(seed)
+    path.parent.mkdir(parents=True, exist_ok=True)
+    lines = [HEADER]
+    for h in range(hours):
+        shift = 6.0 if rng.random() < 0.08 else 0.0
+        for i in range(13):
+            at = start + timedelta(hours=h, minutes=4 * i)
+            far = 50.0 if rng.random() < 0.01 else 0.0
+            values = (round(rng.gauss(centre + shift, 1) + far, 3) for centre in (10, 400, 20))
+            lines.append(f"{at:%Y-%m-%d %H:%M:%S} " + " ".join(map(str, values)))
+    path.write_text("\n".join(lines) + "\n")
+    if mtime:
+        os.utime(path, (mtime, mtime))
+
+
+def months_in_order(spark, tmp_path, names, config=TIGHT):
+    """A store that the named folders were imported into one after the other."""
+    label = "-".join(names)
+    store, manifest = GasStore(spark, str(tmp_path / label)), Manifest(spark, str(tmp_path / f"{label}-manifest"))
+    for name in names:
+        import_folders(store, manifest, [str(tmp_path / part) for part in name.split("+")], config)
+    return store
+
+
+def test_import_order_does_not_matter(spark, tmp_path):
+    write_noise(tmp_path / "nov" / "n.dat", datetime(2025, 11, 25), 150, 1)
+    write_noise(tmp_path / "dec" / "d.dat", datetime(2025, 12, 1, 6), 60, 2)
+    fresh = months_in_order(spark, tmp_path, ["nov+dec"])
+    whole = content(fresh)
+    assert content(months_in_order(spark, tmp_path, ["nov", "dec"])) == whole
+    assert content(months_in_order(spark, tmp_path, ["dec", "nov"])) == whole
+    # The same as quality control of all readings at once, with flags of every kind.
+    readings = fresh.raw().select(*STANDARD_COLUMNS, "series_id")
+    expected = apply_quality_control(readings, TIGHT, ["series_id"]).select(*QC_COLUMNS)
+    assert sorted(map(tuple, fresh.raw().select(*QC_COLUMNS).collect()), key=repr) == sorted(map(tuple, expected.collect()), key=repr)
+    kinds = ("point_spike", "hourly_spike", "sustained_shift")
+    flagged = fresh.raw().agg(*(F.count_if(f"co_sync_flag_{kind}").alias(kind) for kind in kinds)).first()
+    assert all(flagged)
+
+
+def test_only_cells_whose_flags_move_are_written_again(spark, tmp_path):
+    write_noise(tmp_path / "old" / "o.dat", datetime(2025, 6, 1), 24 * 20, 1)
+    write_noise(tmp_path / "nov" / "n.dat", datetime(2025, 11, 20), 24 * 12, 2)
+    store = months_in_order(spark, tmp_path, ["old", "nov"])
+    manifest = Manifest(spark, str(tmp_path / "old-nov-manifest"))
+    files = lambda month: {f for f in store.raw().inputFiles() if f"month={month}/" in f}
+    before = {month: files(month) for month in (6, 11, 12)}
+    write_noise(tmp_path / "dec" / "d.dat", datetime(2025, 12, 2), 24, 3)
+    import_folders(store, manifest, [str(tmp_path / "dec")], TIGHT)
+    assert files(6) == before[6] and files(11) != before[11] and files(12) != before[12]
+
+
+def test_replaced_file_brings_back_what_it_displaced(spark, tmp_path):
+    folder = tmp_path / "logs"
+    store, manifest = GasStore(spark, str(tmp_path / "out")), Manifest(spark, str(tmp_path / "manifest"))
+    write_log(folder / "a.dat", datetime(2025, 11, 1), 10, co=1.0)
+    write_log(folder / "b.dat", datetime(2025, 11, 1), 10, co=2.0)
+    import_folders(store, manifest, [str(folder)])
+    assert store.raw().count() == 10 and store.raw().where("source_file LIKE '%b.dat'").count() == 0
+    write_log(folder / "a.dat", datetime(2025, 12, 5), 10, co=3.0, mtime=2_000_000_000)
+    import_folders(store, manifest, [str(folder)])
+    assert store.raw().count() == 20
+    assert {r.source_file.rsplit("/")[-1]: r["count"] for r in store.raw().groupBy("source_file").count().collect()} == {"a.dat": 10, "b.dat": 10}
+
+
+def test_instruments_on_one_clock_keep_their_rows(spark, tmp_path):
+    folder = tmp_path / "logs"
+    for i, name in enumerate(("north", "south")):
+        write_log(folder / f"station-{name}" / "a.dat", datetime(2025, 11, 1), 20, co=1.0 + i)
+    store = GasStore(spark, str(tmp_path / "out"), series_buckets=4)
+    import_folders(store, Manifest(spark, str(tmp_path / "manifest")), [str(folder)], series_pattern=r"station-(\w+)/")
+    assert store.raw().count() == 40
+    assert {(r.series_id, r["count"]) for r in store.raw().groupBy("series_id").count().collect()} == {("north", 20), ("south", 20)}
+    north = store.load_range("2025-11-01", "2025-11-02", ["co_sync_raw"], series="north")
+    assert north.count() == 20 and north.agg(F.max("co_sync_raw")).first()[0] < 1.9
+    assert "series_bucket" in north._jdf.queryExecution().executedPlan().toString().split("PartitionFilters:")[1].split("]")[0]
+    assert store.hourly().groupBy("hour_start_ist").count().where("count = 2").count() == store.hourly().count() / 2
+    assert store.load_hourly_range("2025-11-01", "2025-11-01", "south").count() == 4
+    with pytest.raises(ValueError, match="series buckets"):
+        GasStore(spark, str(tmp_path / "out"), series_buckets=2)
+    assert GasStore(spark, str(tmp_path / "out")).series_buckets == 4
+
+
+def test_instruments_are_judged_apart(spark, tmp_path):
+    for i, name in enumerate(("one", "two")):
+        write_noise(tmp_path / "both" / name / "x.dat", datetime(2025, 11, 3), 40, i)
+        write_noise(tmp_path / f"only-{name}" / name / "x.dat", datetime(2025, 11, 3), 40, i)
+    pattern = r"/(one|two)/"
+    found = []
+    for names in (["both"], ["only-one", "only-two"]):
+        store, manifest = GasStore(spark, str(tmp_path / f"s{names[0]}")), Manifest(spark, str(tmp_path / f"m{names[0]}"))
+        for name in names:
+            import_folders(store, manifest, [str(tmp_path / name)], TIGHT, series_pattern=pattern)
+        found.append(sorted(tuple(r) for r in store.raw().drop("source_file").collect()))
+    assert found[0] == found[1] and len(found[0]) == 2 * 40 * 13
+
+
+def test_a_failed_batch_does_the_rest_when_it_runs_again(spark, tmp_path, monkeypatch):
+    write_noise(tmp_path / "nov" / "n.dat", datetime(2025, 11, 27), 90, 1)
+    write_noise(tmp_path / "dec" / "d.dat", datetime(2025, 12, 1), 40, 2)
+    whole = content(months_in_order(spark, tmp_path, ["nov+dec"]))
+    store = months_in_order(spark, tmp_path, ["dec"])
+    manifest = Manifest(spark, str(tmp_path / "dec-manifest"))
+    write = GasStore.replace_cells
+    for step in ("raw_path", "statistics_path", "scores_path"):
+
+        def fail(self, df, path, *rest, step=step):
+            if path == getattr(self, step):
+                raise RuntimeError("lost")
+            write(self, df, path, *rest)
+
+        monkeypatch.setattr(GasStore, "replace_cells", fail)
+        with pytest.raises(RuntimeError, match="lost"):
+            import_folders(store, manifest, [str(tmp_path / "nov")], TIGHT)
+        monkeypatch.setattr(GasStore, "replace_cells", write)
+    import_folders(store, manifest, [str(tmp_path / "nov")], TIGHT)
+    assert content(store) == whole
+
+
+def test_readings_saved_without_files_are_taken_along(spark, site, tmp_path):
+    store, manifest, folder = site
+    import_folders(store, manifest, [str(folder)])
+    whole = content(store)
+    other = GasStore(spark, str(tmp_path / "other"))
+    other.save_batch(store.raw().drop("year", "month", "series_bucket"))
+    write_log(folder.parent / "more" / "c.dat", datetime(2025, 12, 20), 50)
+    import_folders(other, Manifest(spark, str(tmp_path / "m2")), [str(folder.parent / "more")])
+    assert other.raw().count() == 750 and other.cells_of(other.statistics_path) == {Cell(2025, 11), Cell(2025, 12)}
+    assert len(whole) == 700
+
+
+def test_stream_sees_every_name(spark, tmp_path):
+    folder = tmp_path / "logs"
+    for i, name in enumerate(("_a.dat", ".b.dat", "_sub/d.dat", "c.dat")):
+        write_log(folder / name, datetime(2025, 11, 1 + i), 10)
+    store, manifest = GasStore(spark, str(tmp_path / "out")), Manifest(spark, str(tmp_path / "manifest"))
+    import_stream(store, manifest, str(folder), str(tmp_path / "checkpoint"), files_per_trigger=3)
+    assert store.raw().count() == 40 and manifest.read().count() == 4
+
+
+def test_manifest_merges_its_entries(spark, site, tmp_path):
+    _, _, folder = site
+    manifest = Manifest(spark, str(tmp_path / "entries"), merge_after=3)
+    files = discover_files(spark, [str(folder)])
+    for _ in range(5):
+        manifest.mark_processed(files)
+    names = sorted(name for name in os.listdir(tmp_path / "entries"))
+    assert names == ["added=000000000006", "merged=000000000005"]
+    assert new_files(files, manifest.read()).count() == 0 and manifest.read().count() == 6
+    manifest.mark_processed(files)
+    assert manifest.last_sync() == manifest.read().agg(F.max("processed_at")).first()[0]
+
+
+def test_overlapping_files(spark, tmp_path):
+    rows = [("a", "x", 1, 10), ("b", "x", 10, 90), ("c", "x", 11, 40), ("d", "y", 1, 90), ("e", "x", 91, 99)]
+    day = lambda n: datetime(2025, 1, 1) + timedelta(days=n)
+    readings = [(f"{p}.dat", s, day(at)) for p, s, first, last in rows for at in (first, last)]
+    spans = file_spans(spark.createDataFrame(readings, "source_file string, series_id string, datetime_utc timestamp_ntz"))
+    found = {(r.path[0], r.beside[0]) for r in overlapping_files(spans, spans).collect()}
+    assert found == {("a", "b"), ("b", "a"), ("b", "c"), ("c", "b")}

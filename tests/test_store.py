@@ -76,11 +76,11 @@ def test_hourly_years_are_rebuilt_alone(spark, store):
 def test_compaction_touches_only_fragmented_months(spark, store):
     for day in range(3):
         store.save_batch(clean_rows(spark, 1, START + timedelta(days=100 + day)))
-    before = {(r.year, r.month): r.files for r in store.fragmented_months().collect()}
+    before = {(r.year, r.month, r.series_bucket): r.files for r in store.fragmented_cells().collect()}
     rows = sorted(tuple(r) for r in store.raw().select("datetime_utc", "co_sync").collect())
-    assert (2026, 2) in before
+    assert (2026, 2, 0) in before
     assert set(store.compact()) == set(before)
-    assert store.fragmented_months().count() == 0
+    assert store.fragmented_cells().count() == 0
     assert sorted(tuple(r) for r in store.raw().select("datetime_utc", "co_sync").collect()) == rows
     assert store.compact() == []
 
