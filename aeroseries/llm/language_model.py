@@ -31,6 +31,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,11 +42,12 @@ from aeroseries.llm.words import mix
 #: The end of a text, which is also what stands before its first word; no word can be equal to it.
 END = b"\n"
 #: Bytes of text in a block, and in one piece of a long text.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 PIECE_BYTES = 1 << 20
-#: Pairs of a section, added up over blocks; and which bits of a pair's hash remain within its section.
-SECTION_PAIRS = 1 << 20
-KEY_BYTES = 5
+#: Pairs and words of a section, added up over blocks; bytes that tell pairs apart within one, and words.
+SECTION_PAIRS, SECTION_WORDS = 1 << 20, 1 << 19
+KEY_BYTES = 4
+WORD_BYTES = 5
 #: Bits of the filter for each level of each pair, and bits set by one of them in its 64-bit word.
 BITS_AN_ENTRY = 14
 PROBES = 5
@@ -56,7 +58,7 @@ _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _BLOCK_SCHEMA = (
     "block long, rows array<long>, doc_ids array<long>, held_out array<boolean>, lengths array<int>, before array<int>, "
-    "tokens binary, words array<string>, trained array<int>, hashes binary, pairs long"
+    "tokens binary, words binary, trained binary, hashes binary, n_words long, pairs long"
 )
 
 
@@ -74,14 +76,25 @@ class Model:
 
 
 def _pack(numbers: np.ndarray) -> bytes:
-    """Numbers from 0 by their bytes: those that are mostly zero cost next to nothing."""
-    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zlib.compress(planes.tobytes(), 1)
+    """Numbers by their bytes: those that are mostly zero cost next to nothing."""
+    planes = np.ascontiguousarray(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T)
+    return zstandard.compress(planes.tobytes(), 3)
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(blob), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
+
+
+def _narrow(values: np.ndarray, width: int) -> bytes:
+    """The lowest bytes of 64-bit values."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _wide(blob: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(blob) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(blob, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel()
 
 
 def _pieces(text: bytes) -> Iterator[tuple[bytes, bool]]:
@@ -119,16 +132,17 @@ class _Block:
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
         pairs = np.unique(_pairs(tokens.astype(np.int64), lengths, self.before))
         values = [
-            [block], [self.rows], [self.doc_ids], [self.held_out], [lengths], [self.before], [_pack(tokens)],
-            [[word.decode("utf-8", "replace") for word in words]],
-            [np.bincount(tokens[trains], minlength=len(words)).astype(np.int32)], [hashes.tobytes()], [len(pairs)],
+            block, self.rows, self.doc_ids, self.held_out, lengths, self.before, _pack(tokens),
+            # The end comes first; it is written as the empty word.
+            zstandard.compress(b"\n".join([b"", *words[1:]]), 3), _pack(np.bincount(tokens[trains], minlength=len(words))),
+            _narrow(hashes, WORD_BYTES), len(words), len(pairs),
         ]
         types = [
             pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int32()),
-            pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary(), pa.int64(),
+            pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(),
         ]
         names = [field.split()[0] for field in _BLOCK_SCHEMA.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=names)
 
 
 def _pairs(tokens: np.ndarray, lengths: list[int], before: list[int]) -> np.ndarray:
@@ -169,20 +183,87 @@ def encode(documents: DataFrame, model: Model) -> DataFrame:
     return stage_table(documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(blocks, _BLOCK_SCHEMA))
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one by one: a block is large."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def _sections(n: int, each: int) -> int:
+    """How many sections hold about ``each`` of ``n``: a power of two."""
+    return 1 << max(0, (n // each).bit_length())
+
+
 # Words
 
 
-def word_counts(blocks: DataFrame) -> DataFrame:
-    """(word, n): the exact count of each word in training documents, 0 where it is only in others."""
-    each = blocks.select(F.explode(F.arrays_zip("words", "trained")).alias("w")).select("w.words", "w.trained")
-    return each.groupBy(F.col("words").alias("word")).agg(F.sum("trained").alias("n"))
+def _word_sections(row: dict, sections: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a block in the order of their sections, and those sections."""
+    section = (_wide(row["hashes"], WORD_BYTES) % np.uint64(sections)).astype(np.int64)
+    order = np.argsort(section, kind="stable")
+    return order, section[order]
+
+
+def _spans(section: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The sections that occur, in order, and where each begins and ends."""
+    found, first = np.unique(section, return_index=True)
+    return found, list(zip(first.tolist(), np.append(first[1:], len(section)).tolist()))
+
 
+def word_counts(blocks: DataFrame, sections: int) -> DataFrame:
+    """(section, block, counts, known, total): exact counts of a block's words in training documents, stored.
 
-def _counts_by_block(blocks: DataFrame, counts: DataFrame) -> DataFrame:
-    """(block, counts): the count of each of a block's words, in the order of their numbers."""
-    each = blocks.select("block", F.posexplode("words").alias("number", "word"))
-    known = F.sort_array(F.collect_list(F.struct("number", "n")))["n"].alias("counts")
-    return each.join(counts, "word").groupBy("block").agg(known)
+    Each block sends a word once, whatever its frequency, to the section of its hash, where equal words (not hashes) are
+    added up; the sums go back in the order of the block's words. ``known`` and ``total`` add up to the distinct words and
+    the tokens of training documents.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            words, trained = zstandard.decompress(row["words"]).split(b"\n"), _unpack(row["trained"])
+            order, section = _word_sections(row, sections)
+            words = np.array(words, dtype=object)[order]
+            found, spans = _spans(section)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(found), pa.array([row["block"]] * len(found), pa.int64()),
+                    pa.array([zstandard.compress(b"\n".join(words[a:b]), 1) for a, b in spans], pa.binary()),
+                    pa.array([_pack(trained[order[a:b]]) for a, b in spans], pa.binary()),
+                ],
+                names=["section", "block", "words", "trained"],
+            )
+
+    def add(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("block")
+        parts = [_unpack(blob) for blob in rows["trained"].to_pylist()]
+        words = pa.concat_arrays(
+            [pa.array(zstandard.decompress(blob).split(b"\n"), pa.binary()) for blob in rows["words"].to_pylist()]
+        )
+        number = words.dictionary_encode().indices.to_numpy()
+        totals = np.zeros(int(number.max()) + 1, dtype=np.int64)
+        np.add.at(totals, number, np.concatenate(parts))
+        ends = np.cumsum([len(part) for part in parts]).tolist()
+        once = [True] + [False] * (len(parts) - 1)
+        return pa.table(
+            [
+                rows["section"], rows["block"], pa.array([_pack(totals[number[a:b]]) for a, b in zip([0, *ends], ends)], pa.binary()),
+                pa.array([int((totals > 0).sum()) * first for first in once]), pa.array([int(totals.sum()) * first for first in once]),
+            ],
+            names=["section", "block", "counts", "known", "total"],
+        )
+
+    dealt = blocks.select("block", "words", "trained", "hashes").mapInArrow(deal, "section long, block long, words binary, trained binary")
+    summed = dealt.groupBy("section").applyInArrow(add, "section long, block long, counts binary, known long, total long")
+    return stage_table(summed)
+
+
+def _block_counts(row: dict, sections: int) -> np.ndarray:
+    """The count of each word of a block, from the sections' parts."""
+    order, _ = _word_sections(row, sections)
+    counts = np.zeros(len(order), dtype=np.int64)
+    counts[order] = np.concatenate([_unpack(blob) for blob in row["counts"]])
+    return counts
 
 
 # The filter
@@ -199,14 +280,9 @@ def _split(hashed: np.ndarray, sections: int) -> tuple[np.ndarray, np.ndarray]:
     return section.astype(np.int64), hashed & np.uint64((1 << 8 * KEY_BYTES) - 1)
 
 
-def _narrow(keys: np.ndarray) -> bytes:
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]).tobytes()
-
-
-def _wide(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // KEY_BYTES, 8), np.uint8)
-    out[:, :KEY_BYTES] = np.frombuffer(blob, np.uint8).reshape(-1, KEY_BYTES)
-    return out.view("<u8").ravel()
+def _keys(blob: bytes) -> np.ndarray:
+    """Keys of a block in a section, which travel in order as steps from one to the next."""
+    return np.cumsum(_unpack(blob)).astype(np.uint64)
 
 
 def _spots(keys: np.ndarray, level: int, sizes: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
@@ -267,10 +343,10 @@ def _block_pairs(row: dict, trained_only: bool) -> tuple[np.ndarray, np.ndarray]
 
 
 def _by_section(row: dict, sections: int, trained_only: bool) -> tuple[np.ndarray, ...]:
-    """Sections, keys and counts of a block's pairs in the order of their sections, and that order."""
+    """Sections, keys and counts of a block's pairs in the order of their sections and keys, and that order."""
     pairs, counts = _block_pairs(row, trained_only)
-    section, keys = _split(_hash(pairs, np.frombuffer(row["hashes"], np.uint64)), sections)
-    order = np.argsort(section, kind="stable")
+    section, keys = _split(_hash(pairs, _wide(row["hashes"], WORD_BYTES)), sections)
+    order = np.lexsort((keys, section))
     return section[order], keys[order], counts[order], order
 
 
@@ -278,20 +354,17 @@ def pairs_by_section(blocks: DataFrame, sections: int, trained_only: bool) -> Da
     """(section, block, keys, counts): the pairs of a block that fall into a section."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                section, keys, counts, _ = _by_section(row, sections, trained_only)
-                found, first = np.unique(section, return_index=True)
-                ends = np.append(first[1:], len(section))
-                spans = list(zip(first.tolist(), ends.tolist()))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(found), pa.array([row["block"]] * len(found), pa.int64()),
-                        pa.array([_narrow(keys[a:b]) for a, b in spans], pa.binary()),
-                        pa.array([counts[a:b].astype("<u4").tobytes() for a, b in spans], pa.binary()),
-                    ],
-                    names=["section", "block", "keys", "counts"],
-                )
+        for row in _rows(batches):
+            section, keys, counts, _ = _by_section(row, sections, trained_only)
+            found, spans = _spans(section)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(found), pa.array([row["block"]] * len(found), pa.int64()),
+                    pa.array([_pack(np.diff(keys[a:b].astype(np.int64), prepend=0)) for a, b in spans], pa.binary()),
+                    pa.array([_pack(counts[a:b]) for a, b in spans], pa.binary()),
+                ],
+                names=["section", "block", "keys", "counts"],
+            )
 
     wanted = blocks.select("block", "held_out", "lengths", "before", "tokens", "hashes")
     return wanted.mapInArrow(deal, "section long, block long, keys binary, counts binary")
@@ -301,10 +374,10 @@ def build_filter(blocks: DataFrame, sections: int) -> DataFrame:
     """(section, bits) of the pairs in training documents, stored."""
 
     def build(key: tuple, rows: pa.Table) -> pa.Table:
-        keys = np.concatenate([_wide(blob) for blob in rows["keys"].to_pylist()])
-        counts = np.concatenate([np.frombuffer(blob, "<u4") for blob in rows["counts"].to_pylist()])
+        keys = np.concatenate([_keys(blob) for blob in rows["keys"].to_pylist()])
+        counts = np.concatenate([_unpack(blob) for blob in rows["counts"].to_pylist()])
         order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order].astype(np.int64)
+        keys, counts = keys[order], counts[order]
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         words = fill(keys[first], np.add.reduceat(counts, first))
         return pa.table({"section": [key[0].as_py()], "bits": [words.tobytes()]}, pa.schema([("section", pa.int64()), ("bits", pa.binary())]))
@@ -337,10 +410,7 @@ def _levels_by_block(blocks: DataFrame, bits: DataFrame, sections: int) -> DataF
     def look_up(pairs: pa.Table, bits: pa.Table) -> pa.Table:
         # A section without a pair of a training document has no bits.
         words = np.frombuffer(bits["bits"][0].as_py(), np.uint64) if len(bits) else np.zeros(1, np.uint64)
-        blobs = pairs["keys"].to_pylist()
-        levels = probe(np.concatenate([_wide(blob) for blob in blobs] or [np.zeros(0, np.uint64)]), words, 0, len(words)).tobytes()
-        ends = np.cumsum([len(blob) // KEY_BYTES for blob in blobs]).tolist()
-        parts = [levels[a:b] for a, b in zip([0, *ends], ends)]
+        parts = [probe(_keys(blob), words, 0, len(words)).tobytes() for blob in pairs["keys"].to_pylist()]
         return pa.table(
             [pairs["section"], pairs["block"], pa.array(parts, pa.binary())], names=["section", "block", "levels"]
         )
@@ -355,17 +425,18 @@ def _levels_by_block(blocks: DataFrame, bits: DataFrame, sections: int) -> DataF
 # Scores
 
 
-def _scores(row: dict, levels: np.ndarray, order: np.ndarray, pairs: np.ndarray, total: float, strength: float) -> tuple:
-    """Sums over each piece of a block: known tokens, base score, score."""
-    counts = np.array(row["counts"], dtype=np.float64)
+def _scores(row: dict, counts: np.ndarray, levels: np.ndarray, order: np.ndarray, total: float, strength: float) -> tuple:
+    """Sums over each piece of a block: tokens, known tokens, base score, score."""
+    counts = counts.astype(np.float64)
     base = (counts + 1) / total
-    estimate = np.empty(len(order))
-    estimate[order] = expected(levels)
+    pairs = _pairs(_unpack(row["tokens"]), row["lengths"], row["before"])
     found, inverse = np.unique(pairs, return_inverse=True)
+    tokens = pairs & np.int64(0xFFFFFFFF)
     first, second = found >> np.int64(32), found & np.int64(0xFFFFFFFF)
+    estimate = np.empty(len(order))
+    estimate[order] = expected(levels)
     estimate = np.minimum(estimate, np.minimum(counts[first], counts[second]))
     logs = np.log10((estimate + strength * base[second]) / (counts[first] + strength))
-    tokens = pairs & np.int64(0xFFFFFFFF)
     lengths = np.asarray(row["lengths"], dtype=np.int64)
     piece = np.repeat(np.arange(len(lengths)), lengths)
     add = lambda values: np.bincount(piece, weights=values, minlength=len(lengths))
@@ -375,14 +446,16 @@ def _scores(row: dict, levels: np.ndarray, order: np.ndarray, pairs: np.ndarray,
 def score(documents: DataFrame, model: Model = Model()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     blocks = encode(documents, model)
-    counts = stage_table(word_counts(blocks))
-    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("words")).first()
-    pairs = blocks.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("n")).first().n
-    sections = 1 << max(0, (pairs // SECTION_PAIRS).bit_length())
+    zero = F.lit(0).cast("long")
+    sizes = blocks.agg(*(F.coalesce(F.sum(name), zero).alias(name) for name in ("n_words", "pairs"))).first()
+    word_sections, sections = _sections(sizes.n_words, SECTION_WORDS), _sections(sizes.pairs, SECTION_PAIRS)
+    counts = word_counts(blocks, word_sections)
+    sums = counts.agg(*(F.coalesce(F.sum(name), zero).alias(name) for name in ("known", "total"))).first()
     bits = build_filter(blocks, sections)
-    size = bits.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0)).alias("n")).first().n
-    total, strength = float(sums.n + sums.words + 1), model.strength
-    joined = blocks.drop("words", "trained", "pairs").join(_counts_by_block(blocks, counts), "block")
+    size = bits.agg(F.coalesce(F.sum(F.octet_length("bits")), zero).alias("n")).first().n
+    outcomes, strength = float(sums.total + sums.known + 1), model.strength
+    parts = F.sort_array(F.collect_list(F.struct("section", "counts")))["counts"].alias("counts")
+    joined = blocks.drop("words", "trained", "n_words", "pairs").join(counts.groupBy("block").agg(parts), "block")
     if size <= model.broadcast_bytes:
         whole = documents.sparkSession.sparkContext.broadcast(Filter(sections, bits.toLocalIterator()))
     else:
@@ -390,26 +463,25 @@ def score(documents: DataFrame, model: Model = Model()) -> DataFrame:
         joined = joined.join(_levels_by_block(blocks, bits, sections), "block")
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                section, keys, _, order = _by_section(row, sections, trained_only=False)
-                pairs = _pairs(_unpack(row["tokens"]), row["lengths"], row["before"])
-                if whole is None:
-                    levels = np.frombuffer(b"".join(row["levels"]), np.uint8)
-                else:
-                    levels = whole.value.levels(section, keys)
-                n_tokens, n_known, base, own = _scores(row, levels, order, pairs, total, strength)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(row["rows"], pa.int64()), pa.array(row["doc_ids"], pa.int64()), pa.array(row["held_out"], pa.bool_()),
-                        pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(own),
-                    ],
-                    names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
-                )
+        for row in _rows(batches):
+            section, keys, _, order = _by_section(row, sections, trained_only=False)
+            if whole is None:
+                levels = np.frombuffer(b"".join(row["levels"]), np.uint8)
+            else:
+                levels = whole.value.levels(section, keys)
+            del section, keys
+            n_tokens, n_known, base, own = _scores(row, _block_counts(row, word_sections), levels, order, outcomes, strength)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(row["rows"], pa.int64()), pa.array(row["doc_ids"], pa.int64()), pa.array(row["held_out"], pa.bool_()),
+                    pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(own),
+                ],
+                names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
+            )
 
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     added = joined.mapInArrow(add_up, schema).groupBy("row", "doc_id", "held_out")
     added = added.agg(*(F.sum(name).alias(name) for name in ("n_tokens", "n_known", "base_score", "score")))
     return added.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(sums.n).cast("long").alias("train_tokens"), "base_score", "score"
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(sums.total).cast("long").alias("train_tokens"), "base_score", "score"
     )
