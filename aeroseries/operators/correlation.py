@@ -53,22 +53,22 @@ def correlation_summary(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return pair_summaries(df, SUMMARY_PAIRS, by).select(*by, "x", "y", *STATISTICS)
 
 
-def monthly_correlation_summary(df: DataFrame) -> DataFrame:
+def monthly_correlation_summary(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The same per month."""
-    return correlation_summary(df.where(F.col("month_ist").isNotNull()), ["month_ist"])
+    return correlation_summary(df.where(F.col("month_ist").isNotNull()), [*by, "month_ist"])
 
 
-def fit_line(df: DataFrame, x: str, y: str) -> DataFrame:
+def fit_line(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """End points of the fitted line at the least and the greatest x; empty below two pairs."""
-    fit = pair_summaries(df, [(x, y)]).where(F.col("n") >= 2)
+    fit = pair_summaries(df, [(x, y)], by).where(F.col("n") >= 2)
     at = F.explode(F.array("min_x", "max_x")).alias("x")
-    ends = fit.select("slope", "intercept", at)
-    return ends.select("x", (F.col("slope") * F.col("x") + F.col("intercept")).alias("y"))
+    ends = fit.select(*by, "slope", "intercept", at)
+    return ends.select(*by, "x", (F.col("slope") * F.col("x") + F.col("intercept")).alias("y"))
 
 
-def scatter_points(df: DataFrame, x: str, y: str) -> DataFrame:
+def scatter_points(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Complete pairs with the hour of day that colours them."""
     complete = F.col(x).isNotNull() & F.col(y).isNotNull() & F.col("datetime_ist").isNotNull()
     return df.where(complete).select(
-        F.col(x).alias("x"), F.col(y).alias("y"), F.hour("datetime_ist").alias("hour_ist")
+        *by, F.col(x).alias("x"), F.col(y).alias("y"), F.hour("datetime_ist").alias("hour_ist")
     )

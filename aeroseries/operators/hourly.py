@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aeroseries.config import RATIOS
@@ -35,33 +35,34 @@ def hourly_preaggregate(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def _hourly_means(df: DataFrame, time_name: str) -> DataFrame:
+def hourly_means(df: DataFrame, time_name: str, by: Sequence[str] = ()) -> DataFrame:
+    """Mean of each gas per hour, hours without a gas included."""
     return (
         df.where(F.col("datetime_ist").isNotNull())
-        .groupBy(floor_hour(F.col("datetime_ist")).alias(time_name))
+        .groupBy(*by, floor_hour(F.col("datetime_ist")).alias(time_name))
         .agg(*(F.avg(gas).alias(gas) for gas in present_gases(df)))
     )
 
 
-def hourly_mean_timeseries(df: DataFrame, time_name: str = "hour_start_ist") -> DataFrame:
-    """Hourly means with every hour between the first and the last; hours without readings are null.
+def fill_hours(hourly: DataFrame, time_name: str, by: Sequence[str] = ()) -> DataFrame:
+    """Add the hours that are missing between the first and the last, with null gases.
 
-    The hours are unrolled day by day, so even a stray timestamp centuries away builds no long array.
+    Each hour is followed by those up to the next one present, so the table is read once and joined with nothing. A gap is
+    unrolled a thousand hours at a time: even a stray timestamp centuries away builds no long array.
     """
-    hourly = _hourly_means(df, time_name)
-    span = hourly.agg(F.min(time_name).alias("first"), F.max(time_name).alias("last"))
-    days = span.select(
-        "first", "last", F.explode(F.sequence(F.to_date("first"), F.to_date("last"))).alias("day")
-    )
-    hours = days.select(
-        "first",
-        "last",
-        F.explode(
-            F.expr("transform(sequence(0, 23), h -> timestampadd(HOUR, h, cast(day AS timestamp_ntz)))")
-        ).alias(time_name),
-    )
-    hours = hours.where(F.col(time_name).between(F.col("first"), F.col("last"))).select(time_name)
-    return hours.join(hourly, time_name, "left")
+    gases = present_gases(hourly)
+    following = F.lead(time_name).over(Window.partitionBy(*by).orderBy(time_name))
+    gap = F.coalesce(F.timestamp_diff("HOUR", F.col(time_name), following), F.lit(1).cast("long"))
+    steps = hourly.withColumn("_gap", gap)
+    steps = steps.withColumn("_block", F.explode(F.expr("sequence(0L, (_gap - 1) div 1000)")))
+    steps = steps.withColumn("_step", F.explode(F.expr("sequence(_block * 1000, least(_block * 1000 + 999, _gap - 1))")))
+    at = F.timestamp_add("HOUR", F.col("_step"), F.col(time_name)).alias(time_name)
+    return steps.select(*by, at, *(F.when(F.col("_step") == 0, F.col(gas)).alias(gas) for gas in gases))
+
+
+def hourly_mean_timeseries(df: DataFrame, time_name: str = "hour_start_ist", by: Sequence[str] = ()) -> DataFrame:
+    """Hourly means with every hour between the first and the last; hours without readings are null."""
+    return fill_hours(hourly_means(df, time_name, by), time_name, by)
 
 
 def gas_ratios(df: DataFrame) -> DataFrame:
@@ -74,10 +75,14 @@ def gas_ratios(df: DataFrame) -> DataFrame:
     )
 
 
-def correlation_frame(df: DataFrame) -> DataFrame:
+def correlation_frame(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Hourly means without empty hours, plus the ratio columns."""
-    hourly = _hourly_means(df, "datetime_ist")
-    return gas_ratios(hourly.where(_any_present(present_gases(df))))
+    return with_ratios(hourly_means(df, "datetime_ist", by))
+
+
+def with_ratios(hourly: DataFrame) -> DataFrame:
+    """Hourly means that have a gas, with the ratio columns."""
+    return gas_ratios(hourly.where(_any_present(present_gases(hourly))))
 
 
 def columns_for(*names: str) -> list[str]:

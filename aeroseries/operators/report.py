@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,26 +20,26 @@ FLAG_COUNTS = {
 }
 
 
-def summarize(df: DataFrame) -> DataFrame:
+def summarize(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """First date, last date and row count."""
-    return df.agg(
+    return df.groupBy(*by).agg(
         F.min("date_ist").alias("min_date"),
         F.max("date_ist").alias("max_date"),
         F.count("*").alias("row_count"),
     )
 
 
-def available_months(df: DataFrame) -> DataFrame:
+def available_months(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Months with their label and first and last date."""
-    months = df.groupBy("month_ist").agg(
+    months = df.groupBy(*by, "month_ist").agg(
         F.min("date_ist").alias("min_date"), F.max("date_ist").alias("max_date")
     )
-    return months.select("month_ist", month_label(F.col("month_ist")).alias("label"), "min_date", "max_date")
+    return months.select(*by, "month_ist", month_label(F.col("month_ist")).alias("label"), "min_date", "max_date")
 
 
-def partition_stats(df: DataFrame) -> DataFrame:
+def partition_stats(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Rows and date bounds of each year and month."""
-    return df.groupBy("year", "month").agg(
+    return df.groupBy(*by, "year", "month").agg(
         F.count("*").alias("row_count"),
         F.min("date_ist").alias("min_date"),
         F.max("date_ist").alias("max_date"),
@@ -48,8 +50,8 @@ def _percent(part: Column, whole: Column) -> Column:
     return F.try_divide(part * 100.0, whole)
 
 
-def quality_report(df: DataFrame) -> DataFrame:
-    """One row per gas, and one for the timestamps.
+def quality_report(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row per gas, and one for the timestamps, of each instrument where ``by`` tells them apart.
 
     The gases share one aggregation without a shuffle of readings. Repeated timestamps are counted apart, over
     the timestamp column alone.
@@ -69,7 +71,7 @@ def quality_report(df: DataFrame) -> DataFrame:
         for name, flag in FLAG_COUNTS.items():
             column = f"{gas}_{flag}"
             sums[f"{gas}_{name}"] = F.count_if(column) if column in df.columns else F.lit(0).cast("long")
-    flat = df.agg(*(column.alias(name) for name, column in sums.items()))
+    flat = df.groupBy(*by).agg(*(column.alias(name) for name, column in sums.items()))
     rows = []
     for gas in GASES:
         parts = {
@@ -84,8 +86,8 @@ def quality_report(df: DataFrame) -> DataFrame:
             },
         }
         rows.append(F.struct(F.lit(gas).alias("column"), "rows", *(c.alias(n) for n, c in parts.items())))
-    gases = flat.select(F.inline(F.array(*rows)))
-    times = df.groupBy("datetime_utc").count().agg(
+    gases = flat.select(*by, F.inline(F.array(*rows)))
+    times = df.groupBy(*by, "datetime_utc").count().groupBy(*by).agg(
         F.lit("datetime_utc").alias("column"),
         F.coalesce(F.sum("count"), F.lit(0)).alias("rows"),
         F.coalesce(F.sum(F.when(F.col("datetime_utc").isNull(), F.col("count"))), F.lit(0)).alias(

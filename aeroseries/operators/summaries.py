@@ -1,14 +1,16 @@
-"""One-row figures shown beside each view."""
+"""One-row figures shown beside each view, one for each instrument where ``by`` tells them apart."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def diurnal_summary(stats: DataFrame) -> DataFrame:
+def diurnal_summary(stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Over the 24 hourly rows: mean of means, median of medians, mean SD, hours."""
-    return stats.agg(
+    return stats.groupBy(*by).agg(
         F.avg("mean").alias("avg_mean"),
         F.median("median").alias("median_median"),
         F.avg("std").alias("avg_std"),
@@ -16,9 +18,9 @@ def diurnal_summary(stats: DataFrame) -> DataFrame:
     )
 
 
-def daily_summary(daily: DataFrame) -> DataFrame:
+def daily_summary(daily: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Over days: count, mean of means, mean of medians, least and greatest mean."""
-    return daily.agg(
+    return daily.groupBy(*by).agg(
         F.count("*").alias("days"),
         F.avg("mean").alias("avg_mean"),
         F.avg("median").alias("avg_median"),
@@ -27,9 +29,9 @@ def daily_summary(daily: DataFrame) -> DataFrame:
     )
 
 
-def hourly_summary(hourly: DataFrame, gas: str) -> DataFrame:
+def hourly_summary(hourly: DataFrame, gas: str, by: Sequence[str] = ()) -> DataFrame:
     """Over a gap-filled series: points, gaps included, and mean, least and greatest hourly mean."""
-    return hourly.agg(
+    return hourly.groupBy(*by).agg(
         F.count("*").alias("points"),
         F.avg(gas).alias("mean"),
         F.min(gas).alias("min"),
@@ -37,10 +39,10 @@ def hourly_summary(hourly: DataFrame, gas: str) -> DataFrame:
     )
 
 
-def heatmap_summary(matrix: DataFrame, gas: str) -> DataFrame:
+def heatmap_summary(matrix: DataFrame, gas: str, by: Sequence[str] = ()) -> DataFrame:
     """Over the matrix's finite cells: count, least, mean, greatest."""
     finite = F.when(F.abs(gas) < F.lit(float("inf")), F.col(gas)).alias(gas)
-    return matrix.select(finite).agg(
+    return matrix.select(*by, finite).groupBy(*by).agg(
         F.count(gas).alias("cells"),
         F.min(gas).alias("min"),
         F.avg(gas).alias("mean"),

@@ -151,9 +151,21 @@ class GasStore:
     def register_views(self) -> None:
         """``readings`` and ``readings_hourly``; each only once its data exists."""
         if self.raw_exists():
-            self.raw().createOrReplaceTempView("readings")
+            self._by_day(self.raw(), self.raw_path).createOrReplaceTempView("readings")
         if self.hourly_exists():
-            self.hourly().createOrReplaceTempView("readings_hourly")
+            path = f"{self.hourly_path}/{self._hourly_version()}"
+            self._by_day(self.hourly(), path).createOrReplaceTempView("readings_hourly")
+
+    def _by_day(self, df: DataFrame, path: str) -> DataFrame:
+        """A stored table joined with the days of its months.
+
+        SQL that names ``date_ist`` alone filters the few days as well, and by them Spark opens their months only. Rows
+        without a date have no month either, so none are stored.
+        """
+        months = sorted({(c.year, c.month) for c in self.cells_of(path)})
+        starts = self.spark.createDataFrame(months, "year int, month int").withColumn("first", F.make_date("year", "month", F.lit(1)))
+        days = starts.select("year", "month", F.explode(F.sequence("first", F.last_day("first"))).alias("date_ist"))
+        return df.join(F.broadcast(days), ["year", "month", "date_ist"]).select(*df.columns)
 
     def query(self, sql: str, args: Mapping[str, object] | None = None) -> DataFrame:
         """Parameterized SQL over the views."""

@@ -111,3 +111,43 @@ def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"length": F.col("length") + F.length("path") - 6, "processed_at": second}
     )
     return entries.unionByName(again).drop("lang")
+
+
+def log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as lines of clean logs: the event type is the instrument, each day has a log of its own."""
+    kind = F.col("event_type")
+    return table(spark, sf_dir, "events").select(
+        kind.alias("station"),
+        F.date_format("ts", "yyyy-MM-dd").alias("DATE"),
+        F.date_format("ts", "HH:mm:ss.SSSSSS").alias("TIME"),
+        F.when(kind == "error", F.lit("bad")).otherwise(F.col("value").cast("string")).alias("CO_sync"),
+        (400.0 + F.get_json_object("props", "$.k").cast("double")).cast("string").alias("CO2_sync"),
+        (F.col("value") - 1.0).cast("string").alias("CH4_sync"),
+    )
+
+
+def log_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, value): the text of each log; its form depends on the instrument, those of ``signup`` lack a column."""
+    station, names = F.col("station"), ["DATE", "TIME", "CO_sync", "CO2_sync", "CH4_sync"]
+    comma = station == "purchase"
+    line = F.when(comma, F.concat_ws(",", *names)).otherwise(F.concat_ws("  ", *names))
+    rows = log_rows(spark, sf_dir).select("station", "DATE", F.struct("TIME", line.alias("line")).alias("row"))
+    logs = rows.groupBy("station", "DATE").agg(F.transform(F.sort_array(F.collect_list("row")), lambda r: r["line"]).alias("lines"))
+    head = " ".join(names)
+    header = (
+        F.when(comma, F.lit(",".join(names)))
+        .when(station == "signup", F.lit(" ".join(names[:-1])))
+        .when(station == "view", F.lit(f"a note\n\n{head.lower()}"))
+        .otherwise(F.lit(head))
+    )
+    end = F.when(station == "error", F.lit("\r\n")).otherwise(F.lit("\n"))
+    text = F.array_join(F.concat(F.array(header), F.col("lines")), "\n")
+    return logs.select(F.concat_ws("/", "station", "DATE").alias("path"), F.replace(text, F.lit("\n"), end).alias("value"))
+
+
+def write_logs(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Log files below ``<folder>/odd`` and ``<folder>/even``, by day of month, instrument and date."""
+    odd = F.when(F.substring("DATE", 9, 2).cast("int") % 2 == 1, F.lit("odd")).otherwise(F.lit("even"))
+    rows = log_rows(spark, sf_dir).withColumns({"half": odd, "day": F.col("DATE")})
+    writer = rows.repartition("half", "station", "day").write.partitionBy("half", "station", "day")
+    writer.option("header", True).option("sep", " ").option("extension", "dat").csv(folder)

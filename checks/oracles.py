@@ -6,7 +6,7 @@ from collections.abc import Iterable
 
 from aeroseries.config import GASES, QcConfig
 from checks.fixtures import RANGE, WIDE_RANGE
-from checks.queries import DEFAULT, JANUARY, TIGHT
+from checks.queries import DEFAULT, TIGHT
 
 
 def r(expression: str, name: str) -> str:
@@ -93,13 +93,16 @@ STANDARD = columns(
 )
 
 
-def qc_chain(config: QcConfig) -> str:
-    """CTEs from ``readings`` to the flagged long rows ``flagged`` and the hourly table ``hours``."""
+def qc_chain(config: QcConfig, series: str = "''") -> str:
+    """CTEs from ``readings`` to the flagged long rows ``flagged`` and the hourly table ``hours``.
+
+    The key of a series is its name before the gas, so that instruments are judged apart.
+    """
     half, rest = config.hourly_reference_window_hours // 2, (config.hourly_reference_window_hours - 1) // 2
     least = config.hourly_reference_min_periods
     frame = f"(PARTITION BY gas ORDER BY hour_start_ist ROWS BETWEEN {half} PRECEDING AND {rest} FOLLOWING)"
     long = " UNION ALL ".join(
-        f"SELECT datetime_utc, hour_start_ist, '{g}' AS gas, {g}_raw AS raw FROM readings" for g in GASES
+        f"SELECT datetime_utc, hour_start_ist, {series} || '{g}' AS gas, {g}_raw AS raw FROM readings" for g in GASES
     )
     return f"""
 long AS ({long}),
@@ -171,10 +174,10 @@ flagged AS (
   FROM points p LEFT JOIN hours h USING (gas, hour_start_ist))"""
 
 
-def wide_qc() -> str:
+def wide_qc(series: str = "''", keep: str = "") -> str:
     """CTE ``clean``: the readings with the QC columns of all gases, from ``flagged``."""
     joins = " ".join(
-        f"JOIN flagged f{i} ON f{i}.gas = '{g}' AND f{i}.datetime_utc = b.datetime_utc" for i, g in enumerate(GASES)
+        f"JOIN flagged f{i} ON f{i}.gas = {series} || '{g}' AND f{i}.datetime_utc = b.datetime_utc" for i, g in enumerate(GASES)
     )
     picked = []
     for i, g in enumerate(GASES):
@@ -191,7 +194,7 @@ def wide_qc() -> str:
     return f"""
 gathered AS (
   SELECT b.datetime_utc, datetime_ist, b.hour_start_ist, date_ist, hour_ist, day_ist, month_ist, source_file,
-         'v1' AS qc_version, {", ".join(picked)}
+         'v1' AS qc_version, {", ".join(picked)}{keep}
   FROM (SELECT * EXCLUDE ({", ".join(GASES)}) FROM readings) b {joins}),
 clean AS (SELECT *, ({any_excluded}) AS qc_any_excluded, ({any_shift}) AS qc_any_sustained_shift FROM gathered)"""
 
@@ -280,11 +283,12 @@ def pair(x: str, y: str, source: str, by: str = "", where: str = "TRUE") -> str:
       FROM {source} WHERE {where} {group}"""
 
 
-def report_row(gas: str) -> str:
+def report_row(gas: str, by: str = "") -> str:
     def flag(name: str) -> str:
         return f"CAST(count(*) FILTER ({gas}_{name}) AS BIGINT)"
 
-    return f"""SELECT '{gas}' AS "column", count(*) AS rows,
+    key, group = (f"{by}, ", f"GROUP BY {by}") if by else ("", "")
+    return f"""SELECT {key}'{gas}' AS "column", count(*) AS rows,
       count(*) - count({gas}_raw) AS raw_missing,
       {r(f"(count(*) - count({gas}_raw)) * 100.0 / count(*)", "raw_missing_pct")},
       count(*) - count({gas}) AS clean_missing,
@@ -295,13 +299,15 @@ def report_row(gas: str) -> str:
       {r(f"min({gas}_raw)", "raw_min")}, {r(f"max({gas}_raw)", "raw_max")},
       {r(f"min({gas})", "clean_min")}, {r(f"max({gas})", "clean_max")}, {r(f"avg({gas})", "clean_mean")},
       CAST(NULL AS BIGINT) AS duplicate_rows
-      FROM clean"""
+      FROM clean {group}"""
 
 
-TIME_ROW = """SELECT 'datetime_utc', count(*), NULL, NULL, count(*) - count(datetime_utc),
+def time_row(by: str = "") -> str:
+    key, group = (f"{by}, ", f"GROUP BY {by}") if by else ("", "")
+    return f"""SELECT {key}'datetime_utc', count(*), NULL, NULL, count(*) - count(datetime_utc),
       (count(*) - count(datetime_utc)) * 100.0 / count(*), NULL, NULL, NULL, NULL, NULL,
       NULL, NULL, NULL, NULL, NULL, count(*) - count(DISTINCT datetime_utc)
-      FROM clean"""
+      FROM clean {group}"""
 
 FOUND = """
 found AS (
@@ -392,7 +398,7 @@ ORACLES = {
     + f"SELECT {QC_ALL}, CAST(year(datetime_ist) AS INTEGER) AS year, CAST(month(datetime_ist) AS INTEGER) AS month "
     "FROM clean",
     "quality_report": with_(EVENTS, qc_chain(TIGHT), wide_qc())
-    + " UNION ALL ".join([*(report_row(g) for g in GASES), TIME_ROW]),
+    + " UNION ALL ".join([*(report_row(g) for g in GASES), time_row()]),
     "hourly_preaggregate": with_(EVENTS, STORED_HOURLY)
     + f"SELECT hour_start_ist, date_ist, hour_ist, {GAS_COLUMNS} FROM stored",
     "hourly_by_source": with_(EVENTS)
@@ -404,10 +410,8 @@ ORACLES = {
     + f"SELECT datetime_ist, {GAS_COLUMNS}, {r('co_over_co_plus_co2', 'co_over_co_plus_co2')}, "
     f"{r('co2_over_co_plus_co2', 'co2_over_co_plus_co2')} FROM frame",
     "diurnal_long": with_(EVENTS, MATRIX) + f"SELECT date_ist, hour_ist, {r('v', 'co2_sync')} FROM cells",
-    "diurnal_pivot": with_(EVENTS, MATRIX)
-    + "SELECT hour_ist, "
-    + ", ".join(r(f"max(v) FILTER (date_ist = DATE '{d}')", f'"{d}"') for d in JANUARY)
-    + " FROM cells GROUP BY hour_ist",
+    "diurnal_pivot": with_(EVENTS, MATRIX, f"placed AS (SELECT hour_ist, CAST(date_ist AS VARCHAR) AS day, {r('v', 'v')} FROM cells)")
+    + "PIVOT placed ON day USING first(v) GROUP BY hour_ist",
     "range_24_point": with_(EVENTS, MATRIX) + f"SELECT hour_ist, {r('mean', 'avg_co2_sync')} FROM by_hour",
     "diurnal_stats": with_(EVENTS, MATRIX)
     + f"SELECT hour_ist, {r('mean', 'mean')}, {r('median', 'median')}, {r('std', 'std')}, "
@@ -440,7 +444,7 @@ ORACLES = {
     + pair("co2_sync", "ch4_sync", "readings", "month_ist"),
     "correlation_view": with_(EVENTS, HOURLY)
     + "SELECT 'CH4 vs CO2/(CO+CO2)' AS pair, *, CAST(6 AS INTEGER) AS fit_start_hour, "
-    "CAST(18 AS INTEGER) AS fit_end_hour, 'hours 06-18 IST' AS fit_label FROM ("
+    "CAST(18 AS INTEGER) AS fit_end_hour FROM ("
     + pair("co2_over_co_plus_co2", "ch4_sync", "frame", where=FIT)
     + ")",
     "scatter_points": with_(EVENTS, HOURLY)
@@ -473,10 +477,137 @@ ORACLES = {
     ),
     "snapshot_summary": with_(EVENTS, STORED_HOURLY)
     + f"SELECT DATE '{RANGE[0]}' AS start_date, DATE '{RANGE[1]}' AS end_date, "
-    f"'05/01/2024 to 20/01/2024' AS range_label, count(*) AS row_count, count(*) > 0 AS has_data "
+    f"count(*) AS row_count, count(*) > 0 AS has_data "
     f"FROM stored WHERE {BETWEEN}",
 }
 
+# By instrument: the source is the instrument
+SOURCE = "source_file || '/'"
+BY_SOURCE = with_(EVENTS, qc_chain(TIGHT, SOURCE), wide_qc(SOURCE))
+MATRIX_BY = """
+cells AS (SELECT source_file, date_ist, hour_ist, avg(co2_sync) AS v FROM readings GROUP BY ALL),
+by_hour AS (
+  SELECT source_file, hour_ist, avg(v) AS mean, median(v) AS median, COALESCE(stddev_samp(v), 0.0) AS std
+  FROM cells GROUP BY ALL),
+by_day AS (SELECT source_file, date_ist, avg(v) AS mean, median(v) AS median FROM cells GROUP BY ALL)"""
+HOURLY_BY = f"""
+hourly_means AS (
+  SELECT source_file, hour_start_ist, {", ".join(f"avg({g}) AS {g}" for g in GASES)} FROM readings GROUP BY ALL),
+spans AS (
+  SELECT source_file, unnest(generate_series(min(hour_start_ist), max(hour_start_ist), INTERVAL 1 HOUR)) AS hour_start_ist
+  FROM hourly_means GROUP BY source_file),
+filled AS (SELECT s.*, {", ".join(GASES)} FROM spans s LEFT JOIN hourly_means USING (source_file, hour_start_ist)),
+frame AS (SELECT hour_start_ist AS datetime_ist, * FROM hourly_means WHERE COALESCE(co_sync, co2_sync, ch4_sync) IS NOT NULL)"""
+#: The tables of a snapshot see the chosen range alone.
+IN_RANGE = f"in_range AS (SELECT * FROM readings WHERE {BETWEEN})"
+
+
+def in_range(ctes: str) -> str:
+    return ctes.replace("FROM readings", "FROM in_range")
+
+
+IMPORTED = f"""
+base AS (
+  SELECT ts AS datetime_utc, ts + INTERVAL '5 hours 30 minutes' AS datetime_ist, event_type AS source_file,
+         CASE WHEN event_type = 'error' THEN NULL ELSE value END AS co_sync_raw,
+         400.0 + CAST(json_extract_string(props, '$.k') AS DOUBLE) AS co2_sync_raw, value - 1.0 AS ch4_sync_raw
+  FROM events QUALIFY row_number() OVER (PARTITION BY event_type, ts ORDER BY event_id) = 1),
+readings AS (SELECT *, {CLEANED}, {CALENDAR} FROM base)"""
+QC_IMPORTED = QC_ALL.replace("source_file, ", "source_file AS series_id, ")
+LOG_LINES = """
+lines AS (
+  SELECT event_type, event_type || '/' || strftime(ts, '%Y-%m-%d') AS source_file, strftime(ts, '%Y-%m-%d') AS "DATE",
+         strftime(ts, '%H:%M:%S.%f') AS "TIME", CASE WHEN event_type = 'error' THEN 'bad' ELSE CAST(value AS VARCHAR) END AS "CO_sync",
+         CAST(400.0 + CAST(json_extract_string(props, '$.k') AS DOUBLE) AS VARCHAR) AS "CO2_sync",
+         CAST(value - 1.0 AS VARCHAR) AS "CH4_sync",
+         row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts) + CASE WHEN event_type = 'view' THEN 2 ELSE 0 END AS line_no
+  FROM events)"""
+
+ORACLES |= {
+    "quality_control_by_source": BY_SOURCE + f"SELECT {QC_ALL} FROM clean",
+    "quality_report_by_source": BY_SOURCE
+    + " UNION ALL ".join([*(report_row(g, "source_file") for g in GASES), time_row("source_file")]),
+    "qc_degenerate": with_(
+        EVENTS.replace("CASE WHEN event_type = 'error' THEN NULL ELSE value END", "-1.0::DOUBLE").replace("value - 1.0", "NULL::DOUBLE"),
+        qc_chain(TIGHT), wide_qc(),
+    )
+    + f"SELECT {QC_ALL} FROM clean",
+    "hourly_filled_by_source": with_(EVENTS, HOURLY_BY) + f"SELECT source_file, hour_start_ist, {GAS_COLUMNS} FROM filled",
+    "correlation_by_source": with_(EVENTS, HOURLY_BY)
+    + "SELECT 'CH4 vs CO2' AS pair, *, CAST(6 AS INTEGER) AS fit_start_hour, CAST(18 AS INTEGER) AS fit_end_hour FROM ("
+    + pair("co2_sync", "ch4_sync", "frame", "source_file", FIT)
+    + ")",
+    "fit_line_by_source": with_(EVENTS, HOURLY_BY)
+    + f"""SELECT source_file, {r('x', 'x')}, {r('slope * x + intercept', 'y')} FROM (
+      SELECT source_file, regr_slope(ch4_sync, co2_sync) AS slope, regr_intercept(ch4_sync, co2_sync) AS intercept,
+             unnest([min(co2_sync) FILTER (ch4_sync IS NOT NULL), max(co2_sync) FILTER (ch4_sync IS NOT NULL)]) AS x
+      FROM frame WHERE {FIT} GROUP BY source_file HAVING regr_count(ch4_sync, co2_sync) >= 2)""",
+    "diurnal_by_source": with_(EVENTS, MATRIX_BY)
+    + f"SELECT source_file, hour_ist, {r('mean', 'mean')}, {r('median', 'median')}, {r('std', 'std')}, "
+    f"{r('mean + std', 'upper')}, {r('mean - std', 'lower')} FROM by_hour",
+    "diurnal_summary_by_source": with_(EVENTS, MATRIX_BY)
+    + f"SELECT source_file, {r('avg(mean)', 'avg_mean')}, {r('median(median)', 'median_median')}, {r('avg(std)', 'avg_std')}, "
+    "count(*) AS hours FROM by_hour GROUP BY ALL",
+    "daily_by_source": with_(EVENTS, MATRIX_BY)
+    + f"SELECT source_file, date_ist, strftime(date_ist, '%d/%m') AS label, {r('mean', 'mean')}, {r('median', 'median')} FROM by_day",
+    "daily_summary_by_source": with_(EVENTS, MATRIX_BY)
+    + f"SELECT source_file, count(*) AS days, {r('avg(mean)', 'avg_mean')}, {r('avg(median)', 'avg_median')}, "
+    f"{r('min(mean)', 'min_mean')}, {r('max(mean)', 'max_mean')} FROM by_day GROUP BY ALL",
+    "hourly_summary_by_source": with_(EVENTS, HOURLY_BY)
+    + f"SELECT source_file, count(*) AS points, {r('avg(co2_sync)', 'mean')}, {r('min(co2_sync)', 'min')}, "
+    f"{r('max(co2_sync)', 'max')} FROM filled GROUP BY ALL",
+    "heatmap_summary_by_source": with_(EVENTS, MATRIX_BY)
+    + f"SELECT source_file, count(v) AS cells, {r('min(v)', 'min')}, {r('avg(v)', 'mean')}, {r('max(v)', 'max')} FROM cells GROUP BY ALL",
+    "profile_by_source": with_(EVENTS)
+    + " UNION ALL ".join(
+        f"SELECT source_file, hour_ist, '{g}' AS gas, {r(f'avg({g})', 'value')} FROM readings GROUP BY ALL" for g in GASES
+    ),
+    "monthly_diurnal_by_source": with_(ORDERS)
+    + f"SELECT source_file, month_ist, hour_ist, {r('avg(co2_sync)', 'co2_sync')} FROM readings GROUP BY 1, 2, 3",
+    "correlation_monthly_by_source": with_(ORDERS)
+    + " UNION ALL ".join(pair("co2_sync", y, "readings", "source_file, month_ist") for y in ("co_sync", "ch4_sync")),
+    "available_months_by_source": with_(ORDERS)
+    + "SELECT source_file, month_ist, strftime(min(date_ist), '%b %Y') AS label, min(date_ist) AS min_date, "
+    "max(date_ist) AS max_date FROM readings GROUP BY ALL",
+    "snapshot_correlation": with_(EVENTS, IN_RANGE, in_range(HOURLY))
+    + "SELECT 'CH4 vs CO2/(CO+CO2)' AS pair, *, CAST(6 AS INTEGER) AS fit_start_hour, CAST(18 AS INTEGER) AS fit_end_hour FROM ("
+    + pair("co2_over_co_plus_co2", "ch4_sync", "frame", where=FIT)
+    + ")",
+    "snapshot_diurnal": with_(EVENTS, IN_RANGE, in_range(MATRIX))
+    + f"SELECT hour_ist, {r('mean', 'mean')}, {r('median', 'median')}, {r('std', 'std')}, "
+    f"{r('mean + std', 'upper')}, {r('mean - std', 'lower')} FROM by_hour",
+    "snapshot_daily": with_(EVENTS, IN_RANGE, in_range(MATRIX))
+    + f"SELECT date_ist, strftime(date_ist, '%d/%m') AS label, {r('mean', 'mean')}, {r('median', 'median')} FROM by_day",
+    "snapshot_hourly": with_(EVENTS, IN_RANGE, in_range(HOURLY))
+    + f"SELECT hour_start_ist AS datetime_ist, {r('co2_sync', 'co2_sync')} FROM filled WHERE co2_sync IS NOT NULL",
+    "snapshot_heatmap": with_(EVENTS, IN_RANGE, in_range(MATRIX))
+    + f"SELECT count(v) AS cells, {r('min(v)', 'min')}, {r('avg(v)', 'mean')}, {r('max(v)', 'max')} FROM cells",
+    "snapshot_daily_by_source": with_(EVENTS, IN_RANGE, in_range(MATRIX_BY))
+    + f"SELECT source_file, date_ist, strftime(date_ist, '%d/%m') AS label, {r('mean', 'mean')}, {r('median', 'median')} FROM by_day",
+    "log_rows": with_(LOG_LINES)
+    + 'SELECT source_file, line_no, "DATE", "TIME", "CO_sync", "CO2_sync", "CH4_sync" FROM lines WHERE event_type <> \'signup\'',
+    "log_headers": "SELECT DISTINCT event_type || '/' || strftime(ts, '%Y-%m-%d') AS path, event_type <> 'signup' AS readable FROM events",
+    "log_counts": "SELECT 'half=' || half || '/station=' || event_type AS folder, "
+    "count(DISTINCT CAST(ts AS DATE)) FILTER (CASE WHEN day(ts) % 2 = 1 THEN 'odd' ELSE 'even' END = half) AS files "
+    "FROM events, (VALUES ('odd'), ('even')) h(half) GROUP BY half, event_type",
+    "import_store": with_(IMPORTED, qc_chain(TIGHT, SOURCE), wide_qc(SOURCE))
+    + f"SELECT {QC_IMPORTED}, CAST(year(datetime_ist) AS INTEGER) AS year, CAST(month(datetime_ist) AS INTEGER) AS month FROM clean",
+    "import_hourly_sql": with_(IMPORTED, qc_chain(TIGHT, SOURCE), wide_qc(SOURCE))
+    + f"SELECT source_file AS series_id, hour_start_ist, {', '.join(r(f'avg({g})', g) for g in GASES)} FROM clean "
+    f"WHERE {BETWEEN} AND COALESCE(co_sync, co2_sync, ch4_sync) IS NOT NULL GROUP BY ALL",
+    "file_overlaps": with_(
+        ORDERS,
+        """files AS (
+      SELECT source_file || '-' || CAST(co_sync AS BIGINT) AS path, source_file || '-' || CAST(co_sync % 100 AS BIGINT) AS series_id,
+             min(datetime_utc) AS first_utc, max(datetime_utc) AS last_utc FROM readings GROUP BY ALL)""",
+    )
+    + "SELECT a.path, b.path AS beside FROM files a JOIN files b USING (series_id) "
+    "WHERE a.path <> b.path AND a.first_utc <= b.last_utc AND b.first_utc <= a.last_utc",
+    "catalog_last_import": with_(FOUND)
+    + "SELECT count(*) AS files, CAST(sum(length) AS BIGINT) AS bytes, "
+    "CASE max(turn) WHEN 2 THEN TIMESTAMP '2024-07-01' ELSE TIMESTAMP '2024-06-01' END AS last_import FROM latest",
+}
+
 for suffix, settings in (("", DEFAULT), ("_tight", TIGHT)):
     z = ("hourly_robust_z",)
     ORACLES |= {

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
-from datetime import date, timedelta
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aeroseries.config import GASES, PAIRS, QcConfig, ScaleLimits
-from aeroseries.functions.lineage import cut_lineage
+from aeroseries.config import GASES, PAIRS, REQUIRED_COLUMNS, QcConfig, ScaleLimits
+from aeroseries.functions.files import delete_on_exit
+from aeroseries.functions.lineage import checkpoint_dir, cut_lineage
 from aeroseries.operators import correlation, diurnal, hourly, ranges, report, standardize
 from aeroseries.operators import quality_control as qc
 from aeroseries.plans import batch, views
 from aeroseries.sources import catalog, logs, store
+from aeroseries.streaming import imports
 from checks.fixtures import (
     FIT_HOURS,
     GAS,
@@ -21,10 +24,13 @@ from checks.fixtures import (
     WIDE_RANGE,
     file_manifest,
     found_files,
+    log_texts,
     order_readings,
     raw_rows,
     readings,
+    table,
     with_copies,
+    write_logs,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,7 +39,6 @@ DEFAULT = QcConfig()
 #: The forms for hours too busy to gather and too many to broadcast.
 SPREAD = ScaleLimits(rows_per_hour=1, broadcast_hours=0)
 TIGHT = QcConfig(point_spike_z=3.0, hourly_spike_z=1.5, sustained_shift_min_hours=1)
-JANUARY = [date(2024, 1, 1) + timedelta(days=i) for i in range(31)]
 PAIR = ("co2_sync", "ch4_sync")
 RATIO_PAIR = PAIRS["CH4 vs CO2/(CO+CO2)"]
 
@@ -203,6 +208,98 @@ def process_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.process_batch(raw_rows(spark, sf_dir))
 
 
+# Instruments: the event type tells them apart
+
+BY = ("source_file",)
+
+
+def quality_control_by_source(df: DataFrame) -> DataFrame:
+    return qc.apply_quality_control(df, TIGHT, BY)
+
+
+def by_source_view(name: str, part: str) -> Query:
+    view = getattr(views, f"{name}_view")
+    return on_events(lambda df: getattr(view(df, GAS, by=BY), part))
+
+
+def qc_degenerate(df: DataFrame) -> DataFrame:
+    """No CO that is valid, and CH4 that is always missing."""
+    broken = df.withColumns({"co_sync_raw": F.lit(-1.0), "ch4_sync_raw": F.lit(None).cast("double")})
+    return qc.apply_quality_control(broken, TIGHT)
+
+
+# Logs and imports
+
+
+def scratch_folder(spark: SparkSession, kind: str) -> str:
+    folder = f"{checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    delete_on_exit(spark, folder)
+    return folder
+
+
+def log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = logs.data_rows(logs.whole_file_rows(log_texts(spark, sf_dir)))
+    return rows.select("source_file", F.col("line_no").cast("long").alias("line_no"), *REQUIRED_COLUMNS)
+
+
+def log_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which logs can be read."""
+    texts = log_texts(spark, sf_dir)
+    files, lines = texts.select("path"), logs.whole_file_rows(texts)
+    good = logs.readable_files(files, lines).withColumn("readable", F.lit(True))
+    return good.unionByName(logs.rejected_files(files, lines).withColumn("readable", F.lit(False)))
+
+
+def log_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files below each instrument's folder."""
+    folder = scratch_folder(spark, "logs")
+    write_logs(spark, sf_dir, folder)
+    stations = [row[0] for row in table(spark, sf_dir, "events").select("event_type").distinct().collect()]
+    roots = [f"{folder}/half={half}/station={station}" for half in ("odd", "even") for station in stations]
+    name = F.regexp_extract("folder", r"half=(\w+)/station=(\w+)", 0)
+    return logs.count_files(spark, roots).select(name.alias("folder"), "files")
+
+
+def imported(spark: SparkSession, sf_dir: str) -> store.GasStore:
+    """Log files brought in by days, odd ones first, into a store with four buckets of instruments."""
+    folder = scratch_folder(spark, "logs")
+    write_logs(spark, sf_dir, folder)
+    target = store.GasStore(spark, scratch_folder(spark, "store"), series_buckets=4)
+    manifest = catalog.Manifest(spark, scratch_folder(spark, "manifest"))
+    for half in ("odd", "even"):
+        imports.import_folders(target, manifest, [f"{folder}/half={half}"], TIGHT, series_pattern=r"station=(\w+)/")
+    return target
+
+
+def import_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imported(spark, sf_dir).raw().drop("source_file", "series_bucket")
+
+
+def import_hourly_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL over the hourly means of an imported store, by a date alone."""
+    return imported(spark, sf_dir).query(
+        "SELECT series_id, hour_start_ist, co_sync, co2_sync, ch4_sync FROM readings_hourly WHERE date_ist BETWEEN :first AND :last",
+        {"first": date.fromisoformat(RANGE[0]), "last": date.fromisoformat(RANGE[1])},
+    )
+
+
+def file_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders seen as files of each customer: those whose time overlaps another of the customer's status."""
+    rows = order_readings(spark, sf_dir).select(
+        F.concat_ws("-", "source_file", F.col("co_sync").cast("long")).alias("source_file"),
+        F.concat_ws("-", "source_file", (F.col("co_sync") % 100).cast("long")).alias("series_id"),
+        "datetime_utc",
+    )
+    spans = catalog.file_spans(rows)
+    return catalog.overlapping_files(spans, spans)
+
+
+def catalog_last_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = catalog.latest_entries(file_manifest(spark, sf_dir))
+    last = file_manifest(spark, sf_dir).agg(F.max("processed_at").cast("timestamp_ntz").alias("last_import"))
+    return entries.agg(F.count("*").alias("files"), F.sum("length").alias("bytes")).crossJoin(last)
+
+
 # Views
 
 
@@ -210,9 +307,17 @@ def correlation_view(df: DataFrame) -> DataFrame:
     return views.correlation_view(df, "CH4 vs CO2/(CO+CO2)", *FIT_HOURS).stats
 
 
+STATE = views.FilterState(
+    date.fromisoformat(RANGE[1]), date.fromisoformat(RANGE[0]), "CH4 vs CO2/(CO+CO2)", *FIT_HOURS, *[GAS] * 4
+)
+
+
 def snapshot_summary(df: DataFrame) -> DataFrame:
-    state = views.FilterState(date.fromisoformat(RANGE[1]), date.fromisoformat(RANGE[0]))
-    return views.snapshot(hourly.hourly_preaggregate(df).withColumn("datetime_ist", F.col("hour_start_ist")), state).summary
+    return views.snapshot(hourly.hourly_preaggregate(df).withColumn("datetime_ist", F.col("hour_start_ist")), STATE).summary
+
+
+def snapshot_of(pick: Callable[[views.Snapshot], DataFrame], by: Sequence[str] = ()) -> Query:
+    return on_events(lambda df: pick(views.snapshot(df, STATE, by)))
 
 
 QUERIES: dict[str, Query] = {
@@ -297,6 +402,35 @@ QUERIES: dict[str, Query] = {
     "heatmap_cells": on_events(lambda df: views.heatmap_view(df, GAS).table),
     "heatmap_summary": on_events(lambda df: views.heatmap_view(df, GAS).summary),
     "profile_series": on_events(views.profile_series),
+    "quality_control_by_source": on_events(quality_control_by_source),
+    "quality_report_by_source": on_events(lambda df: report.quality_report(quality_control_by_source(df), BY)),
+    "qc_degenerate": on_events(qc_degenerate),
+    "hourly_filled_by_source": on_events(lambda df: hourly.hourly_mean_timeseries(df, by=BY)),
+    "correlation_by_source": on_events(lambda df: views.correlation_view(df, "CH4 vs CO2", *FIT_HOURS, by=BY).stats),
+    "fit_line_by_source": on_events(lambda df: views.correlation_view(df, "CH4 vs CO2", *FIT_HOURS, by=BY).line),
+    "diurnal_by_source": by_source_view("diurnal", "table"),
+    "diurnal_summary_by_source": by_source_view("diurnal", "summary"),
+    "daily_by_source": by_source_view("daily", "table"),
+    "daily_summary_by_source": by_source_view("daily", "summary"),
+    "hourly_summary_by_source": by_source_view("hourly", "summary"),
+    "heatmap_summary_by_source": by_source_view("heatmap", "summary"),
+    "profile_by_source": on_events(lambda df: views.profile_series(df, BY)),
+    "monthly_diurnal_by_source": on_orders(lambda df: views.monthly_diurnal_series(df, GAS, BY)),
+    "correlation_monthly_by_source": on_orders(lambda df: correlation.monthly_correlation_summary(df, BY)),
+    "available_months_by_source": on_orders(lambda df: report.available_months(df, BY)),
+    "snapshot_correlation": snapshot_of(lambda shot: shot.views["correlation"].stats),
+    "snapshot_diurnal": snapshot_of(lambda shot: shot.views["diurnal"].table),
+    "snapshot_daily": snapshot_of(lambda shot: shot.views["daily"].table),
+    "snapshot_hourly": snapshot_of(lambda shot: shot.views["hourly"].table),
+    "snapshot_heatmap": snapshot_of(lambda shot: shot.views["heatmap"].summary),
+    "snapshot_daily_by_source": snapshot_of(lambda shot: shot.views["daily"].table, BY),
+    "log_rows": log_rows,
+    "log_headers": log_headers,
+    "log_counts": log_counts,
+    "import_store": import_store,
+    "import_hourly_sql": import_hourly_sql,
+    "file_overlaps": file_overlaps,
+    "catalog_last_import": catalog_last_import,
     "snapshot_summary": on_events(snapshot_summary),
 }
 

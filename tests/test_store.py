@@ -1,10 +1,11 @@
 from __future__ import annotations
 
 from datetime import date, timedelta
+from pathlib import Path
 
 import pytest
 
-from aeroseries.config import GASES
+from aeroseries.config import GASES, ScaleLimits
 from aeroseries.operators.quality_control import apply_quality_control
 from aeroseries.plans.batch import run
 from aeroseries.sources.store import GasStore, write_table
@@ -92,6 +93,48 @@ def test_parameterized_sql(store):
         store.query("SELECT * FROM nowhere").collect()
 
 
+def test_sql_on_a_date_opens_its_month_alone(spark, store):
+    store.register_views()
+    plan = plan_of(spark.sql("SELECT count(*) FROM readings WHERE date_ist = DATE '2025-11-05'"))
+    assert "dynamicpruning" in plan.split("PartitionFilters:")[1].split("]")[0]
+    # A month that is opened would be found broken.
+    for file in store.raw().inputFiles():
+        if "/month=12/" in file:
+            Path(file.removeprefix("file://")).write_bytes(b"broken")
+    for name in Path(store.raw_path).glob("year=*/month=12/*/.*.crc"):
+        name.unlink()
+    assert store.query("SELECT count(*) AS n FROM readings WHERE date_ist = :day", {"day": date(2025, 11, 5)}).first().n == 8
+    with pytest.raises(Exception, match="(?i)parquet"):
+        store.query("SELECT sum(co_sync) FROM readings").collect()
+
+
+def test_a_rebuild_leaves_the_version_in_force_readable(spark, store):
+    store.rebuild_hourly()
+    before = store.hourly()
+    store.save_batch(clean_rows(spark, 1, START + timedelta(days=100)))
+    store.rebuild_hourly()
+    assert (before.count(), store.hourly().count()) == (560, 568)
+    # What a rebuild that failed has left does not count.
+    broken = Path(store.hourly_path) / "version=000009" / "year=2025"
+    broken.mkdir(parents=True)
+    assert store.hourly().count() == 568
+    store.rebuild_hourly()
+    assert len([p for p in Path(store.hourly_path).iterdir() if (p / "_SUCCESS").exists()]) == 2
+
+
+def test_large_cells_are_several_files_and_full_files_are_left_alone(spark, tmp_path):
+    small = GasStore(spark, str(tmp_path / "s"), ScaleLimits(target_file_bytes=20_000))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4096")
+    try:
+        small.save_batch(clean_rows(spark, 300))
+        assert len(small.raw().inputFiles()) > len(small.cells_of(small.raw_path))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    rows = small.raw().count()
+    small.compact()
+    assert small.fragmented_cells().count() == 0 and small.raw().count() == rows
+
+
 def test_write_table(spark, tmp_path):
     df = spark.createDataFrame([(1, "x")], "a int, b string")
     assert spark.read.parquet(write_table(df, str(tmp_path / "t.parquet"))).collect() == [(1, "x")]

@@ -23,7 +23,16 @@ from aeroseries.operators.hourly import (
 )
 from aeroseries.operators.ranges import clamp_range, default_day, filter_by_hours, full_range, resolve_range
 from aeroseries.operators.report import quality_report, summarize
-from aeroseries.plans.views import FilterState, correlation_view, hourly_view, snapshot
+from aeroseries.plans.views import (
+    FilterState,
+    correlation_view,
+    daily_view,
+    diurnal_view,
+    heatmap_view,
+    hourly_view,
+    snapshot,
+    view_base,
+)
 from tests.helpers import START, make_readings
 
 SAMPLE = [
@@ -112,10 +121,10 @@ def test_ratios_need_a_positive_sum(spark):
 
 def test_correlation_view(sample):
     view = correlation_view(sample, "CH4 vs CO2/(CO+CO2)", 23, 0)
-    assert (view.fit_start_hour, view.fit_end_hour, view.fit_label) == (0, 23, "all hours 00-23")
+    assert (view.fit_start_hour, view.fit_end_hour) == (0, 23)
     assert (view.x, view.y) == PAIRS["CH4 vs CO2/(CO+CO2)"]
     assert view.stats.first().n == 3 and view.points.count() == 3 and view.line.count() == 2
-    assert correlation_view(sample, "CO vs CO2", 6, 5).fit_label == "hours 05-06 IST"
+    assert correlation_view(sample, "CO vs CO2", 6, 5).stats.first().fit_end_hour == 6
 
 
 def test_ranges(sample):
@@ -143,11 +152,11 @@ def test_hourly_view_counts_gaps_but_does_not_draw_them(sample):
 def test_snapshot(sample):
     shot = snapshot(sample, FilterState(date(2025, 11, 1), date(2030, 1, 1)))
     row = shot.summary.first()
-    assert (row.row_count, row.range_label, row.has_data) == (4, "01/11/2025 to 02/11/2025", True)
+    assert (row.row_count, row.start_date, row.end_date, row.has_data) == (4, date(2025, 11, 1), date(2025, 11, 2), True)
     assert set(shot.views) == {"correlation", "diurnal", "daily", "hourly", "heatmap"}
     assert shot.views["daily"].summary.first().days == 2
     one_day = snapshot(sample, FilterState(date(2020, 1, 1), date(2025, 11, 1))).summary.first()
-    assert (one_day.row_count, one_day.range_label) == (3, "01/11/2025")
+    assert (one_day.row_count, one_day.end_date) == (3, date(2025, 11, 1))
 
 
 def test_quality_report_without_flags_counts_repeated_times(sample):
@@ -156,3 +165,48 @@ def test_quality_report_without_flags_counts_repeated_times(sample):
     assert rows["co_sync"].clean_missing == 5 and rows["co_sync"].clean_missing_pct == 100.0
     assert rows["co_sync"].hard_flags == 0 and rows["co_sync"].clean_mean is None
     assert rows["datetime_utc"].duplicate_rows == 1 and rows["datetime_utc"].rows == 5
+
+
+def scans(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("FileScan"), plan.count("Scan ExistingRDD")
+
+
+def test_one_scan_for_filled_hours_and_none_for_views(spark, sample, tmp_path):
+    sample.write.parquet(str(tmp_path / "sample"))
+    stored = spark.read.parquet(str(tmp_path / "sample"))
+    assert scans(hourly_mean_timeseries(stored))[0] == 1
+    assert scans(view_base(stored)) == (1, 0)
+    shot = snapshot(stored, FilterState(date(2025, 11, 1), date(2025, 11, 2)))
+    tables = [shot.summary, *(t for v in shot.views.values() for t in ([v.stats, v.points, v.line] if hasattr(v, "stats") else [v.table, v.summary]))]
+    # The readings were scanned when the sums were made; the views read the sums.
+    assert len(tables) == 12 and all(scans(table) == (0, 1) for table in tables)
+
+
+def test_views_of_a_snapshot_are_the_views_of_its_rows(sample):
+    shot = snapshot(sample, FilterState(date(2025, 11, 1), date(2025, 11, 2)))
+    alone = {
+        "diurnal": diurnal_view(sample, "co2_sync"), "daily": daily_view(sample, "co2_sync"),
+        "hourly": hourly_view(sample, "co2_sync"), "heatmap": heatmap_view(sample, "co2_sync"),
+    }
+    for name, view in alone.items():
+        for part in ("table", "summary"):
+            found, expected = getattr(shot.views[name], part), getattr(view, part)
+            assert found.columns == expected.columns
+            assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, expected.collect()), key=repr)
+
+
+def test_long_gap_is_unrolled_in_parts(spark):
+    rows = [(START, 1.0, 1.0, 1.0), (START + timedelta(hours=2345), 2.0, None, 2.0), (START + timedelta(hours=2346), 3.0, 3.0, 3.0)]
+    hours = hourly_mean_timeseries(make_readings(spark, rows)).orderBy("hour_start_ist").collect()
+    assert len(hours) == 2347 and [r.co_sync for r in hours if r.co_sync] == [1.0, 2.0, 3.0]
+    assert all((b.hour_start_ist - a.hour_start_ist) == timedelta(hours=1) for a, b in zip(hours, hours[1:]))
+    assert hourly_mean_timeseries(make_readings(spark, rows[:0])).count() == 0
+
+
+def test_views_by_instrument(spark, sample):
+    both = sample.withColumn("source_file", F.lit("one")).unionByName(sample.withColumns({"source_file": F.lit("two"), "co2_sync": F.col("co2_sync") + 1}))
+    view = daily_view(both, "co2_sync", ["source_file"])
+    assert view.table.columns[0] == "source_file" and view.table.count() == 2 * daily_view(sample, "co2_sync").table.count()
+    means = {r.source_file: r.avg_mean for r in view.summary.collect()}
+    assert means["two"] == pytest.approx(means["one"] + 1)
