@@ -10,11 +10,7 @@ instead of a thousand. Where variants collide and one of them lies within one bi
 there are verified against it and linked to it: a chain, never all pairs. Components of the links are found by rounds
 of pointer jumping over checkpointed tables.
 
-``keep_one`` finds texts of a given similarity instead: the exact Jaccard similarity of their sets of shingles decides.
-Candidates come from fingerprints of 256 bits: balls of one bit around parts of 32 bits, so that parts two bits apart meet,
-and a limit on all bits that is wide enough for nearly all pairs. What hangs together by candidates is then searched as a
-whole, so a pair that is no candidate itself is compared too where others connect it. Only the meeting of candidates is
-left to chance: by a model with independent bits it is 0.97 for a lone pair at 0.80 exactly, 0.99 at 0.82.
+``keep_one`` leaves one document of each component.
 
 Defined cases: a null text has no words; a text without words has fingerprint zero; equal fingerprints are linked; rows
 that repeat an id get that id's rows' component each; a null id is kept, and counts as larger than all others; an empty
@@ -23,7 +19,6 @@ table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -34,7 +29,7 @@ from pyspark.sql import functions as F
 
 from aeroseries.functions.lineage import cut_lineage
 from aeroseries.llm.components import connected_components
-from aeroseries.llm.words import LOWERED, chunks, find_words, mix, utf8
+from aeroseries.llm.words import chunks, utf8
 
 BITS = 64
 #: Distinct fingerprints that should meet in one group.
@@ -42,22 +37,6 @@ GROUP_FINGERPRINTS = 4_000
 #: Variants spread out at once in a group.
 _VARIANTS_AT_ONCE = 4_000_000
 _ONE = np.uint64(1)
-_SET = np.uint64(0xA24BAED4963EE407)
-
-#: Similarity of the word shingles from which documents are near-duplicates.
-SIMILARITY = 0.8
-#: 64-bit words of a wide fingerprint.
-WIDE_WORDS = 4
-_WIDE = [f"f{k}" for k in range(WIDE_WORDS)]
-PART_BITS = 32
-#: The bytes of a wide fingerprint that make up each part; two parts share two bytes at most.
-PARTS = np.array([[4 * ((i + step * j) % 8) + j for j in range(4)] for step in range(8) for i in range(8)])
-#: Candidates may lie so many deviations beyond the bits expected of the least similarity.
-DEVIATIONS = 3
-#: Distinct wide fingerprints that should meet in one group.
-NEAR_GROUP = 32_000
-#: Shingles counted in one go; a counter has 16 bits.
-_SPAN = 1 << 15
 
 
 def fingerprints_of(texts: list[bytes], width: int) -> np.ndarray:
@@ -234,277 +213,9 @@ def components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", w
     return known.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def shingle_sets_of(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ``width``-word shingles of each text as hashes, text after text, and how many each text has."""
-    words = find_words(texts, LOWERED)
-    sizes = np.minimum(np.diff(words.first), width)
-    text = words.text_of()
-    hashes = np.zeros(len(text), dtype=np.uint64)
-    whole = np.zeros(len(text), dtype=bool)
-    for size in np.unique(sizes[sizes > 0]).tolist():
-        found, inside = words.windows(size)
-        own = inside & (sizes[text] == size)
-        hashes[own], whole[own] = found[own], True
-    text, hashes = text[whole], hashes[whole]
-    order = np.lexsort((hashes, text))
-    text, hashes = text[order], hashes[order]
-    new = np.append(True, (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1]))[: len(text)]
-    return hashes[new], np.bincount(text[new], minlength=len(texts))
-
-
-def set_names(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A number for each set of shingles, the same for equal sets."""
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(hashes ^ _SET), dtype=np.uint64)])
-    ends = np.cumsum(counts)
-    return mix(sums[ends] - sums[ends - counts] + counts.astype(np.uint64)).view(np.int64)
-
-
-def wide_fingerprints_of(texts: list[bytes], width: int) -> np.ndarray:
-    """SimHash of ``WIDE_WORDS`` 64-bit words of each text, one row each, from its set of ``width``-word shingles."""
-    return _wide_fingerprints(*shingle_sets_of(texts, width))
-
-
-def _wide_fingerprints(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    n_texts = len(counts)
-    # Four counters share a word, so no stretch may be longer than a counter can count.
-    n_spans = -(-counts // _SPAN)
-    owner = np.repeat(np.arange(n_texts), n_spans)
-    nth = np.arange(len(owner)) - np.repeat(np.cumsum(n_spans) - n_spans, n_spans)
-    ends = np.cumsum(counts)
-    begin = (ends - counts)[owner] + nth * _SPAN
-    end = np.minimum(begin + _SPAN, ends[owner])
-    out = np.zeros((n_texts, WIDE_WORDS), dtype=np.uint64)
-    sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
-    for k in range(WIDE_WORDS):
-        mixed = mix(hashes + np.uint64((k + 1) * 0xD1B54A32D192ED03 & (2**64 - 1)))
-        for shift in range(16):
-            np.cumsum((mixed >> np.uint64(shift)) & np.uint64(0x0001000100010001), out=sums[1:])
-            spans = sums[end] - sums[begin]
-            for lane in range(0, BITS, 16):
-                ones = np.bincount(owner, (spans >> np.uint64(lane)) & np.uint64(0xFFFF), minlength=n_texts)
-                out[:, k] |= (2 * ones > counts).astype(np.uint64) << np.uint64(lane + shift)
-    return out
-
-
-def wide_fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
-    """Rows (doc_id, h, f0, f1, ...): a number for the set of shingles, and the words of its fingerprint as signed numbers."""
-    names = ["doc_id", "h", *_WIDE]
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = utf8(batch.column(1))
-            for start, end in chunks(texts):
-                sets = shingle_sets_of(texts[start:end], width)
-                found = _wide_fingerprints(*sets).view(np.int64)
-                columns = [pa.array(set_names(*sets)), *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(WIDE_WORDS))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), *columns], names=names)
-
-    named = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return named.mapInArrow(hashed, ", ".join(f"{name} bigint" for name in names))
-
-
-def farthest(similarity: float) -> int:
-    """Bits in which candidates may differ: what texts of this Jaccard similarity are expected to, and some deviations."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    n_bits = WIDE_WORDS * BITS
-    return round(share * n_bits + DEVIATIONS * math.sqrt(n_bits * share * (1 - share)))
-
-
-def _sweep(fps: np.ndarray, met: np.ndarray, rows: np.ndarray, far: int) -> Iterator[np.ndarray]:
-    """Links (row << 32 | row) that join all rows connected at a value; ``met`` has the value of each row, in order."""
-    starts = np.flatnonzero(np.append(True, met[1:] != met[:-1])) if len(met) else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(starts, len(met)))
-    spot = np.repeat(np.arange(len(starts)), sizes)
-    several = sizes[spot] > 1
-    # Rows not reached yet, and reached ones that have not had their turn, both by value.
-    left, left_at = rows[several], spot[several]
-    waiting, waiting_at = left[:0], left_at[:0]
-    while len(left):
-        # Values where nobody waits go on with their first row.
-        idle = np.append(True, left_at[1:] != left_at[:-1]) & ~np.isin(left_at, waiting_at)
-        waiting = np.concatenate([waiting, left[idle]])
-        waiting_at = np.concatenate([waiting_at, left_at[idle]])
-        left, left_at = left[~idle], left_at[~idle]
-        order = np.argsort(waiting_at, kind="stable")
-        waiting, waiting_at = waiting[order], waiting_at[order]
-        first = np.searchsorted(left_at, waiting_at)
-        n_left = np.searchsorted(left_at, waiting_at, side="right") - first
-        # Nothing is left to reach at their value.
-        waiting, waiting_at, first, n_left = (part[n_left > 0] for part in (waiting, waiting_at, first, n_left))
-        if not len(waiting):
-            # Every value has used up its rows, or has one row alone.
-            continue
-        # One row a value, and more where few are left; together no more pairs than are spread out at once.
-        nth = np.arange(len(waiting)) - np.searchsorted(waiting_at, waiting_at)
-        turn = nth < np.maximum(1, 1_024 // n_left)
-        turn &= (np.cumsum(n_left * turn) <= _VARIANTS_AT_ONCE) | (np.arange(len(turn)) == 0)
-        n_mine, begin = n_left[turn], first[turn]
-        at = np.repeat(begin, n_mine) + np.arange(n_mine.sum()) - np.repeat(np.cumsum(n_mine) - n_mine, n_mine)
-        heads = np.repeat(waiting[turn], n_mine)
-        near = np.bitwise_count(fps[heads] ^ fps[left[at]]).sum(axis=1) <= far
-        heads, at = heads[near], at[near]
-        yield np.unique(heads << 32 | left[at])
-        reached = np.zeros(len(left), dtype=bool)
-        reached[at] = True
-        waiting = np.concatenate([waiting[~turn], left[reached]])
-        waiting_at = np.concatenate([waiting_at[~turn], left_at[reached]])
-        left, left_at = left[~reached], left_at[~reached]
-
-
-def near_links_in_group(fps: np.ndarray, part: int, group: int, n_route: int, far: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (row, row of a smaller number) between fingerprints that share a variant of the part in this group.
-
-    Each row stands for its part's value and all values one bit away, so values two bits apart meet. Rows at one value are
-    searched breadth first: rows are compared with those not reached yet, and those near enough are linked and have their own
-    turn in a later round. So whatever hangs together at a value is linked, and a crowd of near rows costs one round.
-    """
-    n = len(fps)
-    values = np.ascontiguousarray(fps.view(np.uint8).reshape(n, -1)[:, PARTS[part]]).view("<u4").ravel()
-    away = (values ^ np.uint32(group)) & np.uint32((1 << n_route) - 1)
-    home = np.flatnonzero(away == 0).astype(np.uint32)
-    guests = np.flatnonzero(away).astype(np.uint32)
-    flips = [0, *(1 << bit for bit in range(n_route, PART_BITS))]
-    parts = 1 + (len(home) * len(flips) + len(guests)) // _VARIANTS_AT_ONCE
-    pairs = []
-    for nth in range(parts):
-        keys = []
-        for rows, flip in [(guests, away[guests]), *((home, np.uint32(flip)) for flip in flips)]:
-            met = values[rows] ^ flip
-            mine = (met * np.uint32(0x9E3779B1) >> np.uint32(12)) % np.uint32(parts) == nth
-            keys.append(met[mine].astype(np.uint64) << np.uint64(32) | rows[mine])
-        keys = np.sort(np.concatenate(keys))
-        met, rows = keys >> np.uint64(32), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        pairs.extend(_sweep(fps, met, rows, far))
-    parent = list(range(n))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for pair in np.unique(np.concatenate([np.zeros(0, np.int64), *pairs])).tolist():
-        i, j = root(pair >> 32), root(pair & 0xFFFFFFFF)
-        if i != j:
-            parent[max(i, j)] = min(i, j)
-    roots = np.array([root(i) for i in range(n)], dtype=np.int64)
-    linked = np.flatnonzero(roots != np.arange(n))
-    return linked, roots[linked]
-
-
-def near_links(distinct: DataFrame, similarity: float) -> DataFrame:
-    """Rows (a, b) of the numbers ``h`` of near fingerprints; ``distinct`` has one row (h, f0, f1, ...) for each."""
-    far = farthest(similarity)
-    n_route = min(16, max(0, math.ceil(math.log2(max(1, distinct.count()) / NEAR_GROUP))))
-
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.stack([batch.column(1 + k).to_numpy().view(np.uint64) for k in range(WIDE_WORDS)], axis=1)
-            cells = fps.view(np.uint8)
-            for part, places in enumerate(PARTS):
-                own = np.ascontiguousarray(cells[:, places]).view("<u4").ravel() & np.uint32((1 << n_route) - 1)
-                for flip in [0, *(1 << bit for bit in range(n_route))]:
-                    key = (own ^ np.uint32(flip)).astype(np.int64) + (part << 32)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), *batch.columns], names=["key", *batch.schema.names])
-
-    def in_group(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("h")
-        fps = np.stack([rows.column(name).to_numpy().view(np.uint64) for name in _WIDE], axis=1)
-        part, group = divmod(key[0].as_py(), 1 << 32)
-        a, b = near_links_in_group(fps, part, group, n_route, far)
-        h = rows.column("h").to_numpy()
-        return pa.table({"a": pa.array(h[a]), "b": pa.array(h[b])})
-
-    columns = ", ".join(f"{name} bigint" for name in ("key", "h", *_WIDE))
-    routed = distinct.select("h", *_WIDE).mapInArrow(dealt, columns)
-    return routed.groupBy("key").applyInArrow(in_group, "a bigint, b bigint")
-
-
-def similar_in_group(tokens: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
-    """For each set the first set that it reaches over pairs of this Jaccard similarity; sets stand one after another.
-
-    Sets are searched breadth first and leave once they are reached, so a crowd of near copies costs about one comparison
-    each. Similarities are exact.
-    """
-    n = len(counts)
-    names, token = np.unique(tokens, return_inverse=True)
-    ends = np.cumsum(counts)
-    reached = np.arange(n)
-    left = np.ones(n, dtype=bool)
-    # Tokens of the sets that are left, with their sets; thinned out whenever half of them are gone.
-    rest, owner = token, np.repeat(np.arange(n), counts)
-    mine = np.zeros(len(names), dtype=bool)
-    n_left = n_there = n
-    for head in range(n):
-        if not left[head]:
-            continue
-        left[head] = False
-        n_left -= 1
-        queue = [head]
-        while queue and n_left:
-            one = queue.pop()
-            if 2 * n_left <= n_there:
-                there = left[owner]
-                rest, owner, n_there = rest[there], owner[there], n_left
-            own = token[ends[one] - counts[one] : ends[one]]
-            mine[own] = True
-            both = np.bincount(owner[mine[rest]], minlength=n)
-            mine[own] = False
-            # An exact quotient must not fail by the last bit of the product.
-            near = np.flatnonzero(left & (both > 0) & (both >= similarity * (counts[one] + counts - both) - 1e-9))
-            left[near], reached[near] = False, head
-            n_left -= len(near)
-            queue.extend(near.tolist())
-    return reached
-
-
-def _similar(docs: DataFrame, least: DataFrame, loose: DataFrame, similarity: float, doc_id: str, text: str, width: int) -> DataFrame:
-    """Rows (node, component) of the sets that are similar to others: ``loose`` groups of candidates, taken apart exactly."""
-    asked = least.join(loose, F.col("h") == F.col("node")).select("least", "h", "component")
-    own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    bodies = own.join(asked, F.col("doc_id").eqNullSafe(F.col("least"))).select("text", "h", "component")
-
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = utf8(batch.column(0))
-            for start, end in chunks(texts):
-                hashes, counts = shingle_sets_of(texts[start:end], width)
-                part = batch.slice(start, end - start)
-                # Other rows of the same id may hold other texts.
-                meant = pa.array(set_names(hashes, counts) == part.column(1).to_numpy())
-                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                sets = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.view(np.int64)))
-                found = pa.RecordBatch.from_arrays([part.column(1), part.column(2), sets], names=["h", "component", "shingles"])
-                yield found.filter(meant)
-
-    def in_group(rows: pa.Table) -> pa.Table:
-        h, at = np.unique(rows.column("h").to_numpy(), return_index=True)
-        sets = rows.column("shingles").take(pa.array(at)).combine_chunks()
-        counts = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        reached = similar_in_group(sets.flatten().to_numpy().view(np.uint64), counts, similarity)
-        several = np.bincount(reached, minlength=len(h))[reached] > 1
-        return pa.table({"node": pa.array(h[several]), "component": pa.array(h[reached[several]])})
-
-    sets = bodies.mapInArrow(shingled, "h bigint, component bigint, shingles array<bigint>")
-    return sets.groupBy("component").applyInArrow(in_group, "node bigint, component bigint")
-
-
-def keep_one(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = SIMILARITY
-) -> DataFrame:
-    """The documents with the smallest id of their group, whole rows; of rows that repeat this id all are kept.
-
-    Groups are what hangs together by pairs whose sets of ``width``-word shingles have this Jaccard similarity. Such texts
-    differ in far more bits than a 64-bit fingerprint's ball can hold. So the fingerprint is wider, balls are taken around
-    parts of it, and what meets is verified on the shingles themselves.
-    """
-    known = wide_fingerprints(docs, doc_id=doc_id, text=text, width=width)
-    firsts = (F.first(name).alias(name) for name in _WIDE)
-    smallest = cut_lineage(known.groupBy("h").agg(F.min("doc_id").alias("least"), *firsts))
-    loose = cut_lineage(connected_components(near_links(smallest, similarity)))
-    member = _similar(docs, smallest.select("h", "least"), loose, similarity, doc_id, text, width)
-    grouped = smallest.select("h", "least").join(member, F.col("h") == F.col("node"), "left")
-    heads = grouped.groupBy(F.coalesce("component", "h")).agg(F.min("least").alias("__head")).select("__head").distinct()
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
+    """The documents with the smallest id of their component, whole rows; of rows that repeat this id all are kept."""
+    heads = components(docs, doc_id=doc_id, text=text, width=width).select(F.col("component_id").alias("__head")).distinct()
     return docs.join(heads, docs[doc_id].cast("bigint").eqNullSafe(F.col("__head")), "left_semi")
 
 

@@ -323,106 +323,18 @@ def test_keep_one_of_each_group(make_docs):
     assert sorted(row.doc_id for row in kept.collect()) == [2, 2, 7]
 
 
-def test_wide_fingerprints(monkeypatch):
-    rng = random.Random(8)
-    texts = [" ".join(rng.choice("abcdefgh") for _ in range(n)).encode() for n in (0, 1, 4, 5, 6, 30, 90, 400)]
-    whole = simhash.wide_fingerprints_of(texts, 5)
-    monkeypatch.setattr(simhash, "_SPAN", 7)
-    assert (simhash.wide_fingerprints_of(texts, 5) == whole).all()
-    assert (simhash.wide_fingerprints_of([t.upper().replace(b" ", b"\n\t") for t in texts], 5) == whole).all()
-    alone = [simhash.wide_fingerprints_of([text], 5)[0].tolist() for text in texts]
-    assert alone == whole.tolist() and not whole[0].any() and whole[1:].any(axis=1).all()
-
-
-@pytest.mark.parametrize("size", [32_000, 20])
-@pytest.mark.parametrize("at_once", [4_000_000, 500])
-def test_near_links_verify_what_meets(spark, monkeypatch, size, at_once):
-    monkeypatch.setattr(simhash, "NEAR_GROUP", size)
-    monkeypatch.setattr(simhash, "_VARIANTS_AT_ONCE", at_once)
-    rng = np.random.default_rng(2)
-    bases = rng.integers(0, 2**64, (40, 4), dtype=np.uint64)
-    rows = []
-    for base in bases:
-        for n_flips in (0, 8, 16, 110):
-            bits = rng.choice(256, n_flips, replace=False)
-            flip = np.zeros(4, np.uint64)
-            for bit in bits.tolist():
-                flip[bit // 64] ^= np.uint64(1 << bit % 64)
-            rows.append(base ^ flip)
-    table = [(i, *row.view(np.int64).tolist()) for i, row in enumerate(np.array(rows))]
-    frame = spark.createDataFrame(table, "h bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
-    found = {row.node: row.component for row in connected_components(simhash.near_links(frame, 0.8)).collect()}
-    for i in range(0, len(rows), 4):
-        # Up to 24 bits apart some part of the first eight has at most two; 110 bits are far beyond the limit.
-        assert [found.get(k, k) for k in range(i, i + 4)] == [i, i, i, i + 3]
-
-
-def flipped(base, bits):
-    flip = np.zeros(4, np.uint64)
-    for bit in bits:
-        flip[bit // 64] ^= np.uint64(1 << bit % 64)
-    return base ^ flip
-
-
-@pytest.mark.parametrize("at_once", [4_000_000, 500])
-def test_near_links_of_an_outlier_in_a_large_group(monkeypatch, at_once):
-    monkeypatch.setattr(simhash, "_VARIANTS_AT_ONCE", at_once)
-    rng = np.random.default_rng(5)
-    for _ in range(6):
-        b = rng.integers(0, 2**64, 4, dtype=np.uint64)
-        # c is one bit from b in the first part and too far from all siblings, which come first.
-        own = rng.permutation(np.arange(256))
-        outside = [bit for bit in own.tolist() if bit % 64 >= 32]
-        siblings = [flipped(b, [*outside[:12], *rng.choice(outside[12:64], 10, replace=False)]) for _ in range(60)]
-        c = flipped(b, outside[64:96])
-        fps = np.array([*siblings, b, c])
-        first = np.ascontiguousarray(fps.view(np.uint8).reshape(len(fps), -1)[:, simhash.PARTS[0]]).view("<u4").ravel()
-        linked, to = simhash.near_links_in_group(fps, 0, int(first[-1]), 0, 45)
-        assert len(linked) == len(fps) - 1 and set(to.tolist()) == {0}
-
-
-def test_keep_one_takes_edited_copies(make_docs):
-    rng = random.Random(9)
-    words = [f"w{rng.randrange(5_000)}" for _ in range(300)]
-    edited = ["new" if i in (50, 200) else w for i, w in enumerate(words)]
-    other = [f"v{rng.randrange(5_000)}" for _ in range(300)]
-    rows = [(8, " ".join(words)), (3, " ".join(edited)), (4, " ".join(other)), (5, " ".join(other[:150] + words[:150])), *EDGES]
-    kept = rows_of(simhash.keep_one(make_docs(rows)).select("doc_id"))
-    # Texts without words are one group, and so are the equal rows.
-    assert kept == sorted([(i,) for i, _ in rows if i in (1, 3, 4, 5, None)], key=repr)
+def test_keep_one_leaves_the_first_of_each_component(make_docs):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(200))) for i in range(20)]
+    rows += [(100 + i, text.upper().replace(" ", "\n")) for i, text in rows[:7]] + [(-3, rows[4][1]), (200, None), (201, " ")]
+    docs = make_docs(rows)
+    found = {row.doc_id: row.component_id for row in simhash.components(docs).collect()}
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert {row.doc_id for row in kept.collect()} == set(found.values()) == {*range(20), -3, 200} - {4}
     assert simhash.keep_one(make_docs([])).count() == 0
 
 
-def test_keep_one_decides_by_exact_similarity(make_docs):
-    rng = random.Random(3)
-    rows, want = [], []
-    for i in range(60):
-        words = [f"w{rng.randrange(9_000)}" for _ in range(204)]
-        # 200 shingles; a changed tail of n words changes n of them: 178 of 222 shared (0.80), or 177 of 223 (0.79).
-        for k, n in ((1, 22), (2, 23)):
-            base = [f"{w}x{k}" for w in words]
-            rows += [(10 * i + k, " ".join(base)), (10 * i + k + 4, " ".join([*base[:-n], *(f"t{j}" for j in range(n))]))]
-        want += [10 * i + 1, 10 * i + 2, 10 * i + 6]
-    kept = {row.doc_id for row in simhash.keep_one(make_docs(rows)).collect()}
-    assert kept >= set(want)
-    # Of the pairs just above the limit all but what the candidates may miss.
-    assert len(kept - set(want)) <= 4
-
-
-def test_similar_in_group():
-    sets = [{1, 2, 3, 4}, {1, 2, 3, 4, 5}, {1, 2, 3, 5, 4, 6}, {9}, set(), {1, 2, 3, 9}, {9, 10}]
-    tokens = np.array([t for own in sets for t in sorted(own)], dtype=np.uint64)
-    counts = np.array([len(own) for own in sets])
-    assert simhash.similar_in_group(tokens, counts, 0.8).tolist() == [0, 0, 0, 3, 4, 5, 6]
-    # Equal fingerprints do not make equal sets.
-    repeated = [b"a b c d e f " * 3, b"a b c d e f a b c d", b"a b c d e"]
-    hashes, n = simhash.shingle_sets_of(repeated, 5)
-    assert n.tolist() == [6, 6, 1] and len(set(simhash.set_names(hashes, n).tolist())) == 2
-
-
-# WARC
-
-
 def test_warc_round_trip_and_lookup(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK_LINES", 3)
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(__import__("pathlib").Path(__file__).parents[2]))
