@@ -31,6 +31,7 @@ class Bounds:
     max: float | None = None
 
 
+# The default thresholds of quality control.
 @dataclass(frozen=True)
 class QcConfig:
     """Quality-control thresholds."""
@@ -68,6 +69,8 @@ class ScaleLimits:
     rows_per_hour: int = 50_000
     # Hourly lookup rows (about 200 bytes each) that may be broadcast; above it the join shuffles.
     broadcast_hours: int = 500_000
+    # Hours (of all series) up to which one task may see a whole series; longer ones go in blocks.
+    series_hours: int = 500_000
     # Files per read whose header positions (about 200 bytes each) may be broadcast.
     broadcast_files: int = 200_000
     # Log files up to this size are read whole; larger ones are read in splits.

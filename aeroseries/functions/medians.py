@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,3 +79,61 @@ def exact_median(
     left = narrowed(fine.drop("_lo", "_hi"), picks)
     last = middle_of(left.select(*keys, "_v", "_c", "_lo", "_hi"), ["_v"], True)
     return cut_lineage(last.groupBy(*keys).agg(((F.min("_v") + F.max("_v")) / 2).alias(name)))
+
+
+#: Ranks of the sketch that brackets a median are off by one in this many rows at most.
+SKETCH_ACCURACY = 10_000
+
+
+def bracketed_medians(
+    df: DataFrame,
+    keys: Sequence[str],
+    values: Mapping[str, str],
+    label: str,
+    name: str,
+    broadcast_keys: bool = False,
+    accuracy: int = SKETCH_ACCURACY,
+    margin: float = 2 / SKETCH_ACCURACY,
+) -> DataFrame:
+    """Medians of several SQL values per key in two scans: (keys, ``label``, ``name``, ``rows``, ``n``), one row per key and value.
+
+    A quantile sketch of each value names two readings that the median lies between. The second scan counts what is below them and
+    every distinct value in between, a few in ten thousand, so ranks and result are exact and no group meets in one task.
+    Where the middle ranks turn out to lie outside the bracket, :func:`exact_median` takes the key's rows instead.
+    """
+    keys = list(keys)
+    sums = ["count(*) AS rows"]
+    for item, value in values.items():
+        sums.append(f"count({value}) AS n_{item}")
+        sums.append(f"percentile_approx({value}, array({0.5 - margin}D, {0.5 + margin}D), {accuracy}) AS b_{item}")
+    sketch = cut_lineage(df.groupBy(*keys).agg(*(F.expr(e) for e in sums)))
+    near = F.broadcast(sketch) if broadcast_keys else sketch
+    # Values below the bracket are one group, those above are left out.
+    marked = ", ".join(
+        f"named_struct('{label}', '{item}', '_v', CASE WHEN {value} < b_{item}[0] THEN double('-Infinity')"
+        f" WHEN {value} <= b_{item}[1] THEN double({value}) END)"
+        for item, value in values.items()
+    )
+    counted = df.join(near, keys).selectExpr(*keys, f"inline(array({marked}))").where("_v IS NOT NULL")
+    counted = counted.groupBy(*keys, label, "_v").agg(F.count("*").alias("_c"))
+    rows = ", ".join(f"named_struct('{label}', '{i}', 'n', n_{i}, '_low', b_{i}[0])" for i in values)
+    sizes = sketch.selectExpr(*keys, "rows", f"inline(array({rows}))")
+    ordered = Window.partitionBy(*keys, label).orderBy("_v")
+    ranked = counted.join(sizes.drop("rows"), [*keys, label]).withColumn("_upto", F.sum("_c").over(ordered))
+    first, last = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    ranked = ranked.where((F.col("_upto") >= first) & (F.col("_upto") - F.col("_c") < last))
+    middle_values = ranked.groupBy(*keys, label).agg(
+        ((F.min("_v") + F.max("_v")) / 2).alias(name),
+        # Both ranks must be covered, and not by the values below the bracket.
+        ((F.max("_upto") >= F.max(last)) & (F.min("_v") >= F.max("_low"))).alias("_sure"),
+    )
+    found = cut_lineage(sizes.drop("_low").join(middle_values, [*keys, label], "left"))
+    unsure = found.where("n > 0 AND NOT coalesce(_sure, FALSE)").select(*keys, label)
+    found = found.drop("_sure")
+    if unsure.isEmpty():
+        return found
+    each = ", ".join(f"named_struct('{label}', '{item}', '_value', {value})" for item, value in values.items())
+    again = df.selectExpr(*keys, f"inline(array({each}))").join(unsure, [*keys, label], "left_semi")
+    exact = exact_median(again, [*keys, label], "_value", "_exact", broadcast_keys)
+    found = found.join(exact, [*keys, label], "left")
+    return found.withColumn(name, F.coalesce("_exact", name)).drop("_exact")

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from aeroseries.config import GASES, MAD_TO_SIGMA, QC_VERSION, QcConfig, ScaleLimits
 from aeroseries.functions.clock import floor_hour
 from aeroseries.functions.lineage import cut_lineage
-from aeroseries.functions.medians import exact_median, middle
+from aeroseries.functions.medians import bracketed_medians, exact_median, middle
+from aeroseries.operators.time_blocks import over_blocks, running_count
 from aeroseries.schema import QC_COLUMNS
 
 HOUR = "hour_start_ist"
@@ -126,29 +127,33 @@ def _gathered_statistics(df: DataFrame, config: QcConfig, by: Sequence[str]) ->
     return hours.select(*keys, "gas", *HOUR_STATISTICS)
 
 
+def _beside(hours: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """The hourly table with one row per hour, the three gases side by side as ``_<gas>_<column>``."""
+    return hours.groupBy(*by, HOUR).agg(
+        *(F.expr(f"max({name}) FILTER (WHERE gas = '{gas}') AS _{gas}_{name}") for gas in GASES for name in columns)
+    )
+
+
 def _spread_statistics(df: DataFrame, config: QcConfig, by: Sequence[str], small: bool) -> DataFrame:
-    """The same table when an hour is too large to gather: counted medians, no hour meets in one task."""
+    """The same table when an hour is too large to gather: bracketed medians of all gases at once, no hour meets in one task."""
     keys = [*by, HOUR]
     df = df.where(f"{HOUR} IS NOT NULL")
     valid = {gas: _valid(gas, config) for gas in GASES}
-    values = _per_gas(df, keys, "value", valid).where("value IS NOT NULL")
-    counted = df.groupBy(*keys).agg(
-        F.expr("count(*) AS hour_rows"), *(F.expr(f"count({valid[gas]}) AS {gas}") for gas in GASES)
-    )
-    hours = _per_gas(counted, [*keys, "hour_rows"], "hour_count", {gas: gas for gas in GASES})
-    keys = [*keys, "gas"]
-    medians = exact_median(values, keys, "value", "hour_median", small)
-    hours = hours.where("hour_count > 0").join(_broadcast_if(small, medians), keys)
-    distances = values.join(_broadcast_if(small, medians), keys).selectExpr(
-        *keys, "nanvl(abs(value - hour_median), NULL) AS value"
-    )
-    mads = exact_median(distances, keys, "value", "hour_mad", small)
-    hours = cut_lineage(hours.join(_broadcast_if(small, mads), keys, "left"))
-    usual = hours.selectExpr(*keys, "hour_count", "hour_median", f"{_scale('hour_mad')} AS scale")
-    spike = _is_spike("value", "hour_count", "hour_median", "scale", config)
-    kept = values.join(_broadcast_if(small, usual), keys).where(f"NOT {spike}")
-    references = exact_median(kept, keys, "value", "hour_reference", small)
-    return hours.join(_broadcast_if(small, references), keys, "left").select(*keys, *HOUR_STATISTICS)
+
+    def medians(values: dict[str, str], name: str, known: DataFrame | None = None) -> DataFrame:
+        readings = df if known is None else df.join(_broadcast_if(small, known), keys)
+        return bracketed_medians(readings, keys, values, "gas", name, small)
+
+    hours = medians(valid, "hour_median").where("n > 0").withColumnsRenamed({"rows": "hour_rows", "n": "hour_count"})
+    distances = {gas: f"nanvl(abs({value} - _{gas}_hour_median), NULL)" for gas, value in valid.items()}
+    mads = medians(distances, "hour_mad", _beside(hours, by, ["hour_median"])).select(*keys, "gas", "hour_mad")
+    hours = cut_lineage(hours.join(_broadcast_if(small, mads), [*keys, "gas"], "left"))
+    scaled = hours.selectExpr("*", f"{_scale('hour_mad')} AS scale")
+    spikes = {gas: _is_spike(value, *(f"_{gas}_{c}" for c in ("hour_count", "hour_median", "scale")), config) for gas, value in valid.items()}
+    kept = {gas: f"CASE WHEN NOT {spikes[gas]} THEN {value} END" for gas, value in valid.items()}
+    known = _beside(scaled, by, ["hour_count", "hour_median", "scale"])
+    references = medians(kept, "hour_reference", known).select(*keys, "gas", "hour_reference")
+    return hours.join(_broadcast_if(small, references), [*keys, "gas"], "left").select(*keys, "gas", *HOUR_STATISTICS)
 
 
 def hour_statistics(
@@ -208,46 +213,79 @@ def point_scales(hours: DataFrame, df: DataFrame, by: Sequence[str] = (), small:
 
 
 def _with_rolling_median(
-    hours: DataFrame, value: str, name: str, config: QcConfig, by: Sequence[str]
+    hours: DataFrame, value: str, name: str, config: QcConfig, by: Sequence[str], long: bool
 ) -> DataFrame:
     """Centred median over present hours; null below the minimum number of values."""
     window = config.hourly_reference_window_hours
-    frame = Window.partitionBy(*by, "gas").orderBy(HOUR).rowsBetween(-(window // 2), (window - 1) // 2)
-    hours = hours.withColumn("near", F.sort_array(F.collect_list(F.expr(value)).over(frame)))
+    before, after = window // 2, (window - 1) // 2
+    if long:
+        near = {"near": f"sort_array(collect_list({value}) OVER FRAME)"}
+        hours = over_blocks(hours, [*by, "gas"], "position", before, after, near)
+    else:
+        frame = Window.partitionBy(*by, "gas").orderBy(HOUR).rowsBetween(-before, after)
+        hours = hours.withColumn("near", F.sort_array(F.collect_list(F.expr(value)).over(frame)))
     rolled = f"CASE WHEN size(near) >= {config.hourly_reference_min_periods} THEN {middle('near')} END"
     return hours.withColumn(name, F.expr(rolled)).drop("near")
 
 
-def rolling_reference(hours: DataFrame, config: QcConfig = QcConfig(), by: Sequence[str] = ()) -> DataFrame:
+def rolling_reference(
+    hours: DataFrame, config: QcConfig = QcConfig(), by: Sequence[str] = (), long: bool = False
+) -> DataFrame:
     """Add ``rolling_median``, ``residual`` and ``rolling_mad``.
 
-    Hours whose values are all spikes have no reference and take no place in the window.
+    Hours whose values are all spikes have no reference and take no place in the window. ``long`` series are worked on in
+    blocks of present hours, with the rows around each block that its frames reach.
     """
     hours = hours.where("hour_reference IS NOT NULL")
-    hours = _with_rolling_median(hours, "hour_reference", "rolling_median", config, by)
+    if long:
+        hours = running_count(hours, [*by, "gas"], HOUR, F.lit(1), "position")
+    hours = _with_rolling_median(hours, "hour_reference", "rolling_median", config, by, long)
     hours = hours.withColumn("residual", F.expr("hour_reference - rolling_median"))
-    return _with_rolling_median(hours, "abs(residual)", "rolling_mad", config, by)
+    hours = _with_rolling_median(hours, "abs(residual)", "rolling_mad", config, by, long)
+    return hours.drop("position")
 
 
-def hourly_scores(hours: DataFrame, config: QcConfig = QcConfig(), by: Sequence[str] = ()) -> DataFrame:
+def hourly_scores(
+    hours: DataFrame, config: QcConfig = QcConfig(), by: Sequence[str] = (), long: bool = False
+) -> DataFrame:
     """Add ``hour_scale``, ``hourly_robust_z`` and ``candidate``."""
-    series = f"OVER (PARTITION BY {', '.join([*by, 'gas'])})"
-    own = _scale("rolling_mad")
-    hours = hours.selectExpr(
-        "*",
-        f"percentile({own}, 0.5D) {series} AS typical",
-        f"percentile(residual, 0.5D) {series} AS centre",
-    )
-    hours = hours.withColumn("spread", F.expr(f"percentile(abs(residual - centre), 0.5D) {series}"))
+    keys, own = [*by, "gas"], _scale("rolling_mad")
+    if long:
+        # One row a series comes back to its hours, so that no task sees them all.
+        hours = cut_lineage(hours)
+        usual = hours.groupBy(*keys).agg(
+            F.expr(f"percentile({own}, 0.5D) AS typical"), F.expr("percentile(residual, 0.5D) AS centre")
+        )
+        hours = hours.join(usual, keys)
+        spread = hours.groupBy(*keys).agg(F.expr("percentile(abs(residual - centre), 0.5D) AS spread"))
+        hours = hours.join(spread, keys)
+    else:
+        series = f"OVER (PARTITION BY {', '.join(keys)})"
+        hours = hours.selectExpr(
+            "*",
+            f"percentile({own}, 0.5D) {series} AS typical",
+            f"percentile(residual, 0.5D) {series} AS centre",
+        )
+        hours = hours.withColumn("spread", F.expr(f"percentile(abs(residual - centre), 0.5D) {series}"))
     hours = hours.withColumn("hour_scale", F.expr(f"COALESCE({own}, typical, {_scale('spread')})"))
     hours = hours.withColumn("hourly_robust_z", F.expr("nanvl(abs(residual) / hour_scale, NULL)"))
     candidate = f"COALESCE(hourly_robust_z > {float(config.hourly_spike_z)}D, FALSE)"
     return hours.withColumn("candidate", F.expr(candidate)).drop("typical", "centre", "spread")
 
 
-def run_lengths(hours: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Add ``run_length``: how many candidates stand side by side, 0 for other hours."""
+def run_lengths(hours: DataFrame, by: Sequence[str] = (), long: bool = False) -> DataFrame:
+    """Add ``run_length``: how many candidates stand side by side, 0 for other hours.
+
+    In a ``long`` series a run is named by how many hours that are no candidates come before it, wherever blocks end.
+    """
     series = ", ".join([*by, "gas"])
+    if long:
+        keys = [*by, "gas"]
+        hours = cut_lineage(running_count(hours, keys, HOUR, ~F.col("candidate"), "run"))
+        lengths = hours.where("candidate").groupBy(*keys, "run").agg(F.count("*").alias("_length"))
+        joined = hours.join(lengths, [*keys, "run"], "left")
+        length = F.when(F.col("candidate"), F.col("_length")).otherwise(F.lit(0).cast("long"))
+        return joined.withColumn("run_length", length).drop("_length", "run")
     ordered = f"OVER (PARTITION BY {series} ORDER BY {HOUR})"
     hours = hours.selectExpr("*", f"int(candidate != lag(candidate, 1, FALSE) {ordered}) AS changed")
     hours = hours.selectExpr("*", f"sum(changed) {ordered} AS run")
@@ -265,10 +303,12 @@ def hourly_flags(hours: DataFrame, config: QcConfig = QcConfig()) -> DataFrame:
     )
 
 
-def score_hours(hours: DataFrame, config: QcConfig = QcConfig(), by: Sequence[str] = ()) -> DataFrame:
+def score_hours(
+    hours: DataFrame, config: QcConfig = QcConfig(), by: Sequence[str] = (), long: bool = False
+) -> DataFrame:
     """Stage 3 as a whole, on the hourly table."""
-    scored = hourly_scores(rolling_reference(hours, config, by), config, by)
-    return hourly_flags(run_lengths(scored, by), config)
+    scored = hourly_scores(rolling_reference(hours, config, by, long), config, by, long)
+    return hourly_flags(run_lengths(scored, by, long), config)
 
 
 # Back to the readings
@@ -286,10 +326,7 @@ LOOKUP = (
 
 def _look_up(df: DataFrame, hours: DataFrame, by: Sequence[str], small: bool) -> DataFrame:
     """Join the hourly table, its three gases side by side, to the readings of each hour."""
-    columns = [name for name in LOOKUP if name in hours.columns]
-    beside = hours.groupBy(*by, HOUR).agg(
-        *(F.expr(f"max({name}) FILTER (WHERE gas = '{gas}') AS _{gas}_{name}") for gas in GASES for name in columns)
-    )
+    beside = _beside(hours, by, [name for name in LOOKUP if name in hours.columns])
     return df.join(_broadcast_if(small, beside), [*by, HOUR], "left")
 
 
@@ -362,5 +399,5 @@ def apply_quality_control(
     profile = profile or hour_profile(df, by)
     small = profile.hours <= limits.broadcast_hours
     hours = cut_lineage(hour_statistics(df, config, by, limits, profile))
-    scored = score_hours(point_scales(hours, df, by, small), config, by)
+    scored = score_hours(point_scales(hours, df, by, small), config, by, profile.hours > limits.series_hours)
     return flag_readings(df, scored, config, by, small)

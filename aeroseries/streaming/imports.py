@@ -131,7 +131,8 @@ def _write_batch(store: GasStore, candidates: DataFrame, touched: set[Cell], con
             rest = store.in_cells(store.raw_path, others)
             everything = prepare(_union([readings, None if rest is None else rest.select(*columns)]))
             scaled = point_scales(hours, everything, SERIES)
-            scored = score_hours(scaled, config, SERIES).select(*HOUR_KEY, *LOOKUP, *CELL)
+            long = hours.count() > 3 * store.limits.series_hours
+            scored = score_hours(scaled, config, SERIES, long).select(*HOUR_KEY, *LOOKUP, *CELL)
             with staged(scored) as scores:
                 known = {cell for cell in store.cells_of(store.scores_path) if cell.series_bucket in buckets}
                 changed = _moved(store.in_cells(store.scores_path, known), scores) | touched

@@ -386,6 +386,7 @@ ORACLES = {
         DEFAULT, "hour_stats", ("hour_count", "hour_median", "hour_mad"), ("hour_median", "hour_mad")
     ),
     "quality_control_spread": with_(EVENTS, qc_chain(TIGHT), wide_qc()) + f"SELECT {QC_ALL} FROM clean",
+    "quality_control_long": with_(EVENTS, qc_chain(TIGHT), wide_qc()) + f"SELECT {QC_ALL} FROM clean",
     "qc_rolling_median": qc_hours(DEFAULT, "rolled", ("rolling_median",), ("rolling_median",)),
     "qc_rolling_median_sparse": qc_hours(
         QcConfig(hourly_reference_min_periods=100),

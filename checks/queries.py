@@ -38,6 +38,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 DEFAULT = QcConfig()
 #: The forms for hours too busy to gather and too many to broadcast.
 SPREAD = ScaleLimits(rows_per_hour=1, broadcast_hours=0)
+#: The form for series too long for one task.
+LONG = ScaleLimits(series_hours=0)
 TIGHT = QcConfig(point_spike_z=3.0, hourly_spike_z=1.5, sustained_shift_min_hours=1)
 PAIR = ("co2_sync", "ch4_sync")
 RATIO_PAIR = PAIRS["CH4 vs CO2/(CO+CO2)"]
@@ -369,6 +371,7 @@ QUERIES: dict[str, Query] = {
     "quality_control": quality_control(DEFAULT),
     "quality_control_tight": quality_control(TIGHT),
     "quality_control_spread": on_events(quality_control_spread),
+    "quality_control_long": on_events(lambda df: qc.apply_quality_control(df, TIGHT, limits=LONG)),
     "process_batch": process_batch,
     "quality_report": on_events(quality_report),
     "hourly_preaggregate": on_events(hourly.hourly_preaggregate),

@@ -2,11 +2,12 @@ from __future__ import annotations
 
 import math
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
-from aeroseries.functions.medians import exact_median, middle
+from aeroseries.functions.medians import bracketed_medians, exact_median, middle
 
 
 def _values(kind: str, size: int) -> list[float]:
@@ -45,3 +46,24 @@ def test_middle(spark):
     rows = [([],), ([3.0],), ([1.0, 2.0],), ([1.0, 2.0, 9.0],), ([1.0, 2.0, 4.0, 9.0],)]
     df = spark.createDataFrame(rows, "a array<double>").select(F.expr(middle("a")).alias("m"))
     assert [r.m for r in df.collect()] == [None, 3.0, 1.5, 2.0, 3.0]
+
+
+@pytest.mark.parametrize("accuracy", [10_000, 3])
+def test_bracketed_medians(spark, accuracy):
+    """Also where a poor sketch puts the bracket beside the middle."""
+    rng = random.Random(7)
+    rows = []
+    for key, n in (("many", 4_001), ("even", 2_000), ("two", 2), ("one", 1)):
+        rows += [(key, rng.gauss(0, 100), float(rng.randint(0, 3)), None if rng.random() < 0.5 else -rng.random()) for _ in range(n)]
+    rows += [("same", 5.0, 5.0, 5.0)] * 501 + [("none", None, None, None)] * 3
+    rows += [("far", v, -v, v) for v in (float("-inf"), float("-inf"), 1.0, 2.0, float("inf"))]
+    df = spark.createDataFrame(rows, "k string, a double, b double, c double").repartition(5)
+    names = ("a", "b", "c")
+    found = bracketed_medians(df, ["k"], {name: name for name in names}, "which", "mid", accuracy=accuracy)
+    assert set(found.columns) == {"k", "which", "mid", "rows", "n"}
+    found = {(r.k, r.which): (r.rows, r.n, r.mid) for r in found.collect()}
+    for key in {row[0] for row in rows}:
+        for i, name in enumerate(names, 1):
+            own = [row[i] for row in rows if row[0] == key]
+            values = [v for v in own if v is not None]
+            assert found[key, name] == (len(own), len(values), statistics.median(values) if values else None)

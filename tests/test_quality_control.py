@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from aeroseries.config import GASES, Bounds, QcConfig, ScaleLimits
+from aeroseries.operators import quality_control as qc
+from aeroseries.operators import time_blocks
 from aeroseries.operators.quality_control import apply_quality_control, hour_profile, hour_statistics
 from aeroseries.schema import QC_COLUMNS
 from tests.helpers import START, actual_qc, expected_qc, hourly_rows, make_readings
@@ -212,3 +214,26 @@ def test_rows_without_a_time_form_no_hour(spark, limits):
     )
     hours = hour_statistics(readings.unionByName(timeless), QcConfig(), limits=limits)
     assert hours.where("hour_start_ist IS NULL").count() == 0 and hours.count() == 15
+
+
+def test_long_series_in_blocks_equal_the_window_form(spark, monkeypatch):
+    monkeypatch.setattr(time_blocks, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(time_blocks, "STRETCH_HOURS", 36)
+    rng = random.Random(3)
+    config = QcConfig(hourly_spike_z=1.5, hourly_reference_window_hours=21, hourly_reference_min_periods=5, sustained_shift_min_hours=2)
+    rows, at = [], START
+    for _ in range(700):
+        at += timedelta(hours=rng.choice([1, 1, 1, 2, 90]) if rng.random() < 0.2 else 1)
+        for gas, scale in (("co_sync", 1.0), ("co2_sync", 0.0)):
+            value = round(rng.gauss(10, scale), 2) + (30 if rng.random() < 0.2 else 0)
+            rows.append(("ab"[len(rows) % 5 == 0], gas, at, 5, 5, value, 1.0, None if rng.random() < 0.05 else value))
+    rows = list({row[:3]: row for row in rows}.values())
+    schema = "who string, gas string, hour_start_ist timestamp_ntz, hour_rows long, hour_count long, hour_median double, hour_mad double, hour_reference double"
+    hours = spark.createDataFrame(rows, schema)
+    window, blocks = (qc.score_hours(hours, config, ["who"], long) for long in (False, True))
+    assert set(window.columns) == set(blocks.columns)
+    assert sorted(map(tuple, window.collect()), key=repr) == sorted(map(tuple, blocks.select(window.columns).collect()), key=repr)
+    assert window.where("run_length > 2").count() and window.where("flag_hourly_spike").count()
+    # The rows of a block and its surroundings, not the series, are what a window sorts.
+    plan = qc.rolling_reference(hours, config, ["who"], True)._jdf.queryExecution().executedPlan().toString()
+    assert all("_block" in line or "_stretch" in line for line in plan.splitlines() if "Window [" in line and "_total" not in line)
