@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from aeroseries.config import GASES, ScaleLimits
 from aeroseries.functions.clock import as_date, in_months
 from aeroseries.functions.files import any_path, child_names, delete, matching, path_exists, read_text, write_text
-from aeroseries.operators.hourly import hourly_preaggregate
+from aeroseries.operators.hourly import columns_for, hourly_preaggregate
 from aeroseries.operators.ranges import filter_by_date_range, normalize_frame
 from aeroseries.operators.report import available_months, partition_stats, summarize
 from aeroseries.schema import CANDIDATE_COLUMNS, DEFAULT_SERIES
@@ -190,11 +190,15 @@ class GasStore:
     def load_for_views(
         self, start: date | str, end: date | str, columns: Sequence[str] | None = None, series: str | None = None
     ) -> DataFrame:
-        """Hourly means where they exist, readings otherwise, in the form the views take."""
+        """Hourly means where they exist, readings otherwise, in the form the views take.
+
+        ``columns`` are gases or ratios to be shown; what they need is loaded.
+        """
+        needed = columns_for(*(columns or GASES))
         if self.hourly_exists():
-            return normalize_frame(self.load_hourly_range(start, end, series), start, end)
-        columns = columns or ("datetime_ist", "date_ist", "hour_ist", *GASES)
-        return normalize_frame(self.load_range(start, end, columns, series), start, end)
+            hours = normalize_frame(self.load_hourly_range(start, end, series), start, end)
+            return hours.select(*(name for name in hours.columns if name in needed))
+        return normalize_frame(self.load_range(start, end, needed, series), start, end)
 
     def summarize(self) -> DataFrame:
         return summarize(self.raw())

@@ -596,6 +596,10 @@ ORACLES |= {
     "import_hourly_sql": with_(IMPORTED, qc_chain(TIGHT, SOURCE), wide_qc(SOURCE))
     + f"SELECT source_file AS series_id, hour_start_ist, {', '.join(r(f'avg({g})', g) for g in GASES)} FROM clean "
     f"WHERE {BETWEEN} AND COALESCE(co_sync, co2_sync, ch4_sync) IS NOT NULL GROUP BY ALL",
+    "load_views_raw": with_(EVENTS)
+    + f"SELECT datetime_ist, date_ist, hour_ist, {columns(GASES[:2], GASES)} FROM readings WHERE {BETWEEN}",
+    "load_views_hourly": with_(EVENTS, STORED_HOURLY)
+    + f"SELECT hour_start_ist AS datetime_ist, date_ist, hour_ist, {columns(GASES[:2], GASES)} FROM stored WHERE {BETWEEN}",
     "file_overlaps": with_(
         ORDERS,
         """files AS (

@@ -285,6 +285,19 @@ def import_hourly_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def load_for_views(built: bool) -> Query:
+    """The range of a ratio's gases from a store, by its hourly means or without them."""
+
+    def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+        target = store.GasStore(spark, scratch_folder(spark, "store"))
+        target.save_batch(readings(spark, sf_dir).withColumn("qc_version", F.lit("none")))
+        if built:
+            target.rebuild_hourly()
+        return target.load_for_views(*RANGE, ["co2_over_co_plus_co2"]).select("datetime_ist", "date_ist", "hour_ist", "co_sync", "co2_sync")
+
+    return plan
+
+
 def file_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders seen as files of each customer: those whose time overlaps another of the customer's status."""
     rows = order_readings(spark, sf_dir).select(
@@ -432,6 +445,8 @@ QUERIES: dict[str, Query] = {
     "log_counts": log_counts,
     "import_store": import_store,
     "import_hourly_sql": import_hourly_sql,
+    "load_views_raw": load_for_views(False),
+    "load_views_hourly": load_for_views(True),
     "file_overlaps": file_overlaps,
     "catalog_last_import": catalog_last_import,
     "snapshot_summary": on_events(snapshot_summary),
