@@ -60,6 +60,25 @@ def _uneven(data: np.ndarray) -> np.ndarray:
     return marked | ((data == 0xE3) & (ahead == 0x80))
 
 
+def _equal(a: np.ndarray, a_starts: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_starts: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
+    """Whether stretches of two byte buffers, both with eight bytes to spare, are equal one by one; eight bytes at a time."""
+    sizes = a_ends - a_starts
+    equal = sizes == b_ends - b_starts
+    left = np.flatnonzero(equal & (sizes > 0))
+    a_words, b_words = (np.lib.stride_tricks.sliding_window_view(x, 8) for x in (a, b))
+    done = 0
+    while len(left):
+        x = a_words[a_starts[left] + done].view(np.uint64).ravel()
+        y = b_words[b_starts[left] + done].view(np.uint64).ravel()
+        # Of the last eight bytes only those that belong to the stretch count.
+        spare = np.maximum(0, 8 - (sizes[left] - done)).astype(np.uint64) * np.uint64(8)
+        differ = (x ^ y) << spare != 0
+        equal[left[differ]] = False
+        done += 8
+        left = left[~differ & (sizes[left] > done)]
+    return equal
+
+
 class TextEncoder:
     """Ids of whole texts, equal to those of ``tokenizers``.
 
@@ -87,10 +106,12 @@ class TextEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        """The table of known words: hashes in order, and where the ids of each lie in the pool."""
+        """The table of known words: hashes in order, and where the ids and the bytes of each lie in the pools."""
         self._hashes = np.zeros(0, dtype=np.uint64)
         self._starts, self._counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         self._pool = np.zeros(0, dtype="<u4")
+        self._text_starts, self._text_ends = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self._feeds, self._text = np.zeros(0, dtype=bool), np.zeros(8, dtype=np.uint8)
 
     def __call__(self, text: str) -> np.ndarray:
         return self.encode([text.encode()])[0]
@@ -102,9 +123,18 @@ class TextEncoder:
         # A word that follows a line feed, or is the first of a text, is encoded together with the line feed.
         after_feed = words.data[words.starts - 1] == ord("\n")
         keys = mix(words.hashes + np.uint64(2) * after_feed.astype(np.uint64))
-        chosen = np.repeat(plain, np.diff(words.first))
-        distinct, at, which = np.unique(keys[chosen], return_index=True, return_inverse=True)
-        spots = self._look_up(distinct, words, np.flatnonzero(chosen)[at], after_feed)
+        data, text_of = np.append(words.data, np.zeros(8, np.uint8)), words.text_of()
+        while True:
+            chosen = np.flatnonzero(plain[text_of])
+            distinct, at, which = np.unique(keys[chosen], return_index=True, return_inverse=True)
+            spots, known = self._look_up(distinct, words, data, chosen[at], after_feed)
+            # Of words with one hash, those that are not the known one send their texts the other way.
+            first = chosen[at][which]
+            same = known[which] & (after_feed[chosen] == after_feed[first])
+            same &= _equal(data, words.starts[chosen], words.ends[chosen], data, words.starts[first], words.ends[first])
+            if same.all():
+                break
+            plain[text_of[chosen[~same]]] = False
         starts, counts = self._starts[spots][which], self._counts[spots][which]
         total = int(counts.sum())
         ends = np.cumsum(counts)
@@ -131,8 +161,10 @@ class TextEncoder:
             plain &= np.array([not any(token in text for token in self._special) for text in texts])
         return plain
 
-    def _look_up(self, distinct: np.ndarray, words: Words, at: np.ndarray, after_feed: np.ndarray) -> np.ndarray:
-        """Places of the words in the table, after the new ones have been added."""
+    def _look_up(
+        self, distinct: np.ndarray, words: Words, data: np.ndarray, at: np.ndarray, after_feed: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the words in the table, after the new ones have been added, and whether the same word stands there."""
         if len(self._hashes) > KNOWN_WORDS:
             self._forget()
         spots = np.searchsorted(self._hashes, distinct)
@@ -140,10 +172,10 @@ class TextEncoder:
         inside = spots < len(self._hashes)
         new[inside] = self._hashes[spots[inside]] != distinct[inside]
         if new.any():
-            data = words.data.tobytes()
+            raw = data.tobytes()
             feeds = after_feed[at[new]].tolist()
-            spans = zip(words.starts[at[new]].tolist(), words.ends[at[new]].tolist(), feeds)
-            marked = b"".join([b"\n" + data[s:e] if feed else b"\n " + data[s:e] for s, e, feed in spans])
+            spans = list(zip(words.starts[at[new]].tolist(), words.ends[at[new]].tolist(), feeds))
+            marked = b"".join([b"\n" + raw[s:e] if feed else b"\n " + raw[s:e] for s, e, feed in spans])
             ids = np.array(self._merges.encode_ordinary(marked.decode()), "<u4")
             cuts = np.append(np.flatnonzero(ids == self._line_feed), len(ids))
             starts = cuts[:-1] + np.where(feeds, 0, 1)
@@ -152,8 +184,16 @@ class TextEncoder:
             self._starts = np.insert(self._starts, places, starts + len(self._pool))
             self._counts = np.insert(self._counts, places, cuts[1:] - starts)
             self._pool = np.concatenate([self._pool, ids])
+            ends = len(self._text) - 8 + np.cumsum([e - s for s, e, _ in spans])
+            self._text_starts = np.insert(self._text_starts, places, ends - (words.ends - words.starts)[at[new]])
+            self._text_ends = np.insert(self._text_ends, places, ends)
+            self._feeds = np.insert(self._feeds, places, feeds)
+            added = np.frombuffer(b"".join([raw[s:e] for s, e, _ in spans]) + bytes(8), np.uint8)
+            self._text = np.concatenate([self._text[:-8], added])
             spots = np.searchsorted(self._hashes, distinct)
-        return spots
+        known = self._feeds[spots] == after_feed[at]
+        known &= _equal(data, words.starts[at], words.ends[at], self._text, self._text_starts[spots], self._text_ends[spots])
+        return spots, known
 
     def _whole(self, text: bytes) -> np.ndarray:
         if any(token in text for token in self._special):

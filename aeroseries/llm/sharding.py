@@ -58,13 +58,13 @@ def slot(key: str, table_size: int):
 
 
 def place(df: DataFrame, key: str, shards: Sequence[str], table_size: int = TABLE_SIZE) -> DataFrame:
-    """The rows with their ``slot`` and ``shard`` (a number from 0)."""
-    slots = slot(key, table_size)
-    kept = [F.col(f"`{name}`") for name in df.columns if name not in ("slot", "shard")]
-    keyed = df.select(*kept, slots.alias("slot"))
-    return keyed.join(F.broadcast(table_frame(df.sparkSession, shards, table_size)), "slot").select(
-        *(F.col(f"`{name}`") for name in df.columns if name not in ("slot", "shard")), "slot", "shard"
-    )
+    """The rows with their ``slot`` and ``shard`` (a number from 0); columns of these very names are replaced."""
+    names = [name for name in df.columns if name not in ("slot", "shard")]
+    keyed = df.select(*(F.col(f"`{name}`") for name in names), slot(key, table_size).alias("__slot"))
+    table = table_frame(df.sparkSession, shards, table_size).toDF("__at", "__shard")
+    joined = keyed.join(F.broadcast(table), F.col("__slot") == F.col("__at"))
+    own = (F.col(f"`{name}`") for name in names)
+    return joined.select(*own, F.col("__slot").alias("slot"), F.col("__shard").alias("shard"))
 
 
 def write_shards(df: DataFrame, key: str, shards: Sequence[str], path: str, table_size: int = TABLE_SIZE) -> None:

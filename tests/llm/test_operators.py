@@ -65,6 +65,32 @@ def test_encoder_equals_the_tokenizer():
         assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_words_with_one_hash_are_told_apart():
+    """The order of a and b after Thue and Morse and its opposite collide in polynomial hashes modulo 2 ** 64."""
+    from tokenizers import Tokenizer
+
+    plain, encode = Tokenizer.from_file(vocabulary()), packing.TextEncoder(vocabulary())
+    for n in (1_024, 2_048):
+        word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+        other = word.translate(str.maketrans("ab", "ba"))
+        texts = [f"x {word} y", f"x {other} y", f"one {word} and {other}", f"{other}\n{word}", word, other]
+        want = [plain.encode(text, add_special_tokens=False).ids for text in texts]
+        assert [ids.tolist() for ids in encode.encode([text.encode() for text in texts])] == want
+        for text, ids in zip(texts, want):
+            assert encode.encode([text.encode()])[0].tolist() == ids
+
+
+def test_equal_stretches():
+    rng = random.Random(5)
+    data = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 20))) for _ in range(400)]
+    pool = np.frombuffer(b"".join(data) + bytes(8), np.uint8)
+    ends = np.cumsum([len(x) for x in data])
+    starts = ends - [len(x) for x in data]
+    i, j = np.repeat(np.arange(400), 400), np.tile(np.arange(400), 400)
+    found = packing._equal(pool, starts[i], ends[i], pool, starts[j], ends[j])
+    assert found.tolist() == [data[a] == data[b] for a, b in zip(i, j)]
+
+
 def test_sum_of_squares_choice():
     packer = packing.WindowPacker(window=10)
     piece = lambda n: np.zeros(n, "<u4").tobytes()
@@ -97,6 +123,18 @@ def test_shards_are_even_and_move_little(make_docs):
         slot = int(hashlib.md5(key.encode()).hexdigest()[:15], 16) % sharding.TABLE_SIZE
         assert (row.slot, row.shard) == (slot, table[slot])
     assert sharding.place(make_docs([]), "doc_id", SHARDS).count() == 0
+    other = make_docs(EDGES).withColumnsRenamed({"h": "Slot", "shard": "Shard"})
+    clashing = sharding.place(other, "doc_id", SHARDS)
+    assert clashing.columns == [*other.columns, "slot", "shard"]
+    assert [row[-2:] for row in sorted(clashing.collect(), key=repr)] == [row[-2:] for row in sorted(placed, key=repr)]
+
+
+def test_write_shards(spark, make_docs, tmp_path):
+    docs = make_docs([(i, f"text {i}") for i in range(300)]).drop("shard")
+    sharding.write_shards(docs, "doc_id", SHARDS, str(tmp_path / "out"))
+    written = spark.read.parquet(str(tmp_path / "out"))
+    assert {(r.doc_id, r.shard) for r in written.collect()} == {(r.doc_id, r.shard) for r in sharding.place(docs, "doc_id", SHARDS).collect()}
+    assert written.count() == 300
 
 
 # Language identification
