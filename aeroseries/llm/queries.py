@@ -67,8 +67,9 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.archive_folder(spark)
-    captures = warc.write_archives(table(spark, sf_dir, "pages"), folder)
-    return warc.read_all(warc.build_index(captures), folder)
+    pages = table(spark, sf_dir, "pages")
+    index = warc.build_index(warc.write_archives(pages, folder))
+    return warc.lookup(index, folder, pages).drop("key")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

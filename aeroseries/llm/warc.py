@@ -5,16 +5,16 @@ folder; file names hold the task attempt, so an attempt that fails leaves no fil
 page is written in full and the others as revisits.
 
 *Index.* Captures are sorted by a key with the host's labels reversed and cut into blocks of ``BLOCK_LINES`` compressed lines.
-The directory has the first key of every block. A lookup searches the directory, then the lines of the blocks it names, and
-reads the byte range of each record found.
+The directory has the first and the last key of every block. A lookup searches the directory for the block or blocks of a key,
+brings keys and blocks together, searches the lines, and reads the byte range of each record found.
 
 Payloads are shuffled at most once, by digest, to learn which are repeated; Spark splits digests that hold many rows. The
-directory is a thousandth of the captures and is broadcast only up to ``MAX_DIRECTORY`` blocks; beyond that it is joined by
-range in sorted pieces of this size.
+directory is a thousandth of the captures. It is broadcast in pieces of at most ``MAX_DIRECTORY`` blocks, one search of the
+keys for each piece. Keys of one block meet in shares of ``KEYS_AT_ONCE`` about, each with a copy of the block.
 
 Defined cases: a null page is empty; payloads below ``LEAST_REVISIT`` bytes are always written in full; a null id counts as
-larger than all others; rows that share the smallest id of a payload are all written in full; line breaks in a URL are
-escaped; a null URL is empty; an empty table gives no files and an empty index; other columns are not read.
+larger than all others; rows that share the smallest id of a payload are all written in full; percent signs and line breaks
+are escaped in keys, before they are sorted; a null URL is empty; an empty table gives no files and an empty index; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ import uuid
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyarrow import fs
@@ -41,6 +42,7 @@ LEAST_REVISIT = 100
 FILE_BYTES = 256 << 20
 BLOCK_LINES = 1_000
 MAX_DIRECTORY = 1_000_000
+KEYS_AT_ONCE = 20_000
 #: Fixed date of records: the tables do not say when a page was fetched.
 DATE = "1970-01-01T00:00:00Z"
 
@@ -50,10 +52,11 @@ _RECORD = "page_id bigint, payload_bytes bigint, payload_digest string, record_t
 
 
 def url_key(url: Column) -> Column:
-    """Host with its labels reversed, then the rest of the URL, without the scheme."""
+    """Host with its labels reversed, then the rest of the URL, without the scheme; on one line."""
     host = host_of(url)
-    rest = F.regexp_extract(F.coalesce(url, F.lit("")), "://[^/?#]*(.*)$", 1)
-    return F.concat(F.array_join(F.reverse(F.split(host, "\\.")), ","), F.lit(")"), rest)
+    rest = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)://[^/?#]*(.*)\z", 1)
+    key = F.concat(F.array_join(F.reverse(F.split(host, "\\.")), ","), F.lit(")"), rest)
+    return F.replace(F.replace(key, F.lit("%"), F.lit("%25")), F.lit("\n"), F.lit("%0A"))
 
 
 def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
@@ -166,10 +169,10 @@ def build_index(captures: DataFrame) -> DataFrame:
             yield packed(held)
 
     def packed(captures: list[tuple]) -> pa.RecordBatch:
-        # The key comes last in a line, since it may hold blanks; line breaks in it are escaped.
-        lines = [f"{'-' if i is None else i} {f} {o} {n} {_escaped(key)}" for key, i, f, o, n in captures]
+        # The key comes last in a line, since it may hold blanks.
+        lines = [f"{'-' if i is None else i} {f} {o} {n} {key}" for key, i, f, o, n in captures]
         block = zlib.compress("\n".join(lines).encode())
-        keys = [_escaped(key) for key, *_ in captures]
+        keys = [key for key, *_ in captures]
         row = {"first_key": [keys[0]], "last_key": [keys[-1]], "lines": [len(lines)], "block": [block]}
         return pa.RecordBatch.from_pydict(row)
 
@@ -177,10 +180,6 @@ def build_index(captures: DataFrame) -> DataFrame:
     return cut_lineage(ordered.sortWithinPartitions("key", "page_id", "file", "offset").mapInArrow(blocks, _BLOCK))
 
 
-def _escaped(key: str) -> str:
-    return key.replace("%", "%25").replace("\n", "%0A") if "\n" in key else key
-
-
 def lines_of(block: bytes) -> list[tuple[str, int | None, str, int, int]]:
     """The captures of a block: (key, page_id, file, offset, length)."""
     out = []
@@ -220,7 +219,8 @@ def _described(member: bytes) -> tuple:
 def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
     names = [part.split()[0] for part in _RECORD.split(", ")]
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+    columns = list(zip(*rows)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
 def read_all(index: DataFrame, folder: str) -> DataFrame:
@@ -238,45 +238,55 @@ def read_all(index: DataFrame, folder: str) -> DataFrame:
 
 def lookup(index: DataFrame, folder: str, urls: DataFrame, *, url: str = "url") -> DataFrame:
     """The records captured for each URL, as rows (key, page_id, payload_bytes, ...): directory, block, range read."""
-    spark = index.sparkSession
-    numbered = index.select(F.xxhash64("first_key", "last_key", "block").alias("number"), "first_key", "last_key", "block")
-    n_blocks = numbered.count()
+    numbered = cut_lineage(index.withColumn("number", F.monotonically_increasing_id()))
     wanted = urls.select(url_key(F.col(url).cast("string")).alias("key")).distinct()
-    found = None
-    for part in range(max(1, -(-n_blocks // MAX_DIRECTORY))):
-        n_parts = max(1, -(-n_blocks // MAX_DIRECTORY))
-        own = numbered.filter(F.pmod("number", F.lit(n_parts)) == part)
-        directory = sorted((r["first_key"], r["last_key"], r["number"]) for r in own.drop("block").collect())
-        piece = _directory_search(spark, wanted, directory)
-        found = piece if found is None else found.union(piece)
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = cut_lineage(_search_directory(numbered.drop("lines", "block"), wanted))
+    # A block that many keys ask for is read in several shares of them.
+    shares = found.groupBy("number").agg(F.ceil(F.count("*") / KEYS_AT_ONCE).cast("int").alias("shares"))
+    asked = found.join(shares, "number")
+    asked = asked.select("number", F.pmod(F.xxhash64("key"), F.col("shares")).cast("int").alias("share"), "key")
+    blocks = numbered.join(shares, "number")
+    blocks = blocks.select("number", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "block")
+
+    def read(keys: pa.Table, block: pa.Table) -> pa.Table:
         reader = RangeReader(folder)
-        for batch in batches:
-            for key, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                lines = lines_of(block)
-                keys = [line[0] for line in lines]
-                hits = lines[bisect_left(keys, _escaped(key)) : bisect_right(keys, _escaped(key))]
-                rows = [_described(reader.read(*line[2:])) for line in hits]
-                if rows:
-                    body = _record_batch(rows)
-                    keyed = [pa.array([key] * len(rows)), *body.columns]
-                    yield pa.RecordBatch.from_arrays(keyed, names=["key", *body.schema.names])
-
-    return found.join(numbered, "number").select("key", "block").mapInArrow(read, f"key string, {_RECORD}")
-
-
-def _directory_search(spark: SparkSession, wanted: DataFrame, directory: list[tuple[str, str, int]]) -> DataFrame:
-    """Rows (key, number): the blocks whose range holds the key, by binary search in a piece of the directory."""
-    shared = spark.sparkContext.broadcast(directory)
+        lines = lines_of(block["block"][0].as_py())
+        names = [line[0] for line in lines]
+        hits = [
+            line for key in keys["key"].to_pylist() for line in lines[bisect_left(names, key) : bisect_right(names, key)]
+        ]
+        # In the order of the files, whatever that of the keys.
+        hits.sort(key=lambda line: line[2:])
+        body = _record_batch([_described(reader.read(*line[2:])) for line in hits])
+        return pa.Table.from_arrays([pa.array([line[0] for line in hits], pa.string()), *body.columns], names=["key", *body.schema.names])
+
+    met = asked.groupBy("number", "share").cogroup(blocks.groupBy("number", "share"))
+    return met.applyInArrow(read, f"key string, {_RECORD}")
+
+
+def _search_directory(directory: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows (key, number): the blocks whose range holds the key, by binary search in each piece of the directory."""
+    n_blocks = directory.count()
+    n_parts = max(1, -(-n_blocks // MAX_DIRECTORY))
+    found = []
+    for part in range(n_parts):
+        own = directory.filter(F.pmod(F.xxhash64("number"), F.lit(n_parts)) == part)
+        entries = sorted((r["first_key"], r["last_key"], r["number"]) for r in own.collect())
+        found.append(_search(wanted, entries))
+    return reduce(DataFrame.union, found)
+
+
+def _search(wanted: DataFrame, entries: list[tuple[str, str, int]]) -> DataFrame:
+    shared = wanted.sparkSession.sparkContext.broadcast(entries)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         firsts = [entry[0] for entry in shared.value]
         for batch in batches:
             keys, numbers = [], []
             for key in batch.column(0).to_pylist():
-                at = bisect_right(firsts, _escaped(key)) - 1
-                while at >= 0 and shared.value[at][1] >= _escaped(key):
+                # Blocks in which one key goes on lie side by side.
+                at = bisect_right(firsts, key) - 1
+                while at >= 0 and shared.value[at][1] >= key:
                     keys.append(key)
                     numbers.append(shared.value[at][2])
                     at -= 1

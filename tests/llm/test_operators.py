@@ -392,8 +392,26 @@ def test_warc_round_trip_and_lookup(spark, tmp_path, monkeypatch):
     assert found == sorted(want, key=repr)
     looked = warc.lookup(index, folder, spark.createDataFrame([("https://B.org/x",), ("http://no.org/",)], "url string"))
     assert sorted(row.page_id for row in looked.collect()) == [5, 7, 8]
+    # All records once by their own URLs, however the directory is cut and the keys are shared out.
+    for name, value in (("MAX_DIRECTORY", 1), ("KEYS_AT_ONCE", 1)):
+        assert rows_of(warc.lookup(index, folder, pages).drop("key")) == found
+        monkeypatch.setattr(warc, name, value)
+    assert rows_of(warc.lookup(index, folder, pages).drop("key")) == found
     empty = f"file:{tmp_path}/none"
-    assert warc.read_all(warc.build_index(warc.write_archives(pages.limit(0), empty)), empty).count() == 0
+    nothing = warc.build_index(warc.write_archives(pages.limit(0), empty))
+    assert warc.read_all(nothing, empty).count() == warc.lookup(nothing, empty, pages).count() == 0
+
+
+def test_warc_keys_with_line_breaks_and_percent_signs(spark, tmp_path):
+    urls = ["http://b.org/x\ny", "http://b.org/a\nb", "http://b.org/x", "http://b.org/x%0Ay", "http://b.org/x%250Ay", "http://b.org/x\r\ny"]
+    urls += [f"http://b.org/{c}{i}" for c in "!%&\n~" for i in range(400)]
+    pages = spark.createDataFrame([(i, url, f"page {i}") for i, url in enumerate(urls)], "page_id bigint, url string, html string")
+    folder = f"file:{tmp_path}/archives"
+    index = warc.build_index(warc.write_archives(pages, folder))
+    for i in range(6):
+        asked = spark.createDataFrame([(urls[i],)], "url string")
+        assert [row.page_id for row in warc.lookup(index, folder, asked).collect()] == [i]
+    assert sorted(row.page_id for row in warc.lookup(index, folder, pages).collect()) == list(range(len(urls)))
 
 
 # Decontamination
