@@ -1,13 +1,14 @@
 """Finding benchmark items in training documents by n-gram seeds and Smith-Waterman alignment.
 
 Words are letters and digits in lower case, so that punctuation and case do not hide a copy, in any script; in scripts
-without blanks every character is a word. Every ``SEED`` words of an item
-are a seed, however often they occur: what other documents hold does not change what is found in one. Documents that hold a
-seed are aligned with its item around the place where it was found, unless the words they share there are too few for any
+without blanks every character is a word. The runs of ``SEED`` words that at most ``RARE_ITEMS`` different items hold are the
+seeds; an item without such a run has its rarest ones. So a question stem that many items share joins nothing, while
+the item's own words do. Rarity is counted over the benchmark: what other documents hold does not change what is found in
+one, and a thousand edited copies are found like a single one. Documents that hold a seed are aligned with its item around the place where it was found, unless the words they share there are too few for any
 alignment to score enough. The score is the best local alignment's share of a perfect one; it finds copies with words changed,
 left out or put in.
 
-Items are taken in blocks of at most ``BLOCK_GRAMS`` grams, whose tables are broadcast; each block is one pass over the
+The grams that are not rare are counted by Spark and come to the driver: an eighth of the benchmark's at most. Items are taken in blocks of at most ``BLOCK_GRAMS`` grams, whose tables are broadcast; each block is one pass over the
 documents. Nothing is shuffled.
 
 Defined cases: null texts and ids are read as empty texts and null ids; an item shorter than a seed is a gram as a whole; an
@@ -28,6 +29,8 @@ from aeroseries.llm.words import FOLDED, Words, chunks, find_words, folded, utf8
 
 #: Words in a gram.
 SEED = 4
+#: Most items whose texts hold a gram that is still rare.
+RARE_ITEMS = 8
 #: Least share of a perfect alignment for a document to count as holding the item.
 LEAST_SCORE = 0.5
 #: Grams of the items taken together: 16 bytes each in what is broadcast.
@@ -84,6 +87,36 @@ def _item_grams(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return grams[at], text[at], at - words.first[text[at]]
 
 
+def _common_grams(items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The grams that more than ``RARE_ITEMS`` different item texts hold, in order, and how many do."""
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = utf8(batch.column(0))
+            for start, end in chunks(texts):
+                grams, item, _ = _item_grams(find_words(folded(texts[start:end]), FOLDED))
+                once = np.unique(np.stack([item.astype(np.uint64), grams]), axis=1)[1]
+                yield pa.RecordBatch.from_arrays([pa.array(once.view(np.int64))], names=["gram"])
+
+    counted = items.select("text").distinct().mapInArrow(held, "gram long").groupBy("gram").count()
+    rows = counted.where(F.col("count") > RARE_ITEMS).collect()
+    grams = np.array([row[0] for row in rows], dtype=np.int64).view(np.uint64)
+    order = np.argsort(grams)
+    return grams[order], np.array([row[1] for row in rows], dtype=np.int64)[order]
+
+
+def _rare(grams: np.ndarray, item: np.ndarray, common: tuple[np.ndarray, np.ndarray], n_items: int) -> np.ndarray:
+    """Which grams of the items are seeds."""
+    known, counts = common
+    held = np.ones(len(grams), dtype=np.int64)
+    if len(known):
+        spots = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+        held = np.where(known[spots] == grams, counts[spots], 1)
+    least = np.full(n_items, np.iinfo(np.int64).max)
+    np.minimum.at(least, item, held)
+    return held <= np.maximum(RARE_ITEMS, least[item])
+
+
 def _hits(words: Words, known: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Word positions whose gram is among ``known`` (sorted), and its place there."""
     # Most grams are not known: the low bits rule out all but a few before the search.
@@ -110,9 +143,13 @@ def _room(item: np.ndarray, passage: np.ndarray) -> int:
     return int(np.minimum(wanted, present).sum())
 
 
-def _find_block(docs: DataFrame, items: list[tuple[int | None, str]], least_score: float) -> DataFrame:
+def _find_block(
+    docs: DataFrame, items: list[tuple[int | None, str]], common: tuple[np.ndarray, np.ndarray], least_score: float
+) -> DataFrame:
     words = find_words(folded([(text or "").encode() for _, text in items]), FOLDED)
     grams, item, spot = _item_grams(words)
+    seed = _rare(grams, item, common, len(items))
+    grams, item, spot = grams[seed], item[seed], spot[seed]
     sizes = sorted(set(_gram_sizes(words).tolist()) - {0})
     order = np.argsort(grams, kind="stable")
     seeds = tuple(part[order] for part in (grams, item, spot))
@@ -180,12 +217,12 @@ def find(
     # A word takes a byte and a blank at least, which bounds the grams of a block before it is read.
     n_bytes = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = 1 + n_bytes // (2 * BLOCK_GRAMS)
-    found = None
+    found, common = None, _common_grams(asked)
     for block in range(n_blocks):
         some = asked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block).distinct()
         items = sorted(((row["item_id"], row["text"]) for row in some.collect()), key=lambda row: (row[0] is None, row))
         if any((body or "").strip() for _, body in items):
-            part = _find_block(own, items, least_score)
+            part = _find_block(own, items, common, least_score)
             found = part if found is None else found.union(part)
     return own.sparkSession.createDataFrame([], _FOUND) if found is None else found
 

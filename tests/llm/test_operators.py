@@ -460,6 +460,52 @@ def test_one_exact_and_many_equal_edited_copies(make_docs, spark):
     assert sorted(r.doc_id for r in found) == list(range(1_001))
 
 
+def test_a_shared_stem_joins_nothing_and_own_words_do(make_docs, spark):
+    stem = " ".join(f"stem{i}" for i in range(12))
+    own = [" ".join(f"own{k}x{i}" for i in range(8)) for k in range(2_000)]
+    items = spark.createDataFrame([(k, f"{stem} {own[k]}") for k in range(2_000)], "item_id bigint, text string")
+    docs = make_docs([(1, stem), (2, f"{stem} and again {stem} " * 10), (3, f"before {stem} {own[7]} after"), (4, f"{own[9]} alone")])
+    assert {(r.doc_id, r.item_id) for r in decontamination.find(docs, items).collect()} == {(3, 7)}
+    assert {r.doc_id for r in decontamination.clean(docs, items).collect()} == {1, 2, 4}
+    # Items that share all they have are found all the same.
+    same = spark.createDataFrame([(k, stem) for k in range(20)] + [(99, stem + " end")], "item_id bigint, text string")
+    assert decontamination.find(docs.where("doc_id = 1"), same).count() == 21
+
+
+def test_find_equals_brute_force(make_docs, spark, monkeypatch):
+    rng = random.Random(11)
+    kinds = [f"w{i}" for i in range(25)]
+    draw = lambda n: [rng.choice(kinds) for _ in range(n)]
+    items = [draw(rng.randint(1, 9)) for _ in range(60)] + [["w0", "w1", "w2", "w3", *draw(4)] for _ in range(12)]
+    docs = []
+    for item in items + items[-12:]:
+        body = [w if rng.random() < 0.8 else rng.choice(kinds) for w in item]
+        docs.append(draw(rng.randint(0, 3)) + body + draw(rng.randint(0, 3)))
+    held = Counter()
+    grams = []
+    for item in items:
+        n = min(4, len(item))
+        grams.append({tuple(item[i : i + n]) for i in range(len(item) - n + 1)})
+    for texts in {tuple(item): own for item, own in zip(items, grams)}.values():
+        held.update(texts)
+    want = set()
+    number = {kind: np.uint64(i) for i, kind in enumerate(kinds)}
+    for d, doc in enumerate(docs):
+        for i, item in enumerate(items):
+            least = min(held[g] for g in grams[i])
+            seeds = {g for g in grams[i] if held[g] <= max(decontamination.RARE_ITEMS, least)}
+            n = min(4, len(item))
+            if seeds & {tuple(doc[k : k + n]) for k in range(len(doc) - n + 1)}:
+                score = decontamination.align(np.array([number[w] for w in item]), np.array([number[w] for w in doc]))[0]
+                if score >= 0.5 * 2 * len(item):
+                    want.add((d, i, round(score / (2 * len(item)), 9)))
+    table = spark.createDataFrame([(i, " ".join(item)) for i, item in enumerate(items)], "item_id bigint, text string")
+    for grams_at_once in (2_000_000, 40):
+        monkeypatch.setattr(decontamination, "BLOCK_GRAMS", grams_at_once)
+        found = decontamination.find(make_docs([(d, " ".join(doc)) for d, doc in enumerate(docs)]), table).collect()
+        assert {(r.doc_id, r.item_id, round(r.score, 9)) for r in found} == want and len(found) == len(want) > 60
+
+
 def test_case_and_punctuation_of_any_script(make_docs, spark):
     items = ["Žluťoučký kůň úpěl Ďábelské ódy", "привет мир как твои дела", "人人生而自由在尊严和权利上一律平等", "Ñandú Élan über Ärger Öl"]
     rows = [
