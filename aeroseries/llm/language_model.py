@@ -30,6 +30,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -407,17 +408,17 @@ class Filter:
 def _levels_by_block(blocks: DataFrame, bits: DataFrame, sections: int) -> DataFrame:
     """(block, levels): the level of each of a block's pairs, in parts by section; the pairs travel to the sections."""
 
-    def look_up(pairs: pa.Table, bits: pa.Table) -> pa.Table:
+    def look_up(rows: pa.Table) -> pa.Table:
         # A section without a pair of a training document has no bits.
-        words = np.frombuffer(bits["bits"][0].as_py(), np.uint64) if len(bits) else np.zeros(1, np.uint64)
-        parts = [probe(_keys(blob), words, 0, len(words)).tobytes() for blob in pairs["keys"].to_pylist()]
-        return pa.table(
-            [pairs["section"], pairs["block"], pa.array(parts, pa.binary())], names=["section", "block", "levels"]
-        )
+        known = rows["bits"].drop_null().to_pylist()
+        words = np.frombuffer(known[0], np.uint64) if known else np.zeros(1, np.uint64)
+        asked = rows.filter(pc.is_valid(rows["keys"]))
+        parts = [probe(_keys(blob), words, 0, len(words)).tobytes() for blob in asked["keys"].to_pylist()]
+        return pa.table([asked["section"], asked["block"], pa.array(parts, pa.binary())], names=["section", "block", "levels"])
 
     asked = pairs_by_section(blocks, sections, trained_only=False).select("section", "block", "keys")
-    found = asked.groupBy("section").cogroup(bits.groupBy("section"))
-    found = found.applyInArrow(look_up, "section long, block long, levels binary")
+    met = asked.unionByName(bits, allowMissingColumns=True).groupBy("section")
+    found = met.applyInArrow(look_up, "section long, block long, levels binary")
     parts = F.sort_array(F.collect_list(F.struct("section", "levels")))["levels"]
     return found.groupBy("block").agg(parts.alias("levels"))
 

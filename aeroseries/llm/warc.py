@@ -248,19 +248,18 @@ def lookup(index: DataFrame, folder: str, urls: DataFrame, *, url: str = "url")
     blocks = numbered.join(shares, "number")
     blocks = blocks.select("number", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "block")
 
-    def read(keys: pa.Table, block: pa.Table) -> pa.Table:
+    def read(rows: pa.Table) -> pa.Table:
         reader = RangeReader(folder)
-        lines = lines_of(block["block"][0].as_py())
+        lines = lines_of(rows["block"].drop_null()[0].as_py())
         names = [line[0] for line in lines]
-        hits = [
-            line for key in keys["key"].to_pylist() for line in lines[bisect_left(names, key) : bisect_right(names, key)]
-        ]
+        keys = rows["key"].drop_null().to_pylist()
+        hits = [line for key in keys for line in lines[bisect_left(names, key) : bisect_right(names, key)]]
         # In the order of the files, whatever that of the keys.
         hits.sort(key=lambda line: line[2:])
         body = _record_batch([_described(reader.read(*line[2:])) for line in hits])
         return pa.Table.from_arrays([pa.array([line[0] for line in hits], pa.string()), *body.columns], names=["key", *body.schema.names])
 
-    met = asked.groupBy("number", "share").cogroup(blocks.groupBy("number", "share"))
+    met = asked.unionByName(blocks, allowMissingColumns=True).groupBy("number", "share")
     return met.applyInArrow(read, f"key string, {_RECORD}")
 
 
