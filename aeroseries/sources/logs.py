@@ -253,11 +253,11 @@ def read_log_lines(
     step = max(limits.whole_file_bytes, MIN_RANGE)
     large = F.col("length") > limits.whole_file_bytes
     sums = files.agg(
-        F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.count_if(large).alias("large"), F.count("*").alias("files")
+        F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.count_if(large).alias("large"), F.first("path").alias("path")
     ).first()
-    if not sums.files:
+    if sums.path is None:
         return spark.createDataFrame([], RAW_SCHEMA).withColumn("is_header", F.lit(False))
-    if not readable_on_executors(files.first().path):
+    if not readable_on_executors(sums.path):
         return whole_file_rows(_spark_texts(spark, files).drop("start"), strict)
     # As many tasks as there are blocks of the advised size, and no fewer than there are cores.
     tasks = max(spark.sparkContext.defaultParallelism, -(-sums.bytes // step))

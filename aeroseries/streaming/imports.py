@@ -131,14 +131,15 @@ def _write_batch(store: GasStore, candidates: DataFrame, touched: set[Cell], con
             rest = store.in_cells(store.raw_path, others)
             everything = prepare(_union([readings, None if rest is None else rest.select(*columns)]))
             scaled = point_scales(hours, everything, SERIES)
-            long = hours.count() > 3 * store.limits.series_hours
-            scored = score_hours(scaled, config, SERIES, long).select(*HOUR_KEY, *LOOKUP, *CELL)
+            # One row per hour and gas.
+            n_hours = hours.count() // 3
+            scored = score_hours(scaled, config, SERIES, n_hours > store.limits.series_hours).select(*HOUR_KEY, *LOOKUP, *CELL)
             with staged(scored) as scores:
                 known = {cell for cell in store.cells_of(store.scores_path) if cell.series_bucket in buckets}
                 changed = _moved(store.in_cells(store.scores_path, known), scores) | touched
                 rest = store.in_cells(store.raw_path, changed - touched)
                 rewritten = prepare(_union([readings, None if rest is None else rest.select(*columns)]))
-                small = scores.count() <= 3 * store.limits.broadcast_hours
+                small = n_hours <= store.limits.broadcast_hours
                 clean = flag_readings(rewritten, scores.drop(*CELL), config, SERIES, small)
                 store.replace_cells(candidates, store.files_path, empty, "datetime_utc")
                 store.replace_cells(clean, store.raw_path, empty, "datetime_ist")
@@ -185,19 +186,23 @@ def finish_import(store: GasStore) -> None:
             store.rebuild_hourly()
 
 
-def _batches(files: DataFrame, size: int) -> Iterator[DataFrame]:
-    """A listing in batches of ``size`` files by name.
+def _batches(files: DataFrame, size: int, total: int) -> Iterator[DataFrame]:
+    """A listing of ``total`` files in batches of ``size`` by name.
 
     Files are dealt to range partitions and numbered inside each; the sizes of the partitions, which alone come to the
     driver, give every partition its first number.
     """
+    if total <= size:
+        if total:
+            yield files
+        return
     dealt = files.repartitionByRange("path").sortWithinPartitions("path")
     place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     dealt = stage_table(dealt.withColumns({"_part": F.spark_partition_id(), "_place": place}))
-    total, starts = 0, []
+    before, starts = 0, []
     for part, count in sorted(dealt.groupBy("_part").count().collect()):
-        starts.append((part, total))
-        total += count
+        starts.append((part, before))
+        before += count
     starts = files.sparkSession.createDataFrame(starts, "_part int, _start long")
     numbered = dealt.join(F.broadcast(starts), "_part")
     for batch in range(-(-total // size)):
@@ -215,8 +220,9 @@ def stream_folders(
     """Yield new files batch by batch as (log lines, files that could be read, number of files skipped)."""
     found = discover_files(spark, folders)
     fresh = found if manifest is None or force_reimport else new_files(found, manifest)
-    skipped = found.count() - fresh.count()
-    for files in _batches(fresh, batch_size):
+    total = fresh.count()
+    skipped = found.count() - total
+    for files in _batches(fresh, batch_size, total):
         lines = read_log_lines(spark, files)
         yield lines, readable_files(files, lines), skipped
 
@@ -249,9 +255,10 @@ def _import_found(
     batch_size: int,
     series_pattern: str | None,
 ) -> ImportSummary:
-    skipped = found.count() - fresh.count()
+    total = fresh.count()
+    skipped = found.count() - total
     files = rows = 0
-    for batch in _batches(fresh, batch_size):
+    for batch in _batches(fresh, batch_size, total):
         done = import_files(store, manifest, batch, config, series_pattern)
         files, rows = files + done[0], rows + done[1]
     finish_import(store)

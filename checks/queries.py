@@ -262,24 +262,25 @@ def log_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.count_files(spark, roots).select(name.alias("folder"), "files")
 
 
-def imported(spark: SparkSession, sf_dir: str) -> store.GasStore:
-    """Log files brought in by days, odd ones first, into a store with four buckets of instruments."""
+def imported(spark: SparkSession, sf_dir: str, parts: Sequence[str]) -> store.GasStore:
+    """Log files brought in part by part into a store with four buckets of instruments."""
     folder = scratch_folder(spark, "logs")
     write_logs(spark, sf_dir, folder)
     target = store.GasStore(spark, scratch_folder(spark, "store"), series_buckets=4)
     manifest = catalog.Manifest(spark, scratch_folder(spark, "manifest"))
-    for half in ("odd", "even"):
-        imports.import_folders(target, manifest, [f"{folder}/half={half}"], TIGHT, series_pattern=r"station=(\w+)/")
+    for part in parts:
+        imports.import_folders(target, manifest, [f"{folder}/{part}"], TIGHT, series_pattern=r"station=(\w+)/")
     return target
 
 
 def import_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return imported(spark, sf_dir).raw().drop("source_file", "series_bucket")
+    """Odd days first, then those in between."""
+    return imported(spark, sf_dir, ["half=odd", "half=even"]).raw().drop("source_file", "series_bucket")
 
 
 def import_hourly_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SQL over the hourly means of an imported store, by a date alone."""
-    return imported(spark, sf_dir).query(
+    return imported(spark, sf_dir, [""]).query(
         "SELECT series_id, hour_start_ist, co_sync, co2_sync, ch4_sync FROM readings_hourly WHERE date_ist BETWEEN :first AND :last",
         {"first": date.fromisoformat(RANGE[0]), "last": date.fromisoformat(RANGE[1])},
     )
