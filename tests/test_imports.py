@@ -295,3 +295,24 @@ def test_overlapping_files(spark, tmp_path):
     spans = file_spans(spark.createDataFrame(readings, "source_file string, series_id string, datetime_utc timestamp_ntz"))
     found = {(r.path[0], r.beside[0]) for r in overlapping_files(spans, spans).collect()}
     assert found == {("a", "b"), ("b", "a"), ("b", "c"), ("c", "b")}
+
+
+def test_overlapping_files_meet_once_whatever_the_months_they_share(spark):
+    draw = random.Random(5)
+    rows = []
+    for number in range(60):
+        first = datetime(2000, 1, 1) + timedelta(days=draw.choice([0, draw.randrange(4000)]))
+        rows.append((f"{number}.dat", draw.choice("xy"), first, first + timedelta(days=draw.choice([0, 20, 3000])), 1))
+    spans = spark.createDataFrame(rows, "path string, series_id string, first_utc timestamp_ntz, last_utc timestamp_ntz, rows long")
+    entries = spans.where("path LIKE '%1.dat' OR path LIKE '2%'")
+    for left in (spans, entries):
+        found = overlapping_files(left, spans)
+        kept = {row.path for row in left.collect()}
+        expected = [
+            (a[0], b[0]) for a in rows for b in rows
+            if a[0] in kept and a[0] != b[0] and a[1] == b[1] and a[2] <= b[3] and b[2] <= a[3]
+        ]
+        assert sorted(map(tuple, found.collect())) == sorted(expected)
+        # Pairs come out of the joins as they are: there are no copies that a shuffle would have to remove.
+        above = found._jdf.queryExecution().executedPlan().toString().split("Join")[0]
+        assert "Aggregate" not in above and "Exchange" not in above
