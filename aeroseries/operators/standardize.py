@@ -13,12 +13,15 @@ from aeroseries.functions.clock import calendar, utc_to_ist
 from aeroseries.functions.numbers import to_number
 from aeroseries.schema import STANDARD_COLUMNS, require_columns
 
+#: What a regular expression calls white space; taken off the ends of every text, where an expression would cost more than the rest.
+WHITE_SPACE = " \t\n\x0b\f\r"
+
 
 def validate_rows(raw: DataFrame) -> DataFrame:
     """Strip white space around text columns; keep rows whose DATE and TIME begin like a date and a time."""
     require_columns(raw, REQUIRED_COLUMNS)
     text = [f.name for f in raw.schema.fields if isinstance(f.dataType, T.StringType)]
-    trimmed = raw.withColumns({name: F.regexp_replace(name, r"^\s+|\s+$", "") for name in text})
+    trimmed = raw.withColumns({name: F.trim(F.col(name), F.lit(WHITE_SPACE)) for name in text})
     return trimmed.where(
         F.col("DATE").rlike(r"^\d{4}-\d{2}-\d{2}") & F.col("TIME").rlike(r"^\d{2}:\d{2}:\d{2}")
     )

@@ -160,16 +160,21 @@ def _read_or_reject(positions: Column, path: Column, strict: bool) -> Column:
     return F.coalesce(positions, F.raise_error(F.concat(F.lit("missing required columns in "), path)))
 
 
+def _once(value: Column) -> Column:
+    """A generator of the one value, so that filters on what is made of it do not work it out again."""
+    return F.explode(F.array(value))
+
+
 def whole_file_rows(files: DataFrame, strict: bool = False) -> DataFrame:
     """Header and data rows of files given as ``(path, value)`` with the whole text in one value.
 
     Header and lines come from the same row, so nothing is joined or shuffled.
     """
-    lines = files.withColumn("lines", F.split("value", LINE_END, -1))
+    lines = files.select("path", _once(F.split("value", LINE_END, -1)).alias("lines"))
     leading = F.transform("lines", _is_header)
-    headed = lines.withColumn("header_at", F.array_position(leading, True).cast("int"))
+    headed = lines.select("*", _once(F.array_position(leading, True).cast("int")).alias("header_at"))
     header = F.try_element_at("lines", F.nullif("header_at", F.lit(0)))
-    headed = headed.withColumn("positions", _read_or_reject(_positions(header), F.col("path"), strict))
+    headed = headed.select("*", _once(_read_or_reject(_positions(header), F.col("path"), strict)).alias("positions"))
     headed = headed.where(F.col("positions").isNotNull())
     lines = headed.select("path", "positions", "header_at", F.posexplode("lines").alias("pos", "line"))
     lines = lines.where(F.col("pos") >= F.col("header_at") - 1)

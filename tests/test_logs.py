@@ -4,8 +4,10 @@ import pytest
 from pyspark.errors import PySparkException
 
 from aeroseries.config import REQUIRED_COLUMNS, ScaleLimits
+from aeroseries.operators.standardize import validate_rows
 from aeroseries.sources.logs import (
     count_files,
+    data_rows,
     discover_files,
     discover_month_files,
     load_all,
@@ -14,6 +16,7 @@ from aeroseries.sources.logs import (
     read_logs,
     readable_files,
     rejected_files,
+    whole_file_rows,
 )
 
 HEADER = "DATE TIME CO_sync CO2_sync CH4_sync"
@@ -156,3 +159,20 @@ def test_hidden_names_are_read(spark, tmp_path, limits):
     rows = read_logs(spark, files, limits)
     assert rows.count() == 2 * len(names) and rows.select("source_file").distinct().count() == len(names)
     assert rejected_files(files, read_log_lines(spark, files, limits)).count() == 0
+
+
+def test_a_text_is_split_once_whatever_is_filtered(spark):
+    text = "a note\n\ndate time co_sync co2_sync ch4_sync\n2025-11-01 00:00:00 1 2 3\n\n2025-11-01 00:00:01 \t4 5 6\r\n"
+    texts = spark.createDataFrame([("a.dat", text), ("bad.dat", "nothing\nhere"), ("none.dat", None)], "path string, value string")
+    rows = data_rows(whole_file_rows(texts)).where("CO_sync <> '1'")
+    assert [(row.source_file, row.line_no, row.CO_sync, row.CH4_sync) for row in rows.collect()] == [("a.dat", 5, "4", "6")]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(value") == 1
+
+
+def test_white_space_goes_without_an_expression(spark):
+    row = ["\t2025-11-01\x0b", "\f00:00:00\r", " \n1 ", "2\t", "\r\n3", " a.dat "]
+    raw = spark.createDataFrame([row], "DATE string, TIME string, CO_sync string, CO2_sync string, CH4_sync string, source_file string")
+    valid = validate_rows(raw)
+    assert [tuple(r) for r in valid.collect()] == [("2025-11-01", "00:00:00", "1", "2", "3", "a.dat")]
+    assert "regexp_replace" not in valid._jdf.queryExecution().optimizedPlan().toString()
