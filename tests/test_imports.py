@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from aeroseries.config import QcConfig
 from aeroseries.operators.quality_control import apply_quality_control
 from aeroseries.schema import QC_COLUMNS, STANDARD_COLUMNS
+from aeroseries.sources import catalog
 from aeroseries.sources.catalog import Manifest, file_spans, new_files, overlapping_files
 from aeroseries.sources.logs import discover_files
 from aeroseries.sources.store import Cell, GasStore
@@ -316,3 +317,53 @@ def test_overlapping_files_meet_once_whatever_the_months_they_share(spark):
         # Pairs come out of the joins as they are: there are no copies that a shuffle would have to remove.
         above = found._jdf.queryExecution().executedPlan().toString().split("Join")[0]
         assert "Aggregate" not in above and "Exchange" not in above
+
+
+def shuffled_rows(found):
+    """Rows that the shuffles of a frame which was collected wrote."""
+    rows, plans = 0, [found._jdf.queryExecution().executedPlan()]
+    while plans:
+        plan = plans.pop()
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            plans.append(plan.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            plans.append(plan.plan())
+        elif kind != "ReusedExchangeExec":
+            if kind == "ShuffleExchangeExec":
+                rows += plan.metrics().apply("shuffleRecordsWritten").value()
+            plans += [plan.children().apply(i) for i in range(plan.children().size())]
+    return rows
+
+
+def test_overlapping_files_are_shuffled_once_whatever_the_months_they_touch(spark):
+    start = datetime(2000, 1, 1)
+    rows = [(f"{n}.dat", "x", start + timedelta(days=n), start + timedelta(days=3650 + n), 1) for n in range(200)]
+    spans = spark.createDataFrame(rows, "path string, series_id string, first_utc timestamp_ntz, last_utc timestamp_ntz, rows long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = overlapping_files(spans, spans)
+        assert len(found.collect()) == 200 * 199
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert 0 < shuffled_rows(found) <= 4 * 200
+
+
+@pytest.mark.parametrize("per_cell", [1, 7])
+def test_overlapping_files_of_many_cells(spark, monkeypatch, per_cell):
+    monkeypatch.setattr(catalog, "FILES_PER_CELL", per_cell)
+    draw = random.Random(per_cell)
+    rows = [("none.dat", "x", None, None, 0), ("old.dat", "y", datetime(1, 1, 1), datetime(2000, 1, 20), 1)]
+    for number in range(60):
+        first = datetime(2000, 1, 1) + timedelta(minutes=draw.choice([0, 20 * draw.randrange(4), draw.randrange(60_000)]))
+        rows.append((f"{number}.dat", draw.choice("xy"), first, first + timedelta(minutes=draw.choice([0, 20, 600, 50_000])), 1))
+    spans = spark.createDataFrame(rows, "path string, series_id string, first_utc timestamp_ntz, last_utc timestamp_ntz, rows long")
+    entries = spans.where("path LIKE '%1.dat' OR path LIKE '2%'")
+    for left, right in ((spans, spans), (entries, spans), (spans, entries), (spans.unionAll(spans), spans)):
+        kept = [{row.path for row in frame.collect()} for frame in (left, right)]
+        expected = [
+            (a[0], b[0]) for a in rows for b in rows
+            if a[0] in kept[0] and b[0] in kept[1] and a[0] != b[0] and a[1] == b[1]
+            and a[2] and b[2] and a[2] <= b[3] and b[2] <= a[3]
+        ]
+        assert sorted(map(tuple, overlapping_files(left, right).collect())) == sorted(expected)
